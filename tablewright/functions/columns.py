@@ -77,12 +77,17 @@ def key_hash(keys: Iterable[str], *salts: object) -> Column:
     return F.md5(F.concat_ws("|", *parts, *[F.lit(str(s)) for s in salts]))
 
 
+def whole(col: Column, scale: int) -> Column:
+    """A value with ``scale`` decimals as a whole number of its smallest unit."""
+    return F.rint(col.cast("double") * F.lit(float(10**scale))).cast("long")
+
+
 def exact_sum(col: Column, scale: int) -> Column:
     """Sum of values with ``scale`` decimals, kept as whole numbers while adding.
 
     The result does not depend on the order in which partitions are combined.
     """
-    return F.sum(F.round(col.cast("double") * 10**scale).cast("long")) / F.lit(float(10**scale))
+    return F.sum(whole(col, scale)) / F.lit(float(10**scale))
 
 
 def bands(value: Column, limits: Sequence[tuple[float, str]], below: str) -> Column:

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.columns import quoted
 from tablewright.plans.spec import PlanError
 
 
+# Rows of one key that a single task handles without trouble.
+TASK_ROWS = 1_000_000
+# Pieces an even share of a hot key is cut into, so that pieces that meet in one
+# task do not add up to much.
+PIECES = 4
+SALT = "_salt"
+
+
 def not_null(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows whose key has no null part; only these can match."""
     return df.filter(reduce(lambda a, b: a & b, [quoted(k).isNotNull() for k in key]))
@@ -42,75 +51,88 @@ def latest_per_key(df: DataFrame, key: Sequence[str], order_by: Sequence[str], v
     )
 
 
-def _all_null(cols: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [quoted(c).isNull() for c in cols])
-
+def _key_number(key: Sequence[str], types: Mapping[str, T.DataType]) -> Column:
+    """A hash of the key, equal for equal keys of either side of a join. Nulls hash like values."""
+    return F.xxhash64(*[quoted(k).try_cast(types[k]) for k in key])
 
-def hot_keys(df: DataFrame, key: Sequence[str], share: float) -> list[tuple]:
-    """Keys that hold more than ``share`` of the rows: at most ``1 / share`` of them.
 
-    Counts are combined on the map side, so a hot key costs one row per task.
-    """
-    counts = df.groupBy(*[quoted(k) for k in key]).count()
-    total = counts.agg(F.sum("count").alias("n")).first()["n"] or 0
-    rows = counts.filter(F.col("count") > F.lit(int(total * share))).orderBy(F.desc("count")).take(int(1 / share) + 1)
-    return [tuple(row)[:-1] for row in rows]
+def shuffle_parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def left_join_hot_split(main: DataFrame, side: DataFrame, on: Sequence[str], share: float = 0.05) -> DataFrame:
-    """``main LEFT JOIN side`` where a few keys of ``main`` may hold most rows.
+def hot_keys(df: DataFrame, key: Sequence[str], task_rows: int = TASK_ROWS) -> list[tuple[int, int]]:
+    """Keys that hold more than an even share of the rows, as (hash, pieces to split it into).
 
-    ``side`` has one row per key. Rows with a hot or null key never move: the
-    at most ``1 / share`` side rows they need are sent to them. All others join
-    through the usual exchange. The result equals the plain join.
+    Fewer keys than a shuffle has partitions, and at most ``PIECES + 1`` pieces per
+    partition in all. Counts are combined on the map side: a hot key costs one
+    row per task. A key of at most ``task_rows`` rows is never hot.
     """
-    hot = hot_keys(main, on, share)
-    if not hot:
-        return main.join(side, list(on), "left")
-    named = [k for k in hot if all(v is not None for v in k)]
-    is_hot = reduce(
-        lambda a, b: a | b,
-        [reduce(lambda x, y: x & y, [quoted(c) == F.lit(v) for c, v in zip(on, k)]) for k in named],
-        F.lit(False),
-    )
-    stays = F.coalesce(is_hot, F.lit(False)) | _all_null(on)
-    near = main.filter(stays).join(F.broadcast(side.filter(F.coalesce(is_hot, F.lit(False)))), list(on), "left")
-    far = main.filter(~stays).join(side, list(on), "left")
-    return near.unionByName(far)
-
-
-def snapshot_lookup(
+    parts = shuffle_parts(df)
+    types = {k: df.schema[k].dataType for k in key}
+    counts = df.groupBy(_key_number(key, types).alias("_hash")).count()
+    seen = counts.agg(F.sum("count").alias("total"), F.max("count").alias("most")).first()
+    even = max((seen["total"] or 0) / parts, task_rows)
+    if (seen["most"] or 0) <= even:
+        return []
+    found = counts.filter(F.col("count") > even).collect()
+    return [(row["_hash"], -(-row["count"] * parts * PIECES // seen["total"])) for row in found]
+
+
+def left_join_all(
     main: DataFrame,
-    side: DataFrame,
-    key: Sequence[str],
-    main_key: Sequence[str],
-    values: dict[str, str],
-    order_by: Sequence[str] = (),
+    sides: Sequence[DataFrame],
+    on: Sequence[str],
+    hot: Sequence[tuple[int, int]] = (),
+    null_safe: bool = False,
 ) -> DataFrame:
-    """Attach columns of a snapshot table, one row per key.
+    """``main LEFT JOIN`` several frames with one row per key.
 
-    With ``order_by`` the greatest row of a key is taken; without, the table
-    must already hold one row per key.
+    With ``hot`` (from ``hot_keys``) the rows of a hot or often-null key are
+    numbered by a hash of the row and go to several tasks, and the one side row
+    they need is repeated for each number. The result equals the plain join. All
+    joins share the key and the number, so ``main`` is shuffled once.
     """
-    side = not_null(side, key)
-    if order_by:
-        one = latest_per_key(side, key, order_by, values)
-    else:
-        require_unique(side, key, "snapshot table")
-        one = side.select(*key, *[quoted(c).alias(n) for n, c in values.items()])
-    one = one.withColumnsRenamed(dict(zip(key, main_key)))
-    return main.join(one, list(main_key), "left")
-
-
-def group_feature(df: DataFrame, by: Sequence[str], name: str, aggregate: Column) -> DataFrame:
+    on, keys = list(on), list(on)
+    if hot:
+        keys.append(SALT)
+        types = {k: main.schema[k].dataType for k in on}
+        # Fewer rows than a shuffle has partitions.
+        small = F.broadcast(main.sparkSession.createDataFrame(list(hot), "_hash long, _pieces int"))
+        number = F.pmod(F.xxhash64(*[quoted(c) for c in main.columns]), F.col("_pieces")).cast("int")
+        main = (
+            main.withColumn("_hash", _key_number(on, types))
+            .join(small, "_hash", "left")
+            .withColumn(SALT, F.coalesce(number, F.lit(0)))
+            .drop("_hash", "_pieces")
+        )
+    for side in sides:
+        if hot:
+            repeats = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
+            side = (
+                side.withColumn("_hash", _key_number(on, types))
+                .join(small, "_hash", "left")
+                .withColumn(SALT, F.explode(repeats))
+                .drop("_hash", "_pieces")
+            )
+        if not null_safe:
+            main = main.join(side, keys, "left")
+            continue
+        side = side.withColumnsRenamed({k: f"_side_{k}" for k in keys})
+        same = reduce(lambda a, b: a & b, [quoted(k).eqNullSafe(quoted(f"_side_{k}")) for k in keys])
+        main = main.join(side, same, "left").drop(*[f"_side_{k}" for k in keys])
+    return main.drop(SALT)
+
+
+def group_feature(
+    df: DataFrame, by: Sequence[str], name: str, aggregate: Column, task_rows: int = TASK_ROWS
+) -> DataFrame:
     """Attach an aggregate over the rows that share ``by`` to each of them.
 
     Aggregated first and joined back rather than windowed: a window would put
     all rows of a group into one task. Null group values form a group.
     """
-    side = df.groupBy(*[quoted(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(aggregate.alias(name))
-    same = reduce(lambda a, b: a & b, [quoted(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)])
-    return df.join(side, same, "left").drop(*[f"_g{i}" for i in range(len(by))])
+    side = df.groupBy(*[quoted(c) for c in by]).agg(aggregate.alias(name))
+    return left_join_all(df, [side], by, hot_keys(df, by, task_rows), null_safe=True)
 
 
 def orphan_keys(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, relation: str) -> DataFrame:

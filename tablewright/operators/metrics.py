@@ -19,16 +19,23 @@ def score_counts(
     scored: DataFrame, label: str, score: str, group: Sequence[str] = (), weight: Column | None = None
 ) -> DataFrame:
     """Positives and negatives per distinct score. Combined before the shuffle."""
-    one = F.lit(1) if weight is None else weight
     value = no_nan(quoted(score).cast("double"), scored.schema[score].dataType)
+    rows = scored.select(
+        *[quoted(g) for g in group],
+        value.alias("score"),
+        quoted(label).alias("_y"),
+        (F.lit(1) if weight is None else weight).alias("_w"),
+    )
+    return class_counts(rows.filter(F.col("score").isNotNull()), [*group, "score"])
+
+
+def class_counts(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sum of ``_w`` per class of ``_y`` (0 or 1), as ``pos`` and ``neg``."""
+    y, w = F.col("_y"), F.col("_w")
     return (
-        scored.select(*[quoted(g) for g in group], value.alias("score"), quoted(label).alias("_y"), one.alias("_w"))
-        .filter(F.col("score").isNotNull() & F.col("_y").isin(0, 1))
-        .groupBy(*group, "score")
-        .agg(
-            F.sum(F.when(F.col("_y") == 1, F.col("_w")).otherwise(0)).alias("pos"),
-            F.sum(F.when(F.col("_y") == 0, F.col("_w")).otherwise(0)).alias("neg"),
-        )
+        rows.filter(y.isin(0, 1))
+        .groupBy(*by)
+        .agg(F.sum(F.when(y == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(y == 0, w).otherwise(0)).alias("neg"))
         .filter(F.col("pos") + F.col("neg") > 0)
     )
 
@@ -40,7 +47,7 @@ def score_steps(
     return running_sums(score_counts(scored, label, score, group, weight), ["score"], ["pos", "neg"], group)
 
 
-def _auc_columns() -> list[Column]:
+def auc_columns() -> list[Column]:
     pos, neg = F.max("pos_total"), F.max("neg_total")
     # A positive wins against every lower negative and half against an equal one.
     wins = F.sum(F.col("pos").cast("double") * (F.col("neg_upto") - F.col("neg").cast("double") / 2.0))
@@ -52,7 +59,7 @@ def auc(
     scored: DataFrame, label: str, score: str, group: Sequence[str] = (), weight: Column | None = None
 ) -> DataFrame:
     """Exact ROC AUC per group; null when a class is absent."""
-    return score_steps(scored, label, score, group, weight).groupBy(*group).agg(*_auc_columns())
+    return score_steps(scored, label, score, group, weight).groupBy(*group).agg(*auc_columns())
 
 
 def _ks_columns(neutral: float = NEUTRAL_THRESHOLD) -> list[Column]:
@@ -118,7 +125,7 @@ def with_rates(counts: DataFrame, digits: int | None = 4) -> DataFrame:
 
 def classification_report(scored: DataFrame, label: str, score: str, group: Sequence[str] = ()) -> DataFrame:
     """AUC, KS, threshold and confusion counts in one pass over the scores."""
-    steps = score_steps(scored, label, score, group).groupBy(*group).agg(*_auc_columns(), *_ks_columns()[2:])
+    steps = score_steps(scored, label, score, group).groupBy(*group).agg(*auc_columns(), *_ks_columns()[2:])
     return with_rates(_ks_result(steps, [*group, "n_pos", "n_neg", "auc"]))
 
 

@@ -136,13 +136,25 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> None:
         raise PlanError(f"no columns {unknown}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores: fitting passes over them hundreds of times.
+
+    Adaptive execution would leave a small table in one partition, where every
+    pass is one task.
+    """
+    spark = df.sparkSession
+    return df.repartition(
+        max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    )
+
+
 def with_folds(
     df: DataFrame, key: Sequence[str], label: str, features: Sequence[str], folds: int = 3, seed: int = 42
 ) -> DataFrame:
     """Cleaned model inputs with their fold, kept for the fits to come."""
     columns = list(dict.fromkeys([*key, label, *features]))
     prepared = clean_inputs(df.select(*[quoted(c) for c in columns]), features)
-    return stratified_folds(prepared, key, label, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    return spread(stratified_folds(prepared, key, label, folds, seed)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fold_scores(
@@ -200,7 +212,7 @@ def fit_final(
     """Fit on all rows."""
     shared_dir(df.sparkSession)
     train = clean_inputs(df.select(quoted(label), *[quoted(c) for c in features]), features)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    train = spread(train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = require_two_classes(train, label)
         require_few_categories(train, features)
@@ -251,7 +263,7 @@ def permutation_importance(
     """
     columns = list(dict.fromkeys([*key, label, *features]))
     sample = hash_sample(clean_inputs(df.select(*[quoted(c) for c in columns]), features), key, rows, seed)
-    sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
+    sample = materialise(sample)
     names = F.array(F.lit(""), *[F.lit(c) for c in features])  # "" keeps every column
     tagged = sample.withColumn("feature", F.explode(names))
     order = [quoted(c) for c in key]
@@ -273,16 +285,9 @@ def permutation_importance(
         ],
     )
     scored = model_scores(mixed, model, features, ["feature", label])
-    result = auc(scored, label, "score", ["feature"]).select("feature", "auc")
-    baseline = result.filter("feature = ''").first()["auc"]
-    position = F.create_map(*[F.lit(x) for i, c in enumerate(features) for x in (c, i)])
-    out = result.filter("feature != ''").select(
-        "feature",
-        F.element_at(position, F.col("feature")).alias("position"),
-        "auc",
-        (F.lit(baseline) - F.col("auc")).alias("score"),
-    )
-    return out
+    found = {row["feature"]: row["auc"] for row in auc(scored, label, "score", ["feature"]).collect()}  # one row each
+    rows = [(c, i, found[c], None if found[c] is None else found[""] - found[c]) for i, c in enumerate(features)]
+    return df.sparkSession.createDataFrame(rows, "feature string, position int, auc double, score double")
 
 
 def save_model(model: PipelineModel, path: str) -> None:

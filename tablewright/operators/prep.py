@@ -17,6 +17,7 @@ from tablewright.functions.columns import (
     safe_log1p,
     to_number,
 )
+from tablewright.operators.joins import hot_keys, left_join_all
 from tablewright.operators.running import distinct_ranks, running_sums
 from tablewright.plans.spec import PlanError, clean_name
 
@@ -71,19 +72,26 @@ def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return impute(df, median_values(df, columns))
 
 
-def category_codes(df: DataFrame, column: str) -> DataFrame:
-    """Dictionary of a column: its distinct texts and their alphabetical codes."""
-    return distinct_ranks(df.select(category_text(quoted(column)).alias(column)), column).withColumnRenamed("code", "_code")
+def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Dictionary of several columns, as rows ``column, text, code``: distinct texts in alphabetical order."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), category_text(quoted(c)).alias("text")) for c in columns])
+    return distinct_ranks(df.select(F.inline(pairs)), "text", ["column"])
 
 
 def label_encode(df: DataFrame, columns: Sequence[str], suffix: str = "_code") -> DataFrame:
     """Add alphabetical codes; a missing value has its own code.
 
-    The dictionary stays a table and is joined, whatever its size.
+    The dictionary stays a table and is joined, whatever its size. A text that
+    most rows share is spread over the tasks of the join.
     """
+    if not columns:
+        return df
+    codes = category_codes(df, columns)
     for column in columns:
-        codes = category_codes(df, column).select(F.col(column).alias("_text"), F.col("_code").alias(column + suffix))
-        df = df.join(codes, category_text(quoted(column)) == F.col("_text"), "left").drop("_text")
+        text = f"_{column}_text"
+        side = codes.filter(F.col("column") == column).select(F.col("text").alias(text), F.col("code").alias(column + suffix))
+        df = df.withColumn(text, category_text(quoted(column)))
+        df = left_join_all(df, [side], [text], hot_keys(df, [text])).drop(text)
     return df
 
 

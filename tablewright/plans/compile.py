@@ -14,9 +14,9 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import is_numeric, no_nan, quoted, type_class
+from tablewright.functions.columns import is_numeric, no_nan, quoted, type_class, whole
 from tablewright.operators.aggregates import feature_aggregate
-from tablewright.operators.joins import latest_per_key, left_join_hot_split, not_null, require_unique
+from tablewright.operators.joins import hot_keys, latest_per_key, left_join_all, not_null, require_unique
 from tablewright.plans.spec import (
     AGGREGATES,
     LATEST,
@@ -114,7 +114,7 @@ def _banded(fact: DataFrame, key: Sequence[str], specs: Numbered, rel: Relations
             if spec.predicate:
                 value = F.when(F.expr(spec.predicate), value)
             if kind == "sum" and spec.scale is not None:
-                value = F.round(value.cast("double") * 10**spec.scale).cast("long")
+                value = whole(value, spec.scale)
             aggregate = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[kind]
             partial.append(aggregate(value).alias(parts[identity]))
         return parts[identity]
@@ -266,18 +266,21 @@ def build_wide_table(
         carried = list(dict.fromkeys([*key, *foreign, *label, *plan.passthrough]))
         out = base.select(*[quoted(c) for c in carried], *[_value(s, base).alias(_feature(i)) for i, s in own])
 
+    frames: dict[tuple[str, ...], list[DataFrame]] = {}
     for name, specs in others.items():
         rel = plan.relationship(name)
         side = source(name)
         if check_grain and rel.unique and any(s.op == LATEST and not s.order_by for _, s in specs):
             require_unique(side, rel.key, f"snapshot table {name!r}")
-        for frame in _per_key(side, rel.key, specs, rel, plan):
-            frame = frame.withColumnsRenamed(dict(zip(rel.key, rel.main_key)))
-            one_row_per_key = main.grain != "row" and rel.main_key == main.key
-            if one_row_per_key:
-                out = out.join(frame, list(rel.main_key), "left")
-            else:
-                out = left_join_hot_split(out, frame, rel.main_key)
+        renames = dict(zip(rel.key, rel.main_key))
+        frames.setdefault(rel.main_key, []).extend(
+            frame.withColumnsRenamed(renames) for frame in _per_key(side, rel.key, specs, rel, plan)
+        )
+    # Every frame has one row per key. Joins on the main key itself cannot be skewed
+    # unless rows repeat it; any other key may be, and its rows are then spread.
+    for on, sides in frames.items():
+        even = on == main.key and main.grain != "row"
+        out = left_join_all(out, sides, on, () if even else hot_keys(base, on))
 
     names = plan.feature_names()
     shown = list(short_aliases(names)) if short_alias else names
