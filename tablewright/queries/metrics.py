@@ -98,7 +98,7 @@ def auc_bootstrap(spark, sf):
 
 def screen_sql(source: str, features: list[str]) -> str:
     """SQL ending in ``screened``: feature, position, auc and score for columns of ``source`` with a ``label``."""
-    values = " union all ".join(f"select '{f}' as feature, label, {f}::double as score, 1 as w from src" for f in features)
+    values = " union all ".join(f"""select '{f}' as feature, label, "{f}"::double as score, 1 as w from src""" for f in features)
     place = " ".join(f"when '{f}' then {i}" for i, f in enumerate(features))
     return f"""with src as ({source}), {steps_sql(values, "feature")},
         scored as (select feature, {_AUC} as auc from steps group by feature),
@@ -106,12 +106,12 @@ def screen_sql(source: str, features: list[str]) -> str:
 
 
 DOCUMENT_FEATURES = ["toxic", "text", "lang", "source", "n_chars"]
-_DOCUMENT_CODES = """select quality as label, toxic, n_chars, dense_rank() over (order by coalesce(text, '__missing__')) as text,
+DOCUMENT_CODES_SQL = """select quality as label, toxic, n_chars, dense_rank() over (order by coalesce(text, '__missing__')) as text,
     dense_rank() over (order by coalesce(lang, '__missing__')) as lang, dense_rank() over (order by coalesce(source, '__missing__')) as source
     from labels left join documents using (doc_id)"""
 
 
-@query(f"{screen_sql(_DOCUMENT_CODES, DOCUMENT_FEATURES)} select * from screened", name="screen_univariate")
+@query(f"{screen_sql(DOCUMENT_CODES_SQL, DOCUMENT_FEATURES)} select * from screened", name="screen_univariate")
 def screen_documents(spark, sf):
     joined = labelled_documents(spark, sf)
     return screen_univariate(joined, "quality", candidate_columns(joined, ["doc_id"], "quality"))
@@ -141,9 +141,7 @@ ORDER_MATRIX_SQL = f"""select o_orderkey, (o_orderstatus = 'F')::int as label, o
             max(case when {_YEAR} then l_quantity end) as "MAX_lineitem_l_quantity_365d",
             (count(*) filter (l_returnflag = 'R'))::double / count(*) as return_rate
         from lineitem group by l_orderkey) f on o_orderkey = l_orderkey"""
-ORDER_SCREEN_SQL = screen_sql(ORDER_MATRIX_SQL, [f'"{f}"' for f in ORDER_FEATURES]).replace("""'"LATEST""", "'LATEST")
-for _name in ORDER_FEATURES:
-    ORDER_SCREEN_SQL = ORDER_SCREEN_SQL.replace(f"""'"{_name}"'""", f"'{_name}'").replace(f"""'{_name}"'""", f"'{_name}'")
+ORDER_SCREEN_SQL = screen_sql(ORDER_MATRIX_SQL, ORDER_FEATURES)
 
 
 def order_matrix(spark, sf):

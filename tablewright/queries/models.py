@@ -33,11 +33,13 @@ from tablewright.plans.compile import build_wide_table
 from tablewright.plans.spec import FeaturePlan
 from tablewright.queries.base import DOCUMENTS, LABEL, LINES, ORDER, ORDER_AS_OF, document_tables, order_tables, registry
 from tablewright.queries.metrics import (
+    DOCUMENT_CODES_SQL,
     ORDER_FEATURES,
     ORDER_PLAN,
     ORDER_SCREEN_SQL,
     order_matrix,
     order_screen,
+    screen_sql,
 )
 from tablewright.session import scratch_path
 from tablewright.streaming.scoring import score_stream, wide_stream
@@ -81,13 +83,14 @@ def evaluation_reports(spark, sf):
     return evaluation_report(scored, KEY, TARGET, "score", "orders", ORDER_FEATURES)
 
 
-@query("""
-    select feature, op, "table", "column", position from (
-        select row_number() over (order by score desc, place) - 1 as position, 'LATEST_labels_' || feature as feature,
-               'LATEST' as op, 'labels' as "table", feature as "column" from ({toxic})
-        union all
-        select row_number() over (order by score desc, place) - 1 + 1, 'LATEST_documents_' || feature, 'LATEST', 'documents', feature
-        from ({documents}))""", name="initial_pool")
+def _pool_sql(table: str, features: list[str], first: int) -> str:
+    """SQL for the columns of a table in order of their screening scores."""
+    return f"""select 'LATEST_{table}_' || feature as feature, 'LATEST' as op, '{table}' as "table", feature as "column",
+            (row_number() over (order by score desc, position) + {first - 1})::int as position
+        from ({screen_sql(DOCUMENT_CODES_SQL, features)} select * from screened)"""
+
+
+@query(f"{_pool_sql('labels', ['toxic'], 0)} union all {_pool_sql('documents', ['text', 'lang', 'source', 'n_chars'], 1)}")
 def initial_pool(spark, sf):
     """The pool for labelled documents: screened columns of the main table, then of its snapshot."""
     pool = build_pool(FeaturePlan(LABEL, (), (DOCUMENTS,)), document_tables(spark, sf))
