@@ -278,7 +278,8 @@ def build_wide_table(
         )
     # Every frame has one row per key. Joins on the main key itself cannot be skewed
     # unless rows repeat it; any other key may be, and its rows are then spread.
-    for on, sides in frames.items():
+    # The main key comes last: rows are still narrow when they move for another key.
+    for on, sides in sorted(frames.items(), key=lambda f: f[0] == main.key):
         even = on == main.key and main.grain != "row"
         out = left_join_all(out, sides, on, () if even else hot_keys(base, on))
 

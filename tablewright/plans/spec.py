@@ -157,6 +157,10 @@ class FeaturePlan:
         """The columns the plan promises, in order."""
         return [spec.name for spec in self.specs]
 
+    def table_names(self) -> list[str]:
+        """Logical tables the plan reads, the main one first: what ``bindings`` has to name."""
+        return list(dict.fromkeys([self.main.table, *(s.table for s in self.specs)]))
+
     def with_specs(self, specs: Iterable[FeatureSpec]) -> FeaturePlan:
         return replace(self, specs=tuple(specs))
 

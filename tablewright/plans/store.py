@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from dataclasses import asdict, fields
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
 from tablewright.plans.spec import FeaturePlan, FeatureSpec, MainSpec, Relationship
 
 # Kinds of entries in a plan file. Fixed values.
@@ -67,9 +69,16 @@ def plan_from_dict(raw: Mapping) -> tuple[FeaturePlan, dict | None]:
     return plan, models[0] if models else None
 
 
-def save_plan(plan: FeaturePlan, path: str, model: Mapping | None = None) -> None:
-    Path(path).write_text(json.dumps(plan_to_dict(plan, model), indent=2, ensure_ascii=False), encoding="utf-8")
+def save_plan(plan: FeaturePlan, path: str, model: Mapping | None = None, spark: SparkSession | None = None) -> None:
+    """Write the plan to a file of the driver or, with ``spark``, to storage the cluster shares."""
+    text = json.dumps(plan_to_dict(plan, model), ensure_ascii=False, indent=None if spark else 2)
+    if spark is None:
+        Path(path).write_text(text, encoding="utf-8")
+    else:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def load_plan(path: str) -> tuple[FeaturePlan, dict | None]:
-    return plan_from_dict(json.loads(Path(path).read_text(encoding="utf-8")))
+def load_plan(path: str, spark: SparkSession | None = None) -> tuple[FeaturePlan, dict | None]:
+    if spark is None:
+        return plan_from_dict(json.loads(Path(path).read_text(encoding="utf-8")))
+    return plan_from_dict(json.loads(spark.read.text(path, wholetext=True).first()["value"]))

@@ -26,6 +26,7 @@ from tablewright.operators.search import (
     refine_subset,
     round_stats,
     sample_subsets,
+    search,
     size_range,
     spec_rows,
 )
@@ -41,7 +42,7 @@ from tablewright.queries.metrics import (
     order_screen,
     screen_sql,
 )
-from tablewright.session import scratch_path
+from tablewright.session import materialise, scratch_path
 from tablewright.streaming.scoring import score_stream, wide_stream
 
 QUERIES, query = registry()
@@ -116,7 +117,7 @@ _SUBSETS_SQL = f"""
     where pick <= {_LEAST} + ('0x' || substr(md5('size|' || subset_id::varchar || '|42'), 1, 8))::bigint % {_MOST - _LEAST + 1})"""
 
 
-@query(f"{ORDER_SCREEN_SQL}, {_SUBSETS_SQL} select subset_id::int as subset_id, feature, position, pick from subsets")
+@query(f"{ORDER_SCREEN_SQL}, {_SUBSETS_SQL} select subset_id::int as subset_id, feature, position, pick::int as pick from subsets")
 def subset_table(spark, sf):
     return sample_subsets(order_screen(spark, sf), N_SUBSETS, len(ORDER_FEATURES))
 
@@ -135,24 +136,21 @@ def refined_subset(spark, sf):
     return refine_subset(subset, scores, scores.select("feature", "position"))
 
 
-def _board(spark, sf, first: int, last: int):
+@query(name="leaderboard")
+def leaderboard_orders(spark, sf):
     picked = sample_subsets(order_screen(spark, sf), N_SUBSETS, len(ORDER_FEATURES))
     members: dict[int, list[str]] = {}
-    for row in picked.filter(F.col("subset_id").between(first, last)).orderBy("subset_id", "pick").collect():
+    for row in picked.filter("subset_id <= 2").orderBy("subset_id", "pick").collect():
         members.setdefault(row["subset_id"], []).append(row["feature"])
     return leaderboard(order_matrix(spark, sf), KEY, TARGET, members, {s: SMALL for s in members})
 
 
-@query(name="leaderboard")
-def subset_leaderboard(spark, sf):
-    return _board(spark, sf, 1, 2)
-
-
 @query()
 def search_rounds(spark, sf):
-    """Two rounds of one subset each: statistics per round with the best candidate over both."""
-    board = _board(spark, sf, 3, 4).withColumn("round", F.col("subset_id") - 2)
-    best = best_candidate(board).select(F.col("round"), F.col("subset_id").alias("best_subset"))
+    """Two rounds, the second one with a refined winner: statistics per round and the best candidate."""
+    wide = materialise(order_matrix(spark, sf))
+    board = search(wide, KEY, TARGET, ORDER_FEATURES, rounds=2, subsets=1, settings=SMALL).board
+    best = best_candidate(board).select("round", F.col("subset_id").alias("best_subset"))
     return round_stats(board).join(best, "round", "left")
 
 

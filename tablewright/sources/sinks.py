@@ -25,7 +25,8 @@ def write_wide_table(
     """Replace a wide table, as files or as a catalog table.
 
     With ``period`` only the partitions present in ``df`` are replaced. A catalog
-    table bucketed by the key joins later features of that key without a shuffle.
+    table bucketed by the key joins later features of that key without a shuffle;
+    with both ``table`` and ``path`` its files are kept at the path.
     """
     writer = df.write.mode("overwrite").format("parquet")
     if period:
@@ -33,7 +34,7 @@ def write_wide_table(
     if table:
         if buckets:
             writer = writer.bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
-        writer.saveAsTable(table)
+        (writer.option("path", path) if path else writer).saveAsTable(table)
     elif path:
         writer.save(path)
     else:

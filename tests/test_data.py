@@ -270,3 +270,18 @@ def test_log(spark, tmp_path):
 def test_scratch_is_under_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(spark.sparkContext.getCheckpointDir())
     assert spark.conf.get("spark.checkpoint.dir") in spark.sparkContext.getCheckpointDir()
+
+
+def test_bucketed_table_joins_without_a_shuffle(spark, tmp_path):
+    df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for name in ("wide_a", "wide_b"):
+        write_wide_table(df, str(tmp_path / name), name, bucket_by=["k"], buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("wide_a").join(spark.table("wide_b"), "k", "left")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("wide_a", "wide_b"):
+            spark.sql(f"drop table {name}")

@@ -9,6 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tablewright.operators import sampling
 from tablewright.operators.metrics import (
     auc,
     auc_spread,
@@ -131,7 +132,10 @@ def test_folds(spark):
 
 
 @pytest.mark.parametrize("n", [0, 1, 37, 500, 900])
-def test_hash_sample(spark, n):
+@pytest.mark.parametrize("digits", [1, 3])
+def test_hash_sample(spark, monkeypatch, n, digits):
+    monkeypatch.setattr(sampling, "BUCKET_DIGITS", digits)
+    monkeypatch.setattr(sampling, "SPARE_ROWS", 2)
     df = spark.range(500)
     got = sorted(r["id"] for r in hash_sample(df, ["id"], n).collect())
     want = sorted(sorted(range(500), key=lambda i: hashlib.md5(f"{i}|42".encode()).hexdigest())[:n])

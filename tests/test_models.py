@@ -21,6 +21,7 @@ from tablewright.operators.model import (
 )
 from tablewright.operators.report import evaluation_report
 from tablewright.operators.score import score_raw, score_wide
+from tablewright.jobs import score, train
 from tablewright.operators.search import (
     best_candidate,
     build_pool,
@@ -29,6 +30,7 @@ from tablewright.operators.search import (
     refine_subset,
     round_stats,
     sample_subsets,
+    search,
     size_range,
     spec_rows,
 )
@@ -206,3 +208,29 @@ def test_pool(spark, table):
     assert [s.column for s in build_pool(bare, {"m": main})] == ["y", "signal", "shop_id"]
     assert len(default_specs(main, "m", ["id"], 2)) == 2
     assert window_grid(tables, [Relationship("snap", "id", "id", unique=True)]) == []
+
+
+def test_search_refines_the_winner(table):
+    found = search(table, ["id"], "y", FEATURES, rounds=2, subsets=2, settings=SMALL)
+    rows = found.board.collect()
+    assert sorted((r["round"], r["subset_id"]) for r in rows) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    assert max(r["auc"] for r in rows) > 0.85 and "signal" in found.features
+    best = max(r["auc"] for r in rows)
+    assert auc(found.scores, "y", "score").first()["auc"] == best and found.settings == SMALL
+
+
+def test_train_then_score(spark, table):
+    main = table.select("id", F.when(F.col("y") == 1, "yes").otherwise("no").alias("churn"), "kind")
+    fact = table.select(F.col("id").alias("fk"), "signal", "noise", F.lit(None).cast("double").alias("empty"))
+    specs = [FeatureSpec("LATEST", "m", "kind")] + [FeatureSpec("SUM", "f", c) for c in ("signal", "noise", "empty")]
+    plan = FeaturePlan(MainSpec("m", "id", "churn"), specs, [Relationship("f", "fk", "id")])
+    out = scratch_path(spark, "trained")
+    trained = train(plan, {"m": main, "f": fact}, out, rounds=1, subsets=2, settings=SMALL)
+    assert trained.report.first()["n_rows"] == 600 and trained.leaderboard.count() == 2
+    assert "SUM_f_empty" not in trained.plan.feature_names()
+    scores = scratch_path(spark, "scores")
+    score(out, {"m_202509": main.drop("churn"), "f_202509": fact}, scores, {"m": "m_202509", "f": "f_202509"}, fmt="parquet")
+    assert trained.plan.table_names()[0] == "m"
+    result = spark.read.parquet(scores)
+    assert result.columns == ["id", "p_value"] and result.count() == 600
+    assert spark.read.json(f"{out}/report").first()["dataset"] == "m"
