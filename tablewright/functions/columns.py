@@ -16,9 +16,19 @@ MISSING_NUMBER = -99.0
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
+def sql_name(name: str) -> str:
+    """A column's literal name in SQL text, also when it holds dots or spaces."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_text(value: str) -> str:
+    """A text constant in SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def quoted(name: str) -> Column:
-    """A column by its literal name, also when it holds dots or spaces."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """A column by its literal name."""
+    return F.col(sql_name(name))
 
 
 def type_class(dtype: T.DataType) -> str:
@@ -51,6 +61,18 @@ def nan_as_null(df: DataFrame) -> DataFrame:
     return df.select(*[no_nan(quoted(f.name), f.dataType).alias(f.name) for f in df.schema])
 
 
+def sql_no_nan(text: str, dtype: T.DataType) -> str:
+    """SQL for a value whose NaN counts as missing."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return f"nanvl({text}, CAST(NULL AS {dtype.simpleString()}))"
+    return text
+
+
+def sql_category(text: str) -> str:
+    """SQL for a category's text, with a text of its own where it is missing."""
+    return f"coalesce(CAST({text} AS STRING), {sql_text(MISSING_TEXT)})"
+
+
 def to_number(col: Column) -> Column:
     """Double, or null where the text is not a number."""
     return F.nanvl(col.cast("string").try_cast("double"), F.lit(None).cast("double"))
@@ -77,17 +99,17 @@ def key_hash(keys: Iterable[str], *salts: object) -> Column:
     return F.md5(F.concat_ws("|", *parts, *[F.lit(str(s)) for s in salts]))
 
 
-def whole(col: Column, scale: int) -> Column:
-    """A value with ``scale`` decimals as a whole number of its smallest unit."""
-    return F.rint(col.cast("double") * F.lit(float(10**scale))).cast("long")
+def sql_whole(text: str, scale: int) -> str:
+    """SQL for a value with ``scale`` decimals as a whole number of its smallest unit."""
+    return f"CAST(rint(CAST({text} AS DOUBLE) * {10**scale}.0D) AS BIGINT)"
 
 
-def exact_sum(col: Column, scale: int) -> Column:
-    """Sum of values with ``scale`` decimals, kept as whole numbers while adding.
+def sql_exact_sum(text: str, scale: int) -> str:
+    """SQL for a sum of values with ``scale`` decimals, kept as whole numbers while adding.
 
     The result does not depend on the order in which partitions are combined.
     """
-    return F.sum(whole(col, scale)) / F.lit(float(10**scale))
+    return f"(sum({sql_whole(text, scale)}) / {10**scale}.0D)"
 
 
 def bands(value: Column, limits: Sequence[tuple[float, str]], below: str) -> Column:

@@ -1,76 +1,54 @@
-"""Feature operations as aggregate columns.
+"""Feature operations as aggregate expressions.
 
 All aggregates of one table and key are evaluated in one pass. Each operation
-therefore carries its own row condition instead of filtering the table.
+therefore carries its own row condition instead of filtering the table. They are
+SQL text: a plan may have a thousand of them, and a text is one call to Spark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from tablewright.functions.columns import exact_sum
+from tablewright.functions.columns import sql_exact_sum
 from tablewright.plans.spec import FeatureSpec
 
 
-def _where(keep: Column | None, value: Column) -> Column:
-    return value if keep is None else F.when(keep, value)
-
-
-def _sum(spec: FeatureSpec, value: Column, keep: Column | None) -> Column:
-    kept = _where(keep, value)
-    return F.sum(kept) if spec.scale is None else exact_sum(kept, spec.scale)
+def _sum(spec: FeatureSpec, value: str) -> str:
+    return f"sum({value})" if spec.scale is None else sql_exact_sum(value, spec.scale)
 
 
-def _avg(spec: FeatureSpec, value: Column, keep: Column | None) -> Column:
-    kept = _where(keep, value)
+def _avg(spec: FeatureSpec, value: str) -> str:
     if spec.scale is None:
-        return F.avg(kept)
-    return exact_sum(kept, spec.scale) / F.nullif(F.count(kept), F.lit(0))
+        return f"avg({value})"
+    return f"{sql_exact_sum(value, spec.scale)} / nullif(count({value}), 0)"
 
 
-def _count(spec: FeatureSpec, value: Column, keep: Column | None) -> Column:
-    return F.count(_where(keep, value))
-
-
-AGGREGATORS: dict[str, Callable[[FeatureSpec, Column, Column | None], Column]] = {
+AGGREGATORS: dict[str, Callable[[FeatureSpec, str], str]] = {
     "SUM": _sum,
     "AVG": _avg,
-    "COUNT": _count,
-    "MAX": lambda spec, value, keep: F.max(_where(keep, value)),
-    "MIN": lambda spec, value, keep: F.min(_where(keep, value)),
-    "COUNT_DISTINCT": lambda spec, value, keep: F.countDistinct(_where(keep, value)),
+    "COUNT": lambda spec, value: f"count({value})",
+    "MAX": lambda spec, value: f"max({value})",
+    "MIN": lambda spec, value: f"min({value})",
+    "COUNT_DISTINCT": lambda spec, value: f"count(DISTINCT {value})",
 }
 
 
-def feature_aggregate(
-    spec: FeatureSpec,
-    value: Column | None,
-    in_window: Column | None,
-    null_sum: str = "null",
-) -> Column:
-    """The aggregate for ``spec`` over all rows of a key.
+def feature_aggregate(spec: FeatureSpec, value: str | None, in_window: str | None, null_sum: str = "null") -> str:
+    """SQL for the aggregate of ``spec`` over all rows of a key.
 
     A key with no row inside the window gets null from every operation, COUNT
     included; with rows in the window COUNT is at least 0.
     """
-    predicate = F.expr(spec.predicate) if spec.predicate else None
+    rows = "count(1)" if in_window is None else f"count_if({in_window})"
+    conditions = [f"({c})" for c in (in_window, spec.predicate) if c]
+    keep = " AND ".join(conditions)
     if spec.op == "RATE":
-        matched = F.count_if(predicate if in_window is None else in_window & predicate)
-        rows = F.count(F.lit(1)) if in_window is None else F.count_if(in_window)
-        return matched / F.nullif(rows, F.lit(0))
-
-    if value is None:
-        value = F.lit(1)
-    conditions = [c for c in (in_window, predicate) if c is not None]
-    keep = conditions[0] if len(conditions) == 1 else (conditions[0] & conditions[1] if conditions else None)
-    out = AGGREGATORS[spec.op](spec, value, keep)
+        return f"count_if({keep}) / nullif({rows}, 0)"
 
+    value = "1" if value is None else value
+    out = AGGREGATORS[spec.op](spec, f"CASE WHEN {keep} THEN {value} END" if keep else value)
     if spec.op in ("COUNT", "COUNT_DISTINCT") and in_window is not None:
-        return F.when(F.count_if(in_window) > 0, out)
+        return f"CASE WHEN {rows} > 0 THEN {out} END"
     if spec.op == "SUM" and null_sum == "zero":
-        rows = F.count(F.lit(1)) if in_window is None else F.count_if(in_window)
-        return F.when(rows > 0, F.coalesce(out, F.lit(0).cast("double")))
+        return f"CASE WHEN {rows} > 0 THEN coalesce({out}, 0.0D) END"
     return out

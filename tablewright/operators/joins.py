@@ -14,7 +14,7 @@ from tablewright.plans.spec import PlanError
 
 
 # Rows of one key that a single task handles without trouble.
-TASK_ROWS = 1_000_000
+TASK_ROWS = 10_000_000
 # Pieces an even share of a hot key is cut into, so that pieces that meet in one
 # task do not add up to much.
 PIECES = 4

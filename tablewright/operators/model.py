@@ -13,9 +13,10 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAsse
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.util import inheritable_thread_target
 
-from tablewright.functions.columns import category_text, key_hash, no_nan, quoted
+from tablewright.functions.columns import is_numeric, key_hash, quoted, sql_category, sql_name, sql_no_nan
 from tablewright.operators.labels import require_two_classes
 from tablewright.operators.metrics import auc
 from tablewright.operators.prep import split_kinds
@@ -80,10 +81,17 @@ def with_class_weight(df: DataFrame, label: str, n0: int, n1: int) -> DataFrame:
 
 def clean_inputs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Numbers as double with null for missing, categories as text."""
-    numeric, categorical = split_kinds(df.select(*[quoted(c) for c in features]))
-    cleaned = {c: no_nan(quoted(c).cast("double"), df.schema[c].dataType) for c in numeric}
-    cleaned |= {c: category_text(quoted(c)) for c in categorical}
-    return df.select(*[cleaned.get(c, quoted(c)).alias(c) for c in df.columns])
+    chosen = set(features)
+
+    def one(field: T.StructField) -> str:
+        name = sql_name(field.name)
+        if field.name not in chosen:
+            return name
+        if is_numeric(field.dataType):
+            return f"CAST({sql_no_nan(name, field.dataType)} AS DOUBLE) AS {name}"
+        return f"{sql_category(name)} AS {name}"
+
+    return df.selectExpr(*map(one, df.schema))
 
 
 def require_few_categories(df: DataFrame, features: Sequence[str], limit: int = MAX_CATEGORIES) -> None:

@@ -15,6 +15,9 @@ from tablewright.functions.columns import (
     no_nan,
     quoted,
     safe_log1p,
+    sql_name,
+    sql_no_nan,
+    sql_text,
     to_number,
 )
 from tablewright.operators.joins import hot_keys, left_join_all
@@ -24,13 +27,11 @@ from tablewright.plans.spec import PlanError, clean_name
 
 def long_values(df: DataFrame, columns: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """One row per value: ``feature``, ``value`` as double, and the carried columns."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(c).alias("feature"), no_nan(quoted(c).cast("double"), df.schema[c].dataType).alias("value"))
-            for c in columns
-        ]
+    pairs = ", ".join(
+        f"named_struct('feature', {sql_text(c)}, 'value', CAST({sql_no_nan(sql_name(c), df.schema[c].dataType)} AS DOUBLE))"
+        for c in columns
     )
-    return df.select(*[quoted(c) for c in carry], F.explode(pairs).alias("_p")).select(*carry, "_p.*")
+    return df.selectExpr(*map(sql_name, carry), f"inline(array({pairs}))")
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:

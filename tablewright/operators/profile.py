@@ -8,7 +8,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import no_nan, quoted, type_class
+from tablewright.functions.columns import quoted, sql_name, sql_no_nan, sql_text, type_class
 
 # Share of distinct keys above which a table is a snapshot. Fixed value.
 SNAPSHOT_SHARE = 0.95
@@ -42,11 +42,11 @@ def is_snapshot(aux: DataFrame, key: Sequence[str], threshold: float = SNAPSHOT_
 def column_coverage(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Present values per column, all counted in one pass, as rows ``feature, non_null, keep``."""
     columns = list(columns or df.columns)
-    counts = df.agg(*[F.count(no_nan(quoted(c), df.schema[c].dataType)).alias(f"_{i}") for i, c in enumerate(columns)])
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("feature"), F.col(f"_{i}").alias("non_null")) for i, c in enumerate(columns)]
+    counts = df.selectExpr(
+        *[f"count({sql_no_nan(sql_name(c), df.schema[c].dataType)}) AS _{i}" for i, c in enumerate(columns)]
     )
-    return counts.select(F.inline(pairs)).withColumn("keep", (F.col("non_null") > 0).cast("int"))
+    pairs = ", ".join(f"named_struct('feature', {sql_text(c)}, 'non_null', _{i})" for i, c in enumerate(columns))
+    return counts.selectExpr(f"inline(array({pairs}))").withColumn("keep", (F.col("non_null") > 0).cast("int"))
 
 
 def drop_empty_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -11,10 +11,10 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import is_numeric, no_nan, quoted, type_class, whole
+from tablewright.functions.columns import is_numeric, quoted, sql_name, sql_no_nan, sql_whole, type_class
 from tablewright.operators.aggregates import feature_aggregate
 from tablewright.operators.joins import hot_keys, latest_per_key, left_join_all, not_null, require_unique
 from tablewright.plans.spec import (
@@ -28,11 +28,15 @@ from tablewright.plans.spec import (
 )
 from tablewright.plans.validate import require_valid
 
-# Aggregates per pass. Beyond about 100 output fields Spark gives up whole-stage
-# code generation for a node; an average keeps two buffers.
-PASS_SIZE = 40
-# From this many windowed aggregates on, rows are first reduced per time band.
-BAND_FROM = 24
+# Aggregation buffers per pass. Beyond about 100 fields Spark gives up whole-stage
+# code generation for a node.
+PASS_BUFFERS = 80
+# With more buffers than this, rows are first reduced per time band, which needs
+# fewer of them and so fewer passes.
+BAND_FROM = PASS_BUFFERS
+
+# What each operation keeps per key while adding up.
+BUFFERS = {"AVG": ("sum", "count"), "RATE": ("rows", "matched"), "COUNT": ("count", "rows")}
 
 Numbered = list[tuple[int, FeatureSpec]]
 
@@ -41,42 +45,58 @@ def _feature(i: int) -> str:
     return f"_f{i}"
 
 
-def window_bounds(rel: Relationship, df: DataFrame, plan: FeaturePlan, days: int) -> Column:
-    """Rows at most ``days`` before the sample date, as bounds on the time column itself.
+def window_bounds(rel: Relationship, df: DataFrame, plan: FeaturePlan, days: int) -> str:
+    """SQL for rows at most ``days`` before the sample date, as bounds on the time column itself.
 
     Comparing the raw column (rather than a day difference) lets the scan skip
     row groups.
     """
-    time, dtype = quoted(rel.time_column), df.schema[rel.time_column].dataType
+    time, dtype = sql_name(rel.time_column), df.schema[rel.time_column].dataType
     if type_class(dtype) == "datetime":
-        first = F.lit((plan.as_of - dt.timedelta(days=days)).isoformat()).cast(dtype)
-        after = F.lit((plan.as_of + dt.timedelta(days=1)).isoformat()).cast(dtype)
-        return (time >= first) & (time < after) if plan.upper_bound else time >= first
-    return (time >= -days) & (time <= 0) if plan.upper_bound else time >= -days
+        first, after = (
+            f"CAST('{(plan.as_of + dt.timedelta(days=d)).isoformat()}' AS {dtype.simpleString()})" for d in (-days, 1)
+        )
+        upper = f" AND {time} < {after}"
+    else:
+        first, upper = f"{-days}", f" AND {time} <= 0"
+    return f"{time} >= {first}{upper if plan.upper_bound else ''}"
 
 
-def _value(spec: FeatureSpec, df: DataFrame) -> Column | None:
+def _value(spec: FeatureSpec, df: DataFrame) -> str | None:
     if spec.expr:
-        return F.expr(spec.expr)
+        return f"({spec.expr})"
     if spec.column is None:
         return None
-    return no_nan(quoted(spec.column), df.schema[spec.column].dataType)
+    return sql_no_nan(sql_name(spec.column), df.schema[spec.column].dataType)
 
 
 def _fixed_width(spec: FeatureSpec, df: DataFrame) -> bool:
     """Whether the aggregate's buffer can stay in a hash map (text maxima cannot)."""
     if spec.op not in ("MAX", "MIN"):
         return True
-    value = _value(spec, df)
-    dtype = df.select(value.alias("v")).schema["v"].dataType
+    dtype = df.selectExpr(spec.expr).schema[0].dataType if spec.expr else df.schema[spec.column].dataType
     return is_numeric(dtype) or type_class(dtype) != "string"
 
 
-def _batches(specs: Numbered, size: int) -> Iterable[Numbered]:
-    """Batches of specs, those over the same column together so that passes read disjoint columns."""
-    ordered = sorted(specs, key=lambda s: (s[1].column or s[1].expr or "", s[0]))
-    for start in range(0, len(ordered), size):
-        yield ordered[start : start + size]
+def _buffers(specs: Numbered, in_bands: bool) -> set[tuple]:
+    """Distinct buffers of a set of specs. Bands serve all windows with one set."""
+    return {
+        (kind, s.column, s.expr, s.predicate, None if in_bands else s.window_days)
+        for _, s in specs
+        for kind in BUFFERS.get(s.op, (s.op.lower(),))
+    }
+
+
+def _batches(specs: Numbered, in_bands: bool) -> Iterable[Numbered]:
+    """Batches that fit one pass, specs over the same column together so that passes read disjoint columns."""
+    batch: Numbered = []
+    for item in sorted(specs, key=lambda s: (s[1].column or s[1].expr or "", s[0])):
+        if batch and len(_buffers([*batch, item], in_bands)) > PASS_BUFFERS:
+            yield batch
+            batch = []
+        batch.append(item)
+    if batch:
+        yield batch
 
 
 def _single_pass(fact: DataFrame, key: Sequence[str], specs: Numbered, rel: Relationship, plan: FeaturePlan) -> DataFrame:
@@ -84,7 +104,8 @@ def _single_pass(fact: DataFrame, key: Sequence[str], specs: Numbered, rel: Rela
     columns = []
     for i, spec in specs:
         in_window = window_bounds(rel, fact, plan, spec.window_days) if spec.window_days else None
-        columns.append(feature_aggregate(spec, _value(spec, fact), in_window, plan.null_sum).alias(_feature(i)))
+        aggregate = feature_aggregate(spec, _value(spec, fact), in_window, plan.null_sum)
+        columns.append(F.expr(f"{aggregate} AS {_feature(i)}"))
     return fact.groupBy(*[quoted(k) for k in key]).agg(*columns)
 
 
@@ -96,54 +117,47 @@ def _banded(fact: DataFrame, key: Sequence[str], specs: Numbered, rel: Relations
     at most one row per key and band.
     """
     windows = sorted({s.window_days for _, s in specs if s.window_days})
-    band = F.lit(None).cast("int")
-    for position in reversed(range(len(windows))):
-        band = F.when(window_bounds(rel, fact, plan, windows[position]), F.lit(position)).otherwise(
-            F.lit(len(windows)) if position == len(windows) - 1 else band
-        )
+    cases = [f"WHEN {window_bounds(rel, fact, plan, w)} THEN {i}" for i, w in enumerate(windows)]
+    band = f"CASE {' '.join(cases)} ELSE {len(windows)} END"
 
     parts: dict[tuple, str] = {}
-    partial: list[Column] = []
+    partial = ["count(1) AS _rows"]
 
     def part(kind: str, spec: FeatureSpec) -> str:
         identity = (kind, spec.column, spec.expr, spec.predicate, spec.scale if kind == "sum" else None)
         if identity not in parts:
             parts[identity] = f"_p{len(parts)}"
-            value = _value(spec, fact)
-            value = F.lit(1) if value is None else value
+            value = _value(spec, fact) or "1"
             if spec.predicate:
-                value = F.when(F.expr(spec.predicate), value)
+                value = f"CASE WHEN {spec.predicate} THEN {value} END"
             if kind == "sum" and spec.scale is not None:
-                value = whole(value, spec.scale)
-            aggregate = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[kind]
-            partial.append(aggregate(value).alias(parts[identity]))
+                value = sql_whole(value, spec.scale)
+            partial.append(f"{kind}({value}) AS {parts[identity]}")
         return parts[identity]
 
-    def total(name: str, spec: FeatureSpec, how=F.sum) -> Column:
-        col = F.col(name)
-        return how(F.when(F.col("_band") <= windows.index(spec.window_days), col) if spec.window_days else col)
+    def total(name: str, spec: FeatureSpec, how: str = "sum") -> str:
+        if not spec.window_days:
+            return f"{how}({name})"
+        return f"{how}(CASE WHEN _band <= {windows.index(spec.window_days)} THEN {name} END)"
 
-    def sums(spec: FeatureSpec) -> Column:
+    def sums(spec: FeatureSpec) -> str:
         out = total(part("sum", spec), spec)
-        return out if spec.scale is None else out / F.lit(float(10**spec.scale))
+        return out if spec.scale is None else f"({out} / {10**spec.scale}.0D)"
 
-    final: list[Column] = []
-    for i, spec in specs:
+    def combined(spec: FeatureSpec) -> str:
         if spec.op in ("MAX", "MIN"):
-            kind = spec.op.lower()
-            out = total(part(kind, spec), spec, F.max if kind == "max" else F.min)
-        elif spec.op == "COUNT":
-            out = total(part("count", spec), spec)
-        elif spec.op == "AVG":
-            out = sums(spec) / F.nullif(total(part("count", spec), spec), F.lit(0))
-        else:
-            out = sums(spec)
-            if plan.null_sum == "zero":
-                out = F.when(total("_rows", spec) > 0, F.coalesce(out, F.lit(0).cast("double")))
-        final.append(out.alias(_feature(i)))
+            return total(part(spec.op.lower(), spec), spec, spec.op.lower())
+        if spec.op == "COUNT":
+            return total(part("count", spec), spec)
+        if spec.op == "AVG":
+            return f"{sums(spec)} / nullif({total(part('count', spec), spec)}, 0)"
+        if plan.null_sum == "zero":
+            return f"CASE WHEN {total('_rows', spec)} > 0 THEN coalesce({sums(spec)}, 0.0D) END"
+        return sums(spec)
 
-    bands = fact.groupBy(*[quoted(k) for k in key], band.alias("_band")).agg(F.count(F.lit(1)).alias("_rows"), *partial)
-    return bands.groupBy(*key).agg(*final)
+    final = [F.expr(f"{combined(spec)} AS {_feature(i)}") for i, spec in specs]
+    bands = fact.groupBy(*[quoted(k) for k in key], F.expr(f"{band} AS _band")).agg(*[F.expr(p) for p in partial])
+    return bands.groupBy(*[quoted(k) for k in key]).agg(*final)
 
 
 def _per_key(df: DataFrame, key: Sequence[str], specs: Numbered, rel: Relationship, plan: FeaturePlan) -> list[DataFrame]:
@@ -164,18 +178,17 @@ def _per_key(df: DataFrame, key: Sequence[str], specs: Numbered, rel: Relationsh
     for group in (hashed, others):
         if group and all(s.window_days for _, s in group):
             longest = max(s.window_days for _, s in group)
-            source = fact.filter(window_bounds(rel, fact, plan, longest))
+            source = fact.filter(F.expr(window_bounds(rel, fact, plan, longest)))
         else:
             source = fact
-        if group is hashed:
-            windowed = [s for _, s in group if s.window_days]
-            spans = {s.window_days for s in windowed}
-            in_bands = len(windowed) >= BAND_FROM and len(spans) > 1 and all(s.op in AGGREGATES for _, s in group)
-            reduce_rows = _banded if in_bands else _single_pass
-            size = PASS_SIZE * (len(spans) if in_bands else 1)
-            out += [reduce_rows(source, key, batch, rel, plan) for batch in _batches(group, size)]
-        elif group:
-            out += [_single_pass(source, key, batch, rel, plan) for batch in _batches(group, PASS_SIZE)]
+        in_bands = (
+            group is hashed
+            and len(_buffers(group, False)) > BAND_FROM
+            and len({s.window_days for _, s in group if s.window_days}) > 1
+            and all(s.op in AGGREGATES for _, s in group)
+        )
+        reduce_rows = _banded if in_bands else _single_pass
+        out += [reduce_rows(source, key, batch, rel, plan) for batch in _batches(group, in_bands)]
 
     for order_by, group in latest.items():
         values = {_feature(i): s.column for i, s in group}
@@ -189,13 +202,13 @@ def _per_key(df: DataFrame, key: Sequence[str], specs: Numbered, rel: Relationsh
 def _collapsed_main(base: DataFrame, plan: FeaturePlan, specs: Numbered, label: Sequence[str]) -> DataFrame:
     """One row per main key: passthrough columns and unordered LATEST as maxima."""
     key = list(plan.main.key)
-    plain = {c: F.max(quoted(c)).alias(c) for c in [*plan.passthrough, *label]}
+    plain = {c: f"max({sql_name(c)}) AS {sql_name(c)}" for c in [*plan.passthrough, *label]}
     for i, spec in specs:
         if spec.op == LATEST and not spec.order_by:
-            plain[_feature(i)] = F.max(_value(spec, base)).alias(_feature(i))
+            plain[_feature(i)] = f"max({_value(spec, base)}) AS {_feature(i)}"
         elif spec.op != LATEST:
-            plain[_feature(i)] = feature_aggregate(spec, _value(spec, base), None, plan.null_sum).alias(_feature(i))
-    out = not_null(base, key).groupBy(*key).agg(*(plain.values() or [F.count(F.lit(1)).alias("_rows")]))
+            plain[_feature(i)] = f"{feature_aggregate(spec, _value(spec, base), None, plan.null_sum)} AS {_feature(i)}"
+    out = not_null(base, key).groupBy(*key).agg(*[F.expr(e) for e in plain.values() or ["count(1) AS _rows"]])
     ordered = [(i, s) for i, s in specs if s.op == LATEST and s.order_by]
     for order_by in dict.fromkeys(s.order_by for _, s in ordered):
         values = {_feature(i): s.column for i, s in ordered if s.order_by == order_by}
@@ -264,7 +277,7 @@ def build_wide_table(
         if check_grain and main.grain == "key":
             require_unique(base, key, f"main table {main.table!r}")
         carried = list(dict.fromkeys([*key, *foreign, *label, *plan.passthrough]))
-        out = base.select(*[quoted(c) for c in carried], *[_value(s, base).alias(_feature(i)) for i, s in own])
+        out = base.selectExpr(*map(sql_name, carried), *[f"{_value(s, base)} AS {_feature(i)}" for i, s in own])
 
     frames: dict[tuple[str, ...], list[DataFrame]] = {}
     for name, specs in others.items():
@@ -286,7 +299,7 @@ def build_wide_table(
     names = plan.feature_names()
     shown = list(short_aliases(names)) if short_alias else names
     features = [
-        (F.lit(None).cast("double") if i in missing else F.col(_feature(i))).alias(shown[i]) for i, _ in numbered
+        f"{'CAST(NULL AS DOUBLE)' if i in missing else _feature(i)} AS {sql_name(shown[i])}" for i, _ in numbered
     ]
     kept = list(dict.fromkeys([*key, *label, *plan.passthrough]))
-    return out.select(*[quoted(c) for c in kept], *features)
+    return out.selectExpr(*map(sql_name, kept), *features)

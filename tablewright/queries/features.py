@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import exact_sum
+from tablewright.functions.columns import sql_exact_sum
 from tablewright.operators.derive import cross_feature, ratio_bands
 from tablewright.operators.joins import group_feature
 from tablewright.operators.score import align_features, restore_names
@@ -298,7 +298,7 @@ def ratio_band_feature(spark, sf):
     from customer window w as (partition by c_mktsegment)""", name="group_feature")
 def group_features(spark, sf):
     customer = customer_tables(spark, sf)["customer"]
-    mean = exact_sum(F.col("c_acctbal"), 2) / F.count("c_acctbal")
+    mean = F.expr(f"{sql_exact_sum('c_acctbal', 2)} / count(c_acctbal)")
     out = group_feature(customer, ["c_mktsegment"], "segment_avg", mean)
     out = group_feature(out, ["c_nationkey", "c_mktsegment"], "nation_segment_max", F.max("c_acctbal"))
     return out.select("c_custkey", "c_mktsegment", "segment_avg", "nation_segment_max")
@@ -390,17 +390,26 @@ def align_for_scoring(spark, sf):
 
 
 GRID_COLUMNS = {"l_quantity": 2, "l_extendedprice": 2, "l_discount": 2, "l_tax": 2, "l_linenumber": 0}
-_GRID = [
-    (op, c, d) for c in ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    for op in ("AVG", "SUM", "MAX", "MIN") for d in (30, 90, 365)
-]
+GRID_OPS = ("AVG", "SUM", "MAX", "MIN")
+MANY_WINDOWS = (30, 90, 365, 730, 1460)
+
+
+def lines_grid_sql(windows) -> str:
+    return order_sql(
+        *[
+            windowed_sql(c, "lineitem", f"{op}_lineitem_{c}_{d}d", "l_shipdate", ORDER_AS_OF, d, op, scale)
+            for c, scale in GRID_COLUMNS.items()
+            for op in GRID_OPS
+            for d in windows
+        ]
+    )
 
 
 @query(
     customer_sql(
         *[
             windowed_sql(PRICE, "orders", f"{op}_orders_{PRICE}_{d}d", "o_orderdate", CUSTOMER_AS_OF, d, op)
-            for op in ("AVG", "SUM", "MAX", "MIN")
+            for op in GRID_OPS
             for d in (30, 90, 365)
         ]
     )
@@ -411,15 +420,18 @@ def feature_grid(spark, sf):
     return build_wide_table(customer_plan(*specs), tables)
 
 
-@query(
-    order_sql(
-        *[
-            windowed_sql(c, "lineitem", f"{op}_lineitem_{c}_{d}d", "l_shipdate", ORDER_AS_OF, d, op, GRID_COLUMNS[c])
-            for op, c, d in _GRID
-        ]
-    )
-)
-def feature_grid_lines(spark, sf):
+def lines_grid(spark, sf, windows):
     tables = order_tables(spark, sf)
-    specs = window_grid(tables, [LINES], exclude=["l_partkey", "l_suppkey"], scales=GRID_COLUMNS)
+    specs = window_grid(tables, [LINES], windows, exclude=["l_partkey", "l_suppkey"], scales=GRID_COLUMNS)
     return build_wide_table(FeaturePlan(ORDER, specs, (LINES,), ORDER_AS_OF), tables)
+
+
+@query(lines_grid_sql((30, 90, 365)))
+def feature_grid_lines(spark, sf):
+    return lines_grid(spark, sf, (30, 90, 365))
+
+
+@query(lines_grid_sql(MANY_WINDOWS))
+def feature_grid_many_windows(spark, sf):
+    """More aggregates than one pass holds: reduced per time band first."""
+    return lines_grid(spark, sf, MANY_WINDOWS)
