@@ -14,11 +14,10 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import is_numeric, quoted, sql_name, sql_no_nan, sql_whole, type_class
+from tablewright.functions.columns import is_numeric, quoted, sql_name, sql_no_nan, type_class
 from tablewright.operators.aggregates import feature_aggregate
 from tablewright.operators.joins import hot_keys, latest_per_key, left_join_all, not_null, require_unique
 from tablewright.plans.spec import (
-    AGGREGATES,
     LATEST,
     FeaturePlan,
     FeatureSpec,
@@ -31,10 +30,6 @@ from tablewright.plans.validate import require_valid
 # Aggregation buffers per pass. Beyond about 100 fields Spark gives up whole-stage
 # code generation for a node.
 PASS_BUFFERS = 80
-# With more buffers than this, rows are first reduced per time band, which needs
-# fewer of them and so fewer passes.
-BAND_FROM = PASS_BUFFERS
-
 # What each operation keeps per key while adding up.
 BUFFERS = {"AVG": ("sum", "count"), "RATE": ("rows", "matched"), "COUNT": ("count", "rows")}
 
@@ -78,20 +73,20 @@ def _fixed_width(spec: FeatureSpec, df: DataFrame) -> bool:
     return is_numeric(dtype) or type_class(dtype) != "string"
 
 
-def _buffers(specs: Numbered, in_bands: bool) -> set[tuple]:
-    """Distinct buffers of a set of specs. Bands serve all windows with one set."""
+def _buffers(specs: Numbered) -> set[tuple]:
+    """Distinct buffers of a set of specs: equal ones are kept once."""
     return {
-        (kind, s.column, s.expr, s.predicate, None if in_bands else s.window_days)
+        (kind, s.column, s.expr, s.predicate, s.window_days)
         for _, s in specs
         for kind in BUFFERS.get(s.op, (s.op.lower(),))
     }
 
 
-def _batches(specs: Numbered, in_bands: bool) -> Iterable[Numbered]:
+def _batches(specs: Numbered) -> Iterable[Numbered]:
     """Batches that fit one pass, specs over the same column together so that passes read disjoint columns."""
     batch: Numbered = []
     for item in sorted(specs, key=lambda s: (s[1].column or s[1].expr or "", s[0])):
-        if batch and len(_buffers([*batch, item], in_bands)) > PASS_BUFFERS:
+        if batch and len(_buffers([*batch, item])) > PASS_BUFFERS:
             yield batch
             batch = []
         batch.append(item)
@@ -109,57 +104,6 @@ def _single_pass(fact: DataFrame, key: Sequence[str], specs: Numbered, rel: Rela
     return fact.groupBy(*[quoted(k) for k in key]).agg(*columns)
 
 
-def _banded(fact: DataFrame, key: Sequence[str], specs: Numbered, rel: Relationship, plan: FeaturePlan) -> DataFrame:
-    """Two aggregations: per key and time band, then bands into windows.
-
-    Nested windows share their rows. Each row is added to one band only, so the
-    work per row does not grow with the number of windows; the second step reads
-    at most one row per key and band.
-    """
-    windows = sorted({s.window_days for _, s in specs if s.window_days})
-    cases = [f"WHEN {window_bounds(rel, fact, plan, w)} THEN {i}" for i, w in enumerate(windows)]
-    band = f"CASE {' '.join(cases)} ELSE {len(windows)} END"
-
-    parts: dict[tuple, str] = {}
-    partial = ["count(1) AS _rows"]
-
-    def part(kind: str, spec: FeatureSpec) -> str:
-        identity = (kind, spec.column, spec.expr, spec.predicate, spec.scale if kind == "sum" else None)
-        if identity not in parts:
-            parts[identity] = f"_p{len(parts)}"
-            value = _value(spec, fact) or "1"
-            if spec.predicate:
-                value = f"CASE WHEN {spec.predicate} THEN {value} END"
-            if kind == "sum" and spec.scale is not None:
-                value = sql_whole(value, spec.scale)
-            partial.append(f"{kind}({value}) AS {parts[identity]}")
-        return parts[identity]
-
-    def total(name: str, spec: FeatureSpec, how: str = "sum") -> str:
-        if not spec.window_days:
-            return f"{how}({name})"
-        return f"{how}(CASE WHEN _band <= {windows.index(spec.window_days)} THEN {name} END)"
-
-    def sums(spec: FeatureSpec) -> str:
-        out = total(part("sum", spec), spec)
-        return out if spec.scale is None else f"({out} / {10**spec.scale}.0D)"
-
-    def combined(spec: FeatureSpec) -> str:
-        if spec.op in ("MAX", "MIN"):
-            return total(part(spec.op.lower(), spec), spec, spec.op.lower())
-        if spec.op == "COUNT":
-            return total(part("count", spec), spec)
-        if spec.op == "AVG":
-            return f"{sums(spec)} / nullif({total(part('count', spec), spec)}, 0)"
-        if plan.null_sum == "zero":
-            return f"CASE WHEN {total('_rows', spec)} > 0 THEN coalesce({sums(spec)}, 0.0D) END"
-        return sums(spec)
-
-    final = [F.expr(f"{combined(spec)} AS {_feature(i)}") for i, spec in specs]
-    bands = fact.groupBy(*[quoted(k) for k in key], F.expr(f"{band} AS _band")).agg(*[F.expr(p) for p in partial])
-    return bands.groupBy(*[quoted(k) for k in key]).agg(*final)
-
-
 def _per_key(df: DataFrame, key: Sequence[str], specs: Numbered, rel: Relationship, plan: FeaturePlan) -> list[DataFrame]:
     """Frames with one row per key that together hold all features of a table."""
     out: list[DataFrame] = []
@@ -181,14 +125,7 @@ def _per_key(df: DataFrame, key: Sequence[str], specs: Numbered, rel: Relationsh
             source = fact.filter(F.expr(window_bounds(rel, fact, plan, longest)))
         else:
             source = fact
-        in_bands = (
-            group is hashed
-            and len(_buffers(group, False)) > BAND_FROM
-            and len({s.window_days for _, s in group if s.window_days}) > 1
-            and all(s.op in AGGREGATES for _, s in group)
-        )
-        reduce_rows = _banded if in_bands else _single_pass
-        out += [reduce_rows(source, key, batch, rel, plan) for batch in _batches(group, in_bands)]
+        out += [_single_pass(source, key, batch, rel, plan) for batch in _batches(group)]
 
     for order_by, group in latest.items():
         values = {_feature(i): s.column for i, s in group}

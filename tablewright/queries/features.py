@@ -433,5 +433,5 @@ def feature_grid_lines(spark, sf):
 
 @query(lines_grid_sql(MANY_WINDOWS))
 def feature_grid_many_windows(spark, sf):
-    """More aggregates than one pass holds: reduced per time band first."""
+    """More aggregates than one pass holds: two passes over disjoint columns."""
     return lines_grid(spark, sf, MANY_WINDOWS)

@@ -57,9 +57,9 @@ def test_nan_is_missing(spark):
 FACT = [(1, 1.0, -5), (1, 2.0, -40), (1, 4.0, 3), (1, 8.0, None), (2, 1.0, -400), (3, None, -1)]
 
 
-@pytest.mark.parametrize("banded", [False, True])
-def test_windows(spark, monkeypatch, banded):
-    monkeypatch.setattr(compiler, "BAND_FROM", 0 if banded else 10**6)
+@pytest.mark.parametrize("buffers", [3, 80])
+def test_windows(spark, monkeypatch, buffers):
+    monkeypatch.setattr(compiler, "PASS_BUFFERS", buffers)
     fact = spark.createDataFrame(FACT, "k long, v double, days int")
     specs = [FeatureSpec(op, "f", "v", w) for w in (10, 90) for op in OPS] + [FeatureSpec("SUM", "f", "v")]
     got = rows(wide(spark, mains(spark, 1, 2, 3), fact, specs))
@@ -81,18 +81,6 @@ def test_window_over_dates(spark, kind):
     assert got["SUM_f_v_7d"] == 3.0
 
 
-def test_banded_equals_single_pass_on_data(spark, sf, monkeypatch):
-    from tablewright.queries import ALL
-
-    build = ALL["feature_grid_lines"].build
-    single = build(spark, sf)
-    monkeypatch.setattr(compiler, "BAND_FROM", 0)
-    banded = build(spark, sf)
-    assert "_band" in banded._jdf.queryExecution().analyzed().toString()
-    assert "_band" not in single._jdf.queryExecution().analyzed().toString()
-    assert banded.exceptAll(single).count() == 0 and single.exceptAll(banded).count() == 0
-
-
 def test_many_aggregates_are_split_into_passes(spark, monkeypatch):
     monkeypatch.setattr(compiler, "PASS_BUFFERS", 2)
     fact = spark.createDataFrame([(1, 1.0, 2.0)], "k long, v double, w double")
