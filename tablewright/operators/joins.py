@@ -67,15 +67,23 @@ def hot_keys(df: DataFrame, key: Sequence[str], task_rows: int = TASK_ROWS) -> l
     partition in all. Counts are combined on the map side: a hot key costs one
     row per task. A key of at most ``task_rows`` rows is never hot.
     """
-    parts = shuffle_parts(df)
     types = {k: df.schema[k].dataType for k in key}
     counts = df.groupBy(_key_number(key, types).alias("_hash")).count()
     seen = counts.agg(F.sum("count").alias("total"), F.max("count").alias("most")).first()
-    even = max((seen["total"] or 0) / parts, task_rows)
+    even = even_share(df, seen["total"] or 0, task_rows)
     if (seen["most"] or 0) <= even:
         return []
     found = counts.filter(F.col("count") > even).collect()
-    return [(row["_hash"], -(-row["count"] * parts * PIECES // seen["total"])) for row in found]
+    return [(row["_hash"], pieces(df, row["count"], seen["total"])) for row in found]
+
+
+def even_share(df: DataFrame, total: int, task_rows: int = TASK_ROWS) -> float:
+    """Rows of a key above which it is hot."""
+    return max(total / shuffle_parts(df), task_rows)
+
+
+def pieces(df: DataFrame, count: int, total: int) -> int:
+    return -(-count * shuffle_parts(df) * PIECES // total)
 
 
 def left_join_all(

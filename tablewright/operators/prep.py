@@ -15,12 +15,13 @@ from tablewright.functions.columns import (
     no_nan,
     quoted,
     safe_log1p,
+    sql_category,
     sql_name,
     sql_no_nan,
     sql_text,
     to_number,
 )
-from tablewright.operators.joins import hot_keys, left_join_all
+from tablewright.operators.joins import TASK_ROWS, even_share, left_join_all, pieces
 from tablewright.operators.running import distinct_ranks, running_sums
 from tablewright.plans.spec import PlanError, clean_name
 
@@ -74,12 +75,26 @@ def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Dictionary of several columns, as rows ``column, text, code``: distinct texts in alphabetical order."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), category_text(quoted(c)).alias("text")) for c in columns])
-    return distinct_ranks(df.select(F.inline(pairs)), "text", ["column"])
-
-
-def label_encode(df: DataFrame, columns: Sequence[str], suffix: str = "_code") -> DataFrame:
+    """Dictionary of several columns, as rows ``column, text, n, code``: distinct texts in alphabetical order."""
+    pairs = ", ".join(f"named_struct('column', {sql_text(c)}, 'text', {sql_category(sql_name(c))})" for c in columns)
+    return distinct_ranks(df.selectExpr(f"inline(array({pairs}))"), "text", ["column"])
+
+
+def hot_texts(codes: DataFrame, task_rows: int = TASK_ROWS) -> dict[str, list[tuple[int, int]]]:
+    """What ``hot_keys`` gives for each column, read off its dictionary."""
+    seen = {
+        row["column"]: (row["total"], even_share(codes, row["total"], task_rows), row["most"])
+        for row in codes.groupBy("column").agg(F.sum("n").alias("total"), F.max("n").alias("most")).collect()
+    }
+    out: dict[str, list[tuple[int, int]]] = {column: [] for column in seen}
+    for column, (total, even, most) in seen.items():
+        if most > even:
+            hot = codes.filter((F.col("column") == column) & (F.col("n") > even)).select(F.xxhash64("text"), "n")
+            out[column] = [(number, pieces(codes, n, total)) for number, n in hot.collect()]
+    return out
+
+
+def label_encode(df: DataFrame, columns: Sequence[str], suffix: str = "_code", task_rows: int = TASK_ROWS) -> DataFrame:
     """Add alphabetical codes; a missing value has its own code.
 
     The dictionary stays a table and is joined, whatever its size. A text that
@@ -88,11 +103,12 @@ def label_encode(df: DataFrame, columns: Sequence[str], suffix: str = "_code") -
     if not columns:
         return df
     codes = category_codes(df, columns)
+    hot = hot_texts(codes, task_rows)
     for column in columns:
         text = f"_{column}_text"
         side = codes.filter(F.col("column") == column).select(F.col("text").alias(text), F.col("code").alias(column + suffix))
         df = df.withColumn(text, category_text(quoted(column)))
-        df = left_join_all(df, [side], [text], hot_keys(df, [text])).drop(text)
+        df = left_join_all(df, [side], [text], hot.get(column, [])).drop(text)
     return df
 
 

@@ -52,7 +52,7 @@ def running_sums(df: DataFrame, order: Sequence[str], sums: Sequence[str], group
 
 
 def distinct_ranks(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
-    """Every distinct value with its position in sorted order, from 0."""
-    distinct = df.select(*group, value).distinct().withColumn("_one", F.lit(1))
-    ranked = running_sums(distinct, [value], ["_one"], group)
-    return ranked.select(*group, value, (F.col("_one_upto") - 1).alias("code"))
+    """Every distinct value with its number of rows and its position in sorted order, from 0."""
+    counted = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
+    ranked = running_sums(counted, [value], ["_one"], group)
+    return ranked.select(*group, value, "n", (F.col("_one_upto") - 1).alias("code"))

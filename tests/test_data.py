@@ -18,6 +18,8 @@ from tablewright.operators.labels import (
 )
 from tablewright.operators.prep import (
     categories_as_text,
+    category_codes,
+    hot_texts,
     impute_median,
     label_encode,
     log_scale,
@@ -98,6 +100,7 @@ def test_preparation(spark):
 
     assert column(impute_median(df, ["v"]), "v") == [1.0, 3.0, 5.0, 3.0]
     assert column(label_encode(df, ["c"]), "c_code") == [2, 1, 0, 2]  # the missing text sorts first
+    assert column(label_encode(df, ["c"], task_rows=0), "c_code") == [2, 1, 0, 2]
     hot = one_hot(df, ["c"])
     assert hot.columns == ["k", "v", "c___missing__", "c_a", "c_b"] and column(hot, "c_b") == [1, 0, 0, 1]
     unseen = one_hot(df, ["c"], {"c": ["a", "z"]})
@@ -115,6 +118,16 @@ def test_preparation(spark):
     assert column(categories_as_text(df, ["c"]), "c") == ["b", "a", "__missing__", "b"]
 
 
+def test_a_text_most_rows_share_gets_its_code(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("c"))
+    plain, spread = label_encode(df, ["c"]), label_encode(df, ["c"], task_rows=10)
+    assert hot_texts(category_codes(df, ["c"]), 10)["c"][0][1] > 8
+    assert plain.exceptAll(spread).count() == 0 and spread.count() == 3000
+    order = sorted({"hot", *(str(i) for i in range(3000) if i % 3)})
+    codes = {r["id"]: r["c_code"] for r in spread.collect()}
+    assert all(codes[i] == order.index(str(i) if i % 3 else "hot") for i in range(0, 3000, 37))
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("1.5",), ("x",), (None,), ("NaN",)], "t string")
     assert [r[0] for r in df.select(to_number(F.col("t"))).collect()] == [1.5, None, None, None]
