@@ -144,11 +144,11 @@ def group_feature(
 
 
 def orphan_keys(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, relation: str) -> DataFrame:
-    """How many child rows and keys have no parent. Child keys are counted before the join."""
+    """How many child rows and keys have no parent. Both sides are reduced to their keys before the join."""
     keys = child.filter(quoted(child_key).isNotNull()).groupBy(quoted(child_key).alias("_key")).agg(
         F.count(F.lit(1)).alias("_rows")
     )
-    lost = keys.join(parent.select(quoted(parent_key).alias("_key")), "_key", "left_anti")
+    lost = keys.join(parent.select(quoted(parent_key).alias("_key")).distinct(), "_key", "left_anti")
     return lost.agg(
         F.lit(relation).alias("relation"),
         F.count(F.lit(1)).alias("orphan_keys"),

@@ -9,6 +9,7 @@ rows are written once, so partition numbers stay the same for both steps.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ _PART = "_part"
 def running_sums(df: DataFrame, order: Sequence[str], sums: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """Add ``<s>_upto`` (sum up to and including the row) and ``<s>_total`` for every ``s``.
 
-    ``order`` must tell the rows of a group apart, and ``group`` must not be null.
+    ``order`` must tell the rows of a group apart. Null group values form a group.
     """
     group, order = list(group), list(order)
     placed = materialise(
@@ -41,13 +42,12 @@ def running_sums(df: DataFrame, order: Sequence[str], sums: Sequence[str], group
     local = (
         Window.partitionBy(_PART, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        placed.join(F.broadcast(offsets), [_PART, *group])
-        .select(
-            *df.columns,
-            *[(F.sum(s).over(local) + F.col(f"_before_{s}")).alias(f"{s}_upto") for s in sums],
-            *[F.col(f"{s}_total") for s in sums],
-        )
+    offsets = offsets.withColumnsRenamed({c: f"_of_{c}" for c in [_PART, *group]})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group], F.col(_PART) == F.col(f"_of_{_PART}"))
+    return placed.join(F.broadcast(offsets), same).select(
+        *df.columns,
+        *[(F.sum(s).over(local) + F.col(f"_before_{s}")).alias(f"{s}_upto") for s in sums],
+        *[F.col(f"{s}_total") for s in sums],
     )
 
 

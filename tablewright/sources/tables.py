@@ -11,6 +11,9 @@ from tablewright.functions.columns import quoted
 from tablewright.plans.spec import PlanError, Relationship, as_tuple
 from tablewright.sources.csv import clean_columns
 
+# Most keys of a limited main table that are sent to every task.
+MAX_SENT_KEYS = 1_000_000
+
 Source = Callable[[str], DataFrame]
 
 
@@ -83,6 +86,8 @@ def read_tables(
                 raise PlanError(f"a limit needs the relationship of {name!r} to {main!r}")
             rel = rels[name]
             kept = out[main].select(*[quoted(m).alias(k) for k, m in zip(rel.key, rel.main_key)]).distinct()
+            # The limit bounds the keys; sent to the rows, no key is too hot.
+            kept = F.broadcast(kept) if limit <= MAX_SENT_KEYS else kept
             df = df.join(kept, list(as_tuple(rel.key)), "left_semi")
         out[name] = df
     return out

@@ -75,6 +75,18 @@ def test_groups_and_missing_scores(spark):
     assert {r["g"]: (r["auc"], r["n_pos"]) for r in auc(df, "y", "s", ["g"]).collect()} == {"a": (1.0, 1), "b": (0.0, 1)}
 
 
+def test_null_groups_are_kept(spark):
+    df = spark.createDataFrame([(None, 0, 1.0), (None, 1, 2.0), ("b", 0, 2.0), ("b", 1, 1.0)], "g string, y int, s double")
+    assert {r["g"]: r["auc"] for r in auc(df, "y", "s", ["g"]).collect()} == {None: 1.0, "b": 0.0}
+
+
+def test_rows_without_label_keep_a_fold(spark):
+    df = spark.range(30).select("id", F.when(F.col("id") % 3 < 2, F.col("id") % 3).alias("y"))
+    folds = stratified_folds(df, ["id"], "y")
+    counts = {(r["y"], r["fold"]): r["count"] for r in folds.groupBy("y", "fold").count().collect()}
+    assert folds.count() == 30 and len(counts) == 9 and all(3 <= n <= 4 for n in counts.values())
+
+
 def test_running_sums_over_many_partitions(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
