@@ -389,7 +389,8 @@ def align_for_scoring(spark, sf):
     return align_features(wide, whitelist, {"f003": "source_number"}, carry=["doc_id"])
 
 
-GRID_COLUMNS = {"l_quantity": 2, "l_extendedprice": 2, "l_discount": 2, "l_tax": 2, "l_linenumber": 0}
+# Decimals of the numeric columns of the lines, in table order.
+GRID_COLUMNS = {"l_linenumber": 0, "l_quantity": 2, "l_extendedprice": 2, "l_discount": 2, "l_tax": 2}
 GRID_OPS = ("AVG", "SUM", "MAX", "MIN")
 MANY_WINDOWS = (30, 90, 365, 730, 1460)
 

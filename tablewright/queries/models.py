@@ -33,6 +33,7 @@ from tablewright.operators.search import (
 from tablewright.plans.compile import build_wide_table
 from tablewright.plans.spec import FeaturePlan
 from tablewright.queries.base import DOCUMENTS, LABEL, LINES, ORDER, ORDER_AS_OF, document_tables, order_tables, registry
+from tablewright.queries.features import GRID_COLUMNS, GRID_OPS
 from tablewright.queries.metrics import (
     DOCUMENT_CODES_SQL,
     ORDER_FEATURES,
@@ -98,7 +99,24 @@ def initial_pool(spark, sf):
     return spec_rows(spark, pool).select("feature", "op", "table", "column", "position")
 
 
-@query()
+_ORDER_COLUMNS = ["o_totalprice", "o_orderdate", "o_orderpriority"]
+_ORDER_CODES_SQL = """select (o_orderstatus = 'F')::int as label, o_totalprice, dense_rank() over (order by o_orderdate) as o_orderdate,
+    dense_rank() over (order by o_orderpriority) as o_orderpriority from orders"""
+_GRID_ROWS = ", ".join(
+    f"('{op}_lineitem_{c}_{d}d', '{op}', 'lineitem', '{c}', {d}, {i})"
+    for i, (c, op, d) in enumerate(
+        ((c, op, d) for c in GRID_COLUMNS for op in GRID_OPS for d in (30, 90, 365)), start=len(_ORDER_COLUMNS)
+    )
+)
+
+
+@query(f"""
+    select 'LATEST_orders_' || feature as feature, 'LATEST' as op, 'orders' as "table", feature as "column",
+           null::int as window_days, (row_number() over (order by score desc, position) - 1)::int as position
+    from ({screen_sql(_ORDER_CODES_SQL, _ORDER_COLUMNS)} select * from screened)
+    union all
+    select feature, op, "table", "column", window_days, position
+    from (values {_GRID_ROWS}) as grid(feature, op, "table", "column", window_days, position)""")
 def initial_pool_orders(spark, sf):
     """The pool for orders: screened columns, then the window grid over the lines."""
     plan = FeaturePlan(ORDER, (), (LINES,), ORDER_AS_OF, exclude=("o_orderstatus", "o_custkey", "l_partkey", "l_suppkey"))
