@@ -6,7 +6,6 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from tablewright.functions.columns import bands, quoted, ratio
 from tablewright.plans.spec import PlanError

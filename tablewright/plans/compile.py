@@ -2,14 +2,15 @@
 
 Every related table is scanned once per batch of columns and reduced to one row
 per key before it is joined, so no join multiplies rows and a key with many rows
-costs one partial row per map task. Joins run in plan order; the last step is a
-single projection.
+costs one partial row per map task. The last step is a single projection in plan
+order.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from tablewright.plans.validate import require_valid
 # Aggregation buffers per pass. Beyond about 100 fields Spark gives up whole-stage
 # code generation for a node.
 PASS_BUFFERS = 80
+
 # What each operation keeps per key while adding up.
 BUFFERS = {"AVG": ("sum", "count"), "RATE": ("rows", "matched"), "COUNT": ("count", "rows")}
 
@@ -186,7 +188,7 @@ def build_wide_table(
     label = [plan.main.label] if plan.main.label and keep_label and not scoring else []
     checked = plan.with_specs(s for i, s in numbered if i not in missing)
     if scoring and plan.main.label and plan.main.label not in bound[plan.main.table].columns:
-        checked = FeaturePlan(**{**checked.__dict__, "main": type(plan.main)(plan.main.table, plan.main.key, None, plan.main.grain)})
+        checked = replace(checked, main=replace(plan.main, label=None))
     require_valid(checked, bound)
 
     def source(name: str) -> DataFrame:

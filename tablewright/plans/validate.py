@@ -31,7 +31,7 @@ def _check_spec(plan: FeaturePlan, spec: FeatureSpec, tables: Mapping[str, DataF
 
     if spec.column is not None and spec.column not in df.columns:
         out.append(f"{name}: no column {spec.column!r} in {spec.table!r}")
-    banned = {*plan.exclude, *main.key, *( [main.label] if main.label else [])}
+    banned = {*plan.exclude, *main.key, *([main.label] if main.label else [])}
     if spec.column in banned:
         out.append(f"{name}: column {spec.column!r} is a key, the label or excluded")
     for text in (spec.expr, spec.predicate):
@@ -116,6 +116,8 @@ def validate(plan: FeaturePlan, tables: Mapping[str, DataFrame]) -> list[str]:
         out += _check_spec(plan, spec, tables)
     names = plan.feature_names()
     out += [f"feature name {n!r} is used twice" for n in sorted({n for n in names if names.count(n) > 1})]
+    kept = {*main.key, *plan.passthrough, *([main.label] if main.label else [])}
+    out += [f"feature name {n!r} is a key, label or passthrough column" for n in names if n in kept]
     return out
 
 

@@ -16,7 +16,7 @@ from tablewright.operators.profile import candidate_columns
 from tablewright.operators.screen import KEEP_SHARE_MULTI, keep_count, screen_univariate, top_k, weakest
 from tablewright.plans.compile import build_wide_table
 from tablewright.plans.spec import FeaturePlan, FeatureSpec
-from tablewright.queries.base import LINES, ORDER, ORDER_AS_OF, document_tables, exact, order_tables, read, registry, within
+from tablewright.queries.base import LINES, ORDER, ORDER_AS_OF, document_tables, exact, order_tables, registry, within
 
 QUERIES, query = registry()
 

@@ -1,6 +1,5 @@
 """Labels, preparation, profiles, sources, sinks and logs."""
 
-import datetime as dt
 import math
 
 import pytest

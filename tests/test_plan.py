@@ -103,6 +103,14 @@ def test_window_needs_a_time_column(spark):
     assert validate(good, _tables(spark)) == []
 
 
+def test_names_must_not_clash(spark):
+    twice = [FeatureSpec("SUM", "f", "v", alias="a"), FeatureSpec("MAX", "f", "v", alias="a")]
+    own = [FeatureSpec("SUM", "f", "v", alias="y")]
+    rels = [Relationship("f", "k", "k")]
+    assert any("twice" in i for i in validate(FeaturePlan(MainSpec("m", "k", "y"), twice, rels), _tables(spark)))
+    assert any("is a key" in i for i in validate(FeaturePlan(MainSpec("m", "k", "y"), own, rels), _tables(spark)))
+
+
 def test_unknown_relationship_and_filter(spark):
     plan = FeaturePlan(MainSpec("m", "k"), [FeatureSpec("AVG", "f", "v")], filters={"m": "nope > 1", "q": "1 = 1"})
     issues = " ".join(validate(plan, _tables(spark)))
