@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import bpe, mixing, shards, token_files
+from tablewright.llm import bpe, mixing, shards, shingle_join, token_files
 from tablewright.llm.common import read
 
 
@@ -25,6 +25,10 @@ def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.with_copies(rows, plan).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.document_components(read(spark, sf_dir, "documents"))
+
+
 MIX_SQL = r"""
 with weight as (
   select doc_id as l, case max(quality) when 1 then 2.0 when 0 then 0.5 else 1.0 end as w
@@ -64,5 +68,6 @@ QUERIES = {
     "op3_distinct_word_bpe": op3_distinct_word_bpe,
     "op6_token_files": op6_token_files,
     "op7_weighted_mix": op7_weighted_mix,
+    "op9_shingle_join": op9_shingle_join,
 }
 SQL = {"op7_weighted_mix": MIX_SQL}
