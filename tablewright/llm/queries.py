@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import bpe, mixing, shards, shingle_join, token_files
+from tablewright.llm import bpe, mixing, shards, shingle_join, token_files, toxicity
 from tablewright.llm.common import read
 
 
@@ -16,6 +16,10 @@ def op3_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.document_digests(read(spark, sf_dir, "documents"))
 
 
+def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.document_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_checksums(read(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ join drawn n on n.source is not distinct from r.source and n.draw = r.draw
 QUERIES = {
     "op2_hash_tree_shards": op2_hash_tree_shards,
     "op3_distinct_word_bpe": op3_distinct_word_bpe,
+    "op5_toxic_spans": op5_toxic_spans,
     "op6_token_files": op6_token_files,
     "op7_weighted_mix": op7_weighted_mix,
     "op9_shingle_join": op9_shingle_join,
