@@ -7,8 +7,10 @@ those numbers, a few megabytes of text at a time (a chunk). The words of all chu
 each distinct word is encoded once, and the ids go back to the chunks that hold the word, where
 they are joined to the positions. Neither texts nor positions ride along with the words.
 
-The chunks are written once to the shared folder: later steps and lost executors see the same
-numbering.
+Texts are split twice, for the words and for the positions, rather than kept in between; a chunk is
+named by its contents, and a chunk whose ids don't all come back is an error. Input that is not
+read straight from files is written to the shared folder first, so that both passes and any repeated
+task see the same rows in the same order.
 
 Defined cases: null text encodes as the empty text, to no ids; repeated rows and ids are each
 encoded as rows of their own; one text is never split over chunks, however long; an empty table
@@ -24,21 +26,27 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import xxhash
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from tablewright.llm.common import parts_for, stored
+from tablewright.llm.common import parts_for
+from tablewright.llm.exchange import (
+    CHUNK_SIZE,
+    REPLIES,
+    ROWS,
+    TEXTS,
+    WORDS,
+    numbers_of,
+    packed,
+    replies_by_number,
+    rows,
+    settled,
+    split_texts,
+    unpacked,
+)
 
 TOKENIZER = "byte_bpe_50k.json"
-# Bytes of text after which a chunk ends; a longer text is a chunk by itself.
-CHUNK_BYTES = 16 << 20
-
-CHUNKS = "kind int, chunk long, part int, payload binary"
-REPLIES = CHUNKS
 ENCODED = "doc_id long, ids binary, decoded binary"
 
 @cache
@@ -72,80 +80,10 @@ def words_at_spaces(text: str) -> list[str]:
     return out
 
 
-class Numbers(dict):
-    """Distinct words in order of first sight."""
-
-    def __missing__(self, word: str) -> int:
-        value = self[word] = len(self)
-        return value
-
-
-def packed(arrays: list[bytes]) -> bytes:
-    """Byte strings as one compressed payload."""
-    lengths = np.fromiter(map(len, arrays), np.uint32, len(arrays)).tobytes()
-    body = len(arrays).to_bytes(8, "little") + lengths + b"".join(arrays)
-    return len(body).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(body)
-
-
-def unpacked(payload: bytes) -> list[bytes]:
-    body = zstandard.ZstdDecompressor().decompress(payload[8:], max_output_size=int.from_bytes(payload[:8], "little"))
-    count = int.from_bytes(body[:8], "little")
-    lengths = np.frombuffer(body, np.uint32, count, 8)
-    ends = np.cumsum(lengths, dtype=np.int64) + 8 + 4 * count
-    return [body[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-
-
-WORDS, TEXTS, IDS = 0, 1, 2
-
-
-def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-
-_NAMES = ["kind", "chunk", "part", "payload"]
-_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-
-
-def _chunk(number: int, ids: list, texts: list[str], parts: int) -> Iterator[pa.RecordBatch]:
-    """The rows of a chunk: its distinct words by part, and its texts as numbers of words."""
-    seen = Numbers()
-    numbered = [np.fromiter(map(seen.__getitem__, words), np.uint32, len(words)) for words in map(words_at_spaces, texts)]
-    words = [w.encode() for w in seen]
-    part = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    place = np.empty(len(words), np.uint32)
-    place[order] = np.arange(len(words), dtype=np.uint32)
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
-    rows = []
-    for p in range(parts):
-        if edges[p] < edges[p + 1]:
-            rows.append((WORDS, number, p, packed([words[i] for i in order[edges[p] : edges[p + 1]].tolist()])))
-    keys = np.array([i is not None for i in ids], bool).tobytes() + np.array([i or 0 for i in ids], np.int64).tobytes()
-    rows.append((TEXTS, number, -1, packed([keys, *[place[n].tobytes() for n in numbered]])))
-    yield _rows(rows, _NAMES, _KINDS)
-
-
-def _split(parts: int, chunk_bytes: int):
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        ids, texts, size, count = [], [], 0, 0
-        for batch in stream:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(key)
-                texts.append(text or "")
-                size += len(texts[-1]) + 16
-                if size >= chunk_bytes:
-                    yield from _chunk((task << 32) + count, ids, texts, parts)
-                    ids, texts, size, count = [], [], 0, count + 1
-        if ids:
-            yield from _chunk((task << 32) + count, ids, texts, parts)
-
-    return run
-
-
 def _encode(name: str):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, known = tokenizer(name), None, {}
+        assert tok.get_vocab_size() <= 1 << 16  # ids travel as 16 bits
         for batch in stream:
             for row in batch.to_pylist():
                 if row["part"] != part:
@@ -155,8 +93,8 @@ def _encode(name: str):
                 for start in range(0, len(fresh), 20_000):
                     some = fresh[start : start + 20_000]
                     found = tok.encode_batch([w.decode() for w in some], add_special_tokens=False)
-                    known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(some, found, strict=True))
-                yield _rows([(IDS, row["chunk"], part, packed([known[w] for w in words]))], _NAMES, _KINDS)
+                    known.update((w, np.array(e.ids, np.uint16).tobytes()) for w, e in zip(some, found, strict=True))
+                yield rows([(REPLIES, row["chunk"], part, packed([known[w] for w in words]), None)])
 
     return run
 
@@ -179,20 +117,20 @@ def pieces_of(name: str) -> list[bytes]:
 def _join(name: str):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         piece = pieces_of(name).__getitem__
-        rows = table.select(["kind", "part", "payload"]).to_pylist()
-        ids: list[bytes] = []
-        for row in sorted((r for r in rows if r["kind"] == IDS), key=lambda r: r["part"]):
-            ids += unpacked(row["payload"])
+        held = table.select(["kind", "part", "payload"]).to_pylist()
+        replies = {r["part"]: unpacked(r["payload"]) for r in held if r["kind"] == REPLIES}
         out_keys, out_ids, out_text = [], [], []
-        for row in rows:
-            if row["kind"] == TEXTS:
-                keys, *texts = unpacked(row["payload"])
-                present, numbers = np.frombuffer(keys, bool, len(texts)), np.frombuffer(keys, np.int64, len(texts), len(texts))
-                out_keys += [int(n) if p else None for p, n in zip(present, numbers, strict=True)]
-                for text in texts:
-                    joined = b"".join(map(ids.__getitem__, np.frombuffer(text, np.uint32).tolist()))
-                    out_ids.append(joined)
-                    out_text.append(b"".join(map(piece, np.frombuffer(joined, np.uint32).tolist())))
+        for row in held:
+            if row["kind"] != TEXTS:
+                continue
+            keys, lengths, flat, part = numbers_of(row["payload"])
+            ids = replies_by_number(part, replies)
+            ends = np.cumsum(lengths)
+            for end, length in zip(ends.tolist(), lengths.tolist(), strict=True):
+                joined = b"".join(map(ids.__getitem__, flat[end - length : end].tolist()))
+                out_ids.append(np.frombuffer(joined, np.uint16).astype("<u4").tobytes())
+                out_text.append(b"".join(map(piece, np.frombuffer(joined, np.uint16).tolist())))
+            out_keys += keys
         # Pieces may cut a character; what is then no UTF-8 becomes the replacement character.
         out_text = [t.decode("utf-8", "replace").encode() for t in out_text]
         return pa.table(
@@ -204,7 +142,7 @@ def _join(name: str):
 
 
 def encode_decode(
-    documents: DataFrame, name: str = TOKENIZER, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, finish=None, schema: str = ENCODED
+    documents: DataFrame, name: str = TOKENIZER, key: str = "doc_id", text: str = "text", chunk_size: int = CHUNK_SIZE, finish=None, schema: str = ENCODED
 ) -> DataFrame:
     """One row per document: doc_id, ids (little-endian unsigned 32-bit) and the decoded bytes.
 
@@ -212,12 +150,12 @@ def encode_decode(
     that need not carry the ids and texts further.
     """
     texts = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    texts = settled(texts)
     parts = parts_for(texts)
-    chunks = stored(texts.mapInArrow(_split(parts, chunk_bytes), CHUNKS), "chunks")
-    words = chunks.where(F.col("kind") == WORDS).repartition(parts, "part").sortWithinPartitions("part", "chunk")
-    replies = words.mapInArrow(_encode(name), REPLIES)
+    words = split_texts(texts, parts, WORDS, words_at_spaces, chunk_size).repartition(parts, "part").sortWithinPartitions("part", "chunk")
+    replies = words.mapInArrow(_encode(name), ROWS)
+    both = replies.unionByName(split_texts(texts, parts, TEXTS, words_at_spaces, chunk_size)).groupBy("chunk")
     join = _join(name)
-    both = replies.unionByName(chunks.where(F.col("kind") == TEXTS)).groupBy("chunk")
     if finish is None:
         return both.applyInArrow(join, ENCODED)
     return both.applyInArrow(lambda k, t: finish(join(k, t)), schema)

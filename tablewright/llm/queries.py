@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import bpe, mixing, shards, shingle_join, token_files, toxicity
+from tablewright.llm import bpe, lattice, mixing, shards, shingle_join, token_files, toxicity
 from tablewright.llm.common import read
 
 
@@ -33,6 +33,10 @@ def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.document_components(read(spark, sf_dir, "documents"))
 
 
+def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.document_scores(read(spark, sf_dir, "documents"))
+
+
 MIX_SQL = r"""
 with weight as (
   select doc_id as l, case max(quality) when 1 then 2.0 when 0 then 0.5 else 1.0 end as w
@@ -74,5 +78,6 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_weighted_mix": op7_weighted_mix,
     "op9_shingle_join": op9_shingle_join,
+    "op10_lattice_scores": op10_lattice_scores,
 }
 SQL = {"op7_weighted_mix": MIX_SQL}
