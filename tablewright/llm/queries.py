@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import bpe, lattice, mixing, shards, shingle_join, token_files, toxicity
+from tablewright.llm import bpe, lattice, mixing, passages, shards, shingle_join, token_files, toxicity
 from tablewright.llm.common import read
 
 
@@ -29,6 +29,10 @@ def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.with_copies(rows, plan).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.document_spans(read(spark, sf_dir, "documents"))
+
+
 def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.document_components(read(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op5_toxic_spans": op5_toxic_spans,
     "op6_token_files": op6_token_files,
     "op7_weighted_mix": op7_weighted_mix,
+    "op8_compact_windows": op8_compact_windows,
     "op9_shingle_join": op9_shingle_join,
     "op10_lattice_scores": op10_lattice_scores,
 }
