@@ -20,6 +20,7 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -58,25 +59,28 @@ def tokenizer(name: str) -> Tokenizer:
     return built
 
 
+# A space after what some tokenizer may count as white space.
+UNSURE = re.compile("[\\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff] ")
+
+
 def words_at_spaces(text: str) -> list[str]:
     """Words whose tokens do not depend on their neighbours; joined they give the text.
 
     Every word but the first starts with a space that follows a character which no tokenizer
     counts as white space.
     """
+    if not text:
+        return []
     words = text.split(" ")
-    if len(words) == 1:
-        return words if text else []
-    out = [words[0]]
-    last = words[0]
+    if words[0] and not UNSURE.search(text):
+        return [words[0], *[" " + w for w in words[1:]]]
+    out, last = [words[0]], words[0]
     for word in words[1:]:
-        if last == "" or last[-1].isspace() or not last[-1].isprintable():
+        if last == "" or UNSURE.match(last[-1] + " "):
             out[-1] += " " + word
         else:
             out.append(" " + word)
         last = word
-    if out[0] == "":
-        del out[0]
     return out
 
 

@@ -11,23 +11,25 @@ documents with one key sort by the ids themselves; an empty table gives an empty
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.bpe import tokenizer, words_at_spaces
+from tablewright.llm.bpe import tokenizer
 from tablewright.llm.common import parts_for, stored
 from tablewright.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 8 << 20, 64 << 10, 1_000
-# Distinct words that a worker remembers.
-REMEMBERED = 500_000
+# Distinct words that a worker remembers, over all its tasks.
+REMEMBERED = 1_000_000
 
 # Format options fixed by the Parquet writer: version 2 pages encode integers without a dictionary by delta.
 LAYOUT = {
@@ -48,42 +50,69 @@ class Ids(dict):
 
     def __init__(self, name: str):
         super().__init__()
-        self.encode = tokenizer(name).encode
+        tok = tokenizer(name)
+        self.encode = tok.encode
+        self.kind = np.dtype("<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4")
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        value = self[word] = np.array(self.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+        value = self[word] = np.array(self.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
         return value
 
 
+@cache
+def remembered(name: str) -> Ids:
+    return Ids(name)
+
+
+# Letters, numbers and white space up to U+024F as Unicode classes them, and the contractions of the tokenizer's pattern.
+LETTERS, NUMBERS, SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}{SPACES}]+")
+# Beyond these characters case and composition may depend on neighbours, and special tokens come first.
+OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|")
+
+
+def words_for(text: str) -> list[str]:
+    """Words that the lower-casing tokenizer treats alone: its own tokens in Latin texts, else what stands between spaces."""
+    return text.split(" ") if OTHER.search(text) else TOKEN.findall(text.lower())
+
+
 def _encoded(name: str, end_id: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = Ids(name), np.array([end_id], np.uint32).tobytes()
+        known = remembered(name)
+        end, size = np.array([end_id], known.kind).tobytes(), known.kind.itemsize
         for batch in stream:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                ids = [b"".join(map(known.__getitem__, words_at_spaces(t or ""))) + end for t in part.column(1).to_pylist()]
-                lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                flat = pa.Array.from_buffers(pa.int32(), int(lengths.sum()), [None, pa.py_buffer(b"".join(ids))])
-                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
-                    ["doc_id", "n_tokens", "ids"],
-                )
+                ids = [b"".join(map(known.__getitem__, words_for(t or ""))) + end for t in part.column(1).to_pylist()]
+                lengths = pa.array([len(x) // size for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), lengths, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return run
 
 
+def _listed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids from packed bytes to lists of integers."""
+    for batch in stream:
+        packed, lengths = batch.column("ids").to_pylist(), batch.column("n_tokens").to_numpy()
+        kind = np.dtype("<u2" if sum(map(len, packed)) == 2 * lengths.sum() else "<u4")
+        flat = np.frombuffer(b"".join(packed), kind).astype(np.int32)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+        kept = [batch.column(c) for c in ("part", "doc_id", "tie", "n_tokens")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(offsets, pa.array(flat))], ["part", "doc_id", "tie", "n_tokens", "ids"])
+
+
 def write_tokens(documents: DataFrame, path: str, name: str = TOKENIZER, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> None:
     """Encode ``documents`` into ``path``: ids in ``tokens``, the offsets of all documents in ``index``."""
     texts = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     # Dealing out by ranges looks at the rows twice, so they are encoded once and kept.
-    encoded = stored(texts.mapInArrow(_encoded(name, end_id), "doc_id long, n_tokens long, ids array<int>"), "encoded")
+    encoded = stored(texts.mapInArrow(_encoded(name, end_id), "doc_id long, n_tokens long, ids binary"), "encoded")
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     # The hash of the ids parts rows of one key that would otherwise all lie in one range.
     placed = encoded.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts_for(encoded), *order)
     rows = placed.sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "tie", "n_tokens", "ids")
+    rows = rows.mapInArrow(_listed, "part int, doc_id long, tie long, n_tokens long, ids array<int>")
     rows.write.options(**LAYOUT).partitionBy("part").parquet(f"{path}/tokens")
     spark = documents.sparkSession
     numbered(_tokens(spark, path, "doc_id long, tie long, n_tokens long")).drop("tie").write.options(**LAYOUT).parquet(f"{path}/index")
