@@ -97,10 +97,9 @@ def fit_tables(vectors: DataFrame, wanted: int) -> Tables | None:
 def probes(tables: Tables, slots: np.ndarray, visited: float = VISITED, front: int = FRONT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets to visit, most probable first: bucket numbers and query of each, and the probability reached.
 
-    For one table: ``slots`` is query by function. Functions are added one by one, keeping the most
+    ``tables`` holds one table, ``slots`` is query by function. Functions are added one by one, keeping the most
     probable combinations of slots so far; as probabilities multiply, none of the best is lost.
     """
-    table = tables.multipliers
     n, functions = slots.shape
     base = np.floor(slots)
     inside = slots - base
@@ -110,7 +109,7 @@ def probes(tables: Tables, slots: np.ndarray, visited: float = VISITED, front: i
     for k in range(functions):
         edges = (np.arange(-2, 4)[None, :] - inside[:, k : k + 1]) * scale
         share = np.diff(normal_cdf(edges), axis=1)
-        number = (base[:, k : k + 1] + steps).astype(np.int64).view(np.uint64) * table[0, k] if table.ndim == 2 else None
+        number = (base[:, k : k + 1] + steps).astype(np.int64).view(np.uint64) * tables.multipliers[0, k]
         code = (code[:, :, None] + number[:, None, :]).reshape(n, -1)
         p = (p[:, :, None] * share[:, None, :]).reshape(n, -1)
         if p.shape[1] > front:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import bpe, lattice, mixing, passages, shards, shingle_join, token_files, toxicity
+from tablewright.llm import ann, bpe, lattice, mixing, passages, shards, shingle_join, token_files, toxicity
 from tablewright.llm.common import read
 
 
+def op1_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.embedding_neighbours(read(spark, sf_dir, "embeddings"))
+
+
 def op2_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.document_slots(read(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ join drawn n on n.source is not distinct from r.source and n.draw = r.draw
 """
 
 QUERIES = {
+    "op1_multiprobe_search": op1_multiprobe_search,
     "op2_hash_tree_shards": op2_hash_tree_shards,
     "op3_distinct_word_bpe": op3_distinct_word_bpe,
     "op5_toxic_spans": op5_toxic_spans,
