@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import ann, bpe, lattice, mixing, passages, shards, shingle_join, token_files, toxicity
+from tablewright.llm import ann, bpe, lattice, mixing, passages, shards, shingle_join, token_files, toxicity, vector_dedup
 from tablewright.llm.common import read
 
 
@@ -20,6 +20,10 @@ def op3_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.document_digests(read(spark, sf_dir, "documents"))
 
 
+def op4_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.embedding_components(read(spark, sf_dir, "embeddings"))
+
+
 def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.document_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op1_multiprobe_search": op1_multiprobe_search,
     "op2_hash_tree_shards": op2_hash_tree_shards,
     "op3_distinct_word_bpe": op3_distinct_word_bpe,
+    "op4_pruned_graph": op4_pruned_graph,
     "op5_toxic_spans": op5_toxic_spans,
     "op6_token_files": op6_token_files,
     "op7_weighted_mix": op7_weighted_mix,
