@@ -34,18 +34,19 @@ def require_unique(df: DataFrame, key: Sequence[str], what: str) -> None:
         raise PlanError(f"{what}: key {tuple(repeated[0])[:-1]} occurs {repeated[0]['count']} times")
 
 
-def latest_per_key(df: DataFrame, key: Sequence[str], order_by: Sequence[str], values: dict[str, str]) -> DataFrame:
-    """The values of the row with the greatest ``order_by`` in every key.
+def latest_per_key(
+    df: DataFrame, key: Sequence[str], order_by: Sequence[str], values: dict[str, str], predicate: str | None = None
+) -> DataFrame:
+    """The values of the row with the greatest ``order_by`` in every key, of the rows that ``predicate`` selects.
 
-    ``values`` maps output names to columns. One struct maximum carries all of
+    ``values`` maps output names to SQL of a row's value. One struct maximum carries all of
     them, so each map task sends one row per key whatever the size of a key.
     """
-    picked = F.max(
-        F.struct(
-            *[quoted(c).alias(f"o{i}") for i, c in enumerate(order_by)],
-            *[quoted(c).alias(name) for name, c in values.items()],
-        )
+    row = F.struct(
+        *[quoted(c).alias(f"o{i}") for i, c in enumerate(order_by)],
+        *[F.expr(text).alias(name) for name, text in values.items()],
     )
+    picked = F.max(F.when(F.expr(predicate), row) if predicate else row)
     return (
         df.groupBy(*key).agg(picked.alias("_row")).select(*key, *[F.col("_row").getField(n).alias(n) for n in values])
     )

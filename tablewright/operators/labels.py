@@ -38,8 +38,8 @@ def normalise_label(
 
     Texts in ``mapping`` are replaced first. A value that is no number, or
     missing, is ``"zero"`` (counted as 0), ``"drop"`` or ``"error"``; numbers lose
-    their fraction, and rows whose label is then neither 0 nor 1 are dropped (or
-    raise, under ``"error"``).
+    their fraction toward zero, and rows whose label is then neither 0 nor 1 are
+    dropped. Under ``"error"`` such labels raise, and so do fractions.
     """
     if on_bad_label not in ("zero", "drop", "error"):
         raise PlanError(f"unknown on_bad_label {on_bad_label!r}")
@@ -49,12 +49,13 @@ def normalise_label(
     if mapping:
         known = F.create_map(*[F.lit(x) for k, v in mapping.items() for x in (k, str(v))])
         value = F.coalesce(F.try_element_at(known, raw), raw)
-    number = F.floor(to_number(value)).cast("int")
+    exact = to_number(value)
+    number = F.when(F.abs(exact) < 2, exact.cast("int"))
     if on_bad_label == "zero":
-        number = F.coalesce(number, F.lit(0))
+        number = F.when(exact.isNull(), 0).otherwise(number)
     if on_bad_label == "error":
         complaint = F.raise_error(F.concat(F.lit(f"bad label in {column}: "), F.coalesce(raw, F.lit("null"))))
-        return df.withColumn(column, F.when(number.isin(0, 1), number).otherwise(complaint.cast("int")))
+        return df.withColumn(column, F.when(exact.isin(0.0, 1.0), number).otherwise(complaint.cast("int")))
     return df.withColumn(column, number).filter(quoted(column).isin(0, 1))
 
 

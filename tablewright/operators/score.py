@@ -62,10 +62,13 @@ def score_wide(
     key: Sequence[str],
     features: Sequence[str],
     alias_map: Mapping[str, str] | None = None,
-    fill: float | None = 0.0,
+    fill: float | None = None,
     text: Sequence[str] = (),
 ) -> DataFrame:
-    """Key and ``p_value`` from a wide table, batch or stream."""
+    """Key and ``p_value`` from a wide table, batch or stream.
+
+    Missing numbers stay missing as in ``score_raw``; ``fill`` puts a value in their place.
+    """
     aligned = align_features(df, features, alias_map, fill, key, text)
     return model_scores(aligned, model, features, key, "p_value")
 

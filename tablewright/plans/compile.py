@@ -22,6 +22,7 @@ from tablewright.plans.spec import (
     LATEST,
     FeaturePlan,
     FeatureSpec,
+    MainSpec,
     PlanError,
     Relationship,
     short_aliases,
@@ -42,7 +43,7 @@ def _feature(i: int) -> str:
     return f"_f{i}"
 
 
-def window_bounds(rel: Relationship, df: DataFrame, plan: FeaturePlan, days: int) -> str:
+def window_bounds(rel: Relationship | MainSpec, df: DataFrame, plan: FeaturePlan, days: int) -> str:
     """SQL for rows at most ``days`` before the sample date, as bounds on the time column itself.
 
     Comparing the raw column (rather than a day difference) lets the scan skip
@@ -67,6 +68,12 @@ def _value(spec: FeatureSpec, df: DataFrame) -> str | None:
     return sql_no_nan(sql_name(spec.column), df.schema[spec.column].dataType)
 
 
+def _latest_value(spec: FeatureSpec, df: DataFrame) -> str:
+    """SQL for a row's value, null where the predicate does not hold."""
+    value = _value(spec, df)
+    return f"CASE WHEN {spec.predicate} THEN {value} END" if spec.predicate else value
+
+
 def _fixed_width(spec: FeatureSpec, df: DataFrame) -> bool:
     """Whether the aggregate's buffer can stay in a hash map (text maxima cannot)."""
     if spec.op not in ("MAX", "MIN"):
@@ -109,12 +116,12 @@ def _single_pass(fact: DataFrame, key: Sequence[str], specs: Numbered, rel: Rela
 def _per_key(df: DataFrame, key: Sequence[str], specs: Numbered, rel: Relationship, plan: FeaturePlan) -> list[DataFrame]:
     """Frames with one row per key that together hold all features of a table."""
     out: list[DataFrame] = []
-    latest: dict[tuple[str, ...], Numbered] = {}
+    latest: dict[tuple, Numbered] = {}
     hashed: Numbered = []
     others: Numbered = []
     for i, spec in specs:
         if spec.op == LATEST:
-            latest.setdefault(spec.order_by, []).append((i, spec))
+            latest.setdefault((spec.order_by, spec.predicate if spec.order_by else None), []).append((i, spec))
         elif spec.op == "COUNT_DISTINCT" or not _fixed_width(spec, df):
             others.append((i, spec))
         else:
@@ -129,12 +136,11 @@ def _per_key(df: DataFrame, key: Sequence[str], specs: Numbered, rel: Relationsh
             source = fact
         out += [_single_pass(source, key, batch, rel, plan) for batch in _batches(group)]
 
-    for order_by, group in latest.items():
-        values = {_feature(i): s.column for i, s in group}
+    for (order_by, predicate), group in latest.items():
         if order_by:
-            out.append(latest_per_key(fact, key, order_by, values))
+            out.append(latest_per_key(fact, key, order_by, {_feature(i): _value(s, df) for i, s in group}, predicate))
         else:
-            out.append(fact.select(*key, *[quoted(c).alias(n) for n, c in values.items()]))
+            out.append(fact.selectExpr(*map(sql_name, key), *[f"{_latest_value(s, df)} AS {_feature(i)}" for i, s in group]))
     return out
 
 
@@ -144,14 +150,15 @@ def _collapsed_main(base: DataFrame, plan: FeaturePlan, specs: Numbered, label:
     plain = {c: f"max({sql_name(c)}) AS {sql_name(c)}" for c in [*plan.passthrough, *label]}
     for i, spec in specs:
         if spec.op == LATEST and not spec.order_by:
-            plain[_feature(i)] = f"max({_value(spec, base)}) AS {_feature(i)}"
+            plain[_feature(i)] = f"max({_latest_value(spec, base)}) AS {_feature(i)}"
         elif spec.op != LATEST:
-            plain[_feature(i)] = f"{feature_aggregate(spec, _value(spec, base), None, plan.null_sum)} AS {_feature(i)}"
+            in_window = window_bounds(plan.main, base, plan, spec.window_days) if spec.window_days else None
+            plain[_feature(i)] = f"{feature_aggregate(spec, _value(spec, base), in_window, plan.null_sum)} AS {_feature(i)}"
     out = not_null(base, key).groupBy(*key).agg(*[F.expr(e) for e in plain.values() or ["count(1) AS _rows"]])
     ordered = [(i, s) for i, s in specs if s.op == LATEST and s.order_by]
-    for order_by in dict.fromkeys(s.order_by for _, s in ordered):
-        values = {_feature(i): s.column for i, s in ordered if s.order_by == order_by}
-        out = out.join(latest_per_key(not_null(base, key), key, order_by, values), key, "left")
+    for order_by, predicate in dict.fromkeys((s.order_by, s.predicate) for _, s in ordered):
+        values = {_feature(i): _value(s, base) for i, s in ordered if (s.order_by, s.predicate) == (order_by, predicate)}
+        out = out.join(latest_per_key(not_null(base, key), key, order_by, values, predicate), key, "left")
     return out
 
 
@@ -216,7 +223,7 @@ def build_wide_table(
         if check_grain and main.grain == "key":
             require_unique(base, key, f"main table {main.table!r}")
         carried = list(dict.fromkeys([*key, *foreign, *label, *plan.passthrough]))
-        out = base.selectExpr(*map(sql_name, carried), *[f"{_value(s, base)} AS {_feature(i)}" for i, s in own])
+        out = base.selectExpr(*map(sql_name, carried), *[f"{_latest_value(s, base)} AS {_feature(i)}" for i, s in own])
 
     frames: dict[tuple[str, ...], list[DataFrame]] = {}
     for name, specs in others.items():

@@ -15,7 +15,6 @@ GRID_OPS = ("AVG", "SUM", "MAX", "MIN")
 
 # Features taken from the main table when a plan names none. Fixed values.
 DEFAULT_FEATURES = 16
-DEFAULT_POOL = 15
 
 
 def window_grid(

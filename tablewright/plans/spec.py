@@ -114,13 +114,15 @@ class MainSpec:
     """The sample table.
 
     ``grain``: ``"key"`` requires one row per key, ``"row"`` keeps every row, and
-    ``"collapse"`` reduces the table to one row per key.
+    ``"collapse"`` reduces the table to one row per key. ``time_column`` is what
+    windows of a collapsed table compare, as in a relationship.
     """
 
     table: str
     key: tuple[str, ...]
     label: str | None = None
     grain: str = "key"
+    time_column: str | None = None
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "key", as_tuple(self.key))

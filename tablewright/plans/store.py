@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping
 from dataclasses import asdict, fields
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from tablewright.plans.spec import FeaturePlan, FeatureSpec, MainSpec, Relationship
+from tablewright.plans.spec import FeaturePlan, FeatureSpec, MainSpec, PlanError, Relationship
 
 # Kinds of entries in a plan file. Fixed values.
-FEATURE_KIND, MODEL_KIND = "FeatureGene", "ModelGene"
+FEATURE_KIND, MODEL_KIND, FILTER_KIND = "FeatureGene", "ModelGene", "FilterGene"
 
 
 def _bare(value: object) -> dict:
@@ -29,6 +30,7 @@ def plan_to_dict(plan: FeaturePlan, model: Mapping | None = None) -> dict:
             "main_table": plan.main.table,
             "target_column": plan.main.label,
             "grain": plan.main.grain,
+            "time_column": plan.main.time_column,
             "as_of": plan.as_of.isoformat() if plan.as_of else None,
             "upper_bound": plan.upper_bound,
             "null_sum": plan.null_sum,
@@ -50,17 +52,41 @@ def _spec(entry: Mapping) -> FeatureSpec:
     return FeatureSpec(**values)
 
 
+def _filter(condition: str, tables: set[str]) -> tuple[str, str]:
+    """Table and condition over its own columns, from a condition that writes them as table.column."""
+    outside = re.split(r"('(?:[^']|'')*')", condition)  # texts in quotes stay as they are
+    named = {t for part in outside[::2] for t in tables if re.search(rf"(?<![\w.]){re.escape(t)}\.", part)}
+    if len(named) != 1:
+        raise PlanError(f"filter {condition!r} must name the columns of one table, found {sorted(named)}")
+    table = named.pop()
+    outside[::2] = [re.sub(rf"(?<![\w.]){re.escape(table)}\.", "", part) for part in outside[::2]]
+    return table, "".join(outside)
+
+
 def plan_from_dict(raw: Mapping) -> tuple[FeaturePlan, dict | None]:
-    """The plan and the model entry, if any. Entries of other kinds are ignored."""
+    """The plan and the model entry, if any.
+
+    Filter entries join the filters of the table that their condition names; an entry of another
+    kind is refused, as leaving it out would change the result.
+    """
     meta = raw["meta"]
+    unknown = sorted({e["_type"] for e in raw["genes"]} - {FEATURE_KIND, MODEL_KIND, FILTER_KIND})
+    if unknown:
+        raise PlanError(f"entries of unknown kinds: {unknown}")
+    filters = dict(meta.get("filters", {}))
+    tables = {meta["main_table"], *(r["table"] for r in meta.get("relationships", []))}
+    for entry in raw["genes"]:
+        if entry["_type"] == FILTER_KIND:
+            table, text = _filter(entry["condition"], tables)
+            filters[table] = f"({filters[table]}) AND ({text})" if table in filters else text
     specs = [_spec(e) for e in raw["genes"] if e["_type"] == FEATURE_KIND]
     models = [{k: v for k, v in e.items() if k != "_type"} for e in raw["genes"] if e["_type"] == MODEL_KIND]
     plan = FeaturePlan(
-        MainSpec(meta["main_table"], meta["join_key"], meta.get("target_column"), meta.get("grain", "key")),
+        MainSpec(meta["main_table"], meta["join_key"], meta.get("target_column"), meta.get("grain", "key"), meta.get("time_column")),
         specs,
         [Relationship(**r) for r in meta.get("relationships", [])],
         meta.get("as_of"),
-        meta.get("filters", {}),
+        filters,
         meta.get("exclude", ()),
         meta.get("passthrough", ()),
         meta.get("upper_bound", True),

@@ -21,6 +21,24 @@ def _check_expr(df: DataFrame, text: str) -> str | None:
     return None
 
 
+def _check_window(plan: FeaturePlan, spec: FeatureSpec, df: DataFrame, time_column: str | None, owner: str) -> list[str]:
+    """What keeps a spec's window from being computed."""
+    name = spec.name
+    if not spec.window_days:
+        return []
+    if spec.op == LATEST:
+        return [f"{name}: LATEST takes no window"]
+    if time_column is None:
+        return [f"{name}: a window needs the {owner}'s time column"]
+    if time_column not in df.columns:
+        return [f"{name}: no time column {time_column!r} in {spec.table!r}"]
+    if type_class(df.schema[time_column].dataType) == "datetime":
+        return [] if plan.as_of else [f"{name}: a window over dates needs the plan's as_of"]
+    if not is_numeric(df.schema[time_column].dataType):
+        return [f"{name}: time column {time_column!r} is neither a date nor a number"]
+    return []
+
+
 def _check_spec(plan: FeaturePlan, spec: FeatureSpec, tables: Mapping[str, DataFrame]) -> list[str]:
     name, main = spec.name, plan.main
     if spec.op not in OPS:
@@ -46,7 +64,9 @@ def _check_spec(plan: FeaturePlan, spec: FeatureSpec, tables: Mapping[str, DataF
     if spec.table == main.table:
         if main.grain != "collapse" and spec.op != LATEST:
             out.append(f"{name}: only LATEST applies to the main table")
-        return out
+        if spec.op == LATEST:
+            out += [f"{name}: no column {c!r} to order by" for c in spec.order_by if c not in df.columns]
+        return out + _check_window(plan, spec, df, main.time_column, "main table")
 
     try:
         rel = plan.relationship(spec.table)
@@ -57,19 +77,8 @@ def _check_spec(plan: FeaturePlan, spec: FeatureSpec, tables: Mapping[str, DataF
     if spec.op == LATEST:
         if not spec.order_by and not rel.unique:
             out.append(f"{name}: LATEST on a table with many rows per key needs order_by")
-        if spec.window_days:
-            out.append(f"{name}: LATEST takes no window")
         out += [f"{name}: no column {c!r} to order by" for c in spec.order_by if c not in df.columns]
-    if spec.window_days:
-        if rel.time_column is None:
-            out.append(f"{name}: a window needs the relationship's time column")
-        elif rel.time_column not in df.columns:
-            out.append(f"{name}: no time column {rel.time_column!r} in {spec.table!r}")
-        elif type_class(df.schema[rel.time_column].dataType) == "datetime":
-            if plan.as_of is None:
-                out.append(f"{name}: a window over dates needs the plan's as_of")
-        elif not is_numeric(df.schema[rel.time_column].dataType):
-            out.append(f"{name}: time column {rel.time_column!r} is neither a date nor a number")
+    out += _check_window(plan, spec, df, rel.time_column, "relationship")
     if spec.op in ("SUM", "AVG") and spec.column in df.columns and not is_numeric(df.schema[spec.column].dataType):
         out.append(f"{name}: {spec.op} needs a numeric column")
     return out

@@ -11,6 +11,7 @@ from tablewright.operators.score import align_features, restore_names
 from tablewright.plans.compile import build_wide_table
 from tablewright.plans.grid import window_grid
 from tablewright.plans.spec import FeaturePlan, FeatureSpec, MainSpec, Relationship, short_aliases
+from tablewright.plans.store import plan_from_dict
 from tablewright.queries.base import (
     CUSTOMER,
     CUSTOMER_AS_OF,
@@ -436,3 +437,65 @@ def feature_grid_lines(spark, sf):
 def feature_grid_many_windows(spark, sf):
     """More aggregates than one pass holds: two passes over disjoint columns."""
     return lines_grid(spark, sf, MANY_WINDOWS)
+
+
+@query(f"""
+    with latest as (select o_custkey, arg_max({PRICE}, (o_orderdate, o_orderkey)) filter (o_orderstatus = 'F') as latest_finished
+                    from orders group by o_custkey)
+    select c.c_custkey, l.latest_finished, case when c.c_acctbal > 0 then c.c_mktsegment end as segment_in_credit
+    from customer c left join latest l on c.c_custkey = l.o_custkey""")
+def latest_with_predicate(spark, sf):
+    """Latest values of the rows a predicate selects, of a fact table and of the main table."""
+    plan = customer_plan(
+        FeatureSpec("LATEST", "orders", PRICE, predicate="o_orderstatus = 'F'", order_by=("o_orderdate", "o_orderkey"), alias="latest_finished"),
+        FeatureSpec("LATEST", "customer", "c_mktsegment", predicate="c_acctbal > 0", alias="segment_in_credit"),
+    )
+    return build_wide_table(plan, customer_tables(spark, sf))
+
+
+@query(f"""
+    with latest as (select o_custkey, arg_max({PRICE} * 2 + length(o_orderpriority), (o_orderdate, o_orderkey)) as latest_twice
+                    from orders group by o_custkey)
+    select c.c_custkey, l.latest_twice from customer c left join latest l on c.c_custkey = l.o_custkey""")
+def latest_expr(spark, sf):
+    """The value of an expression over the latest row."""
+    spec = FeatureSpec(
+        "LATEST", "orders", expr=f"{PRICE} * 2 + length(o_orderpriority)", order_by=("o_orderdate", "o_orderkey"), alias="latest_twice"
+    )
+    return build_wide_table(customer_plan(spec), customer_tables(spark, sf))
+
+
+@query(f"""
+    select o_custkey, {exact(f"case when {within('o_orderdate', CUSTOMER_AS_OF, 365)} then {PRICE} end")} as spent_in_year,
+           max({PRICE}) as highest
+    from orders where o_custkey is not null group by o_custkey""")
+def collapsed_window(spark, sf):
+    """A trailing window over a main table that is reduced to one row per key."""
+    plan = FeaturePlan(
+        MainSpec("orders", "o_custkey", grain="collapse", time_column="o_orderdate"),
+        [price("SUM", 365, "spent_in_year"), price("MAX", alias="highest")],
+        as_of=CUSTOMER_AS_OF,
+    )
+    return build_wide_table(plan, customer_tables(spark, sf))
+
+
+@query(f"""
+    with f as (select o_custkey, count({PRICE}) as n_large from orders where {PRICE} > 100000 and o_orderstatus <> 'orders.x' group by o_custkey)
+    select c.c_custkey, f.n_large from (select * from customer where c_acctbal > 0) c left join f on c.c_custkey = f.o_custkey""")
+def stored_filter(spark, sf):
+    """A plan read from its stored form, whose filter entries apply to their tables."""
+    plan, _ = plan_from_dict(
+        {
+            "meta": {
+                "join_key": "c_custkey",
+                "main_table": "customer",
+                "relationships": [{"table": "orders", "key": "o_custkey", "main_key": "c_custkey"}],
+            },
+            "genes": [
+                {"_type": "FilterGene", "condition": f"orders.{PRICE} > 100000 and orders.o_orderstatus <> 'orders.x'"},
+                {"_type": "FilterGene", "condition": "customer.c_acctbal > 0"},
+                {"_type": "FeatureGene", "op": "COUNT", "table": "orders", "column": PRICE, "alias": "n_large"},
+            ],
+        }
+    )
+    return build_wide_table(plan, customer_tables(spark, sf))

@@ -9,7 +9,7 @@ from tablewright.plans.spec import short_aliases
 from tablewright.queries.base import CUSTOMER_AS_OF, ORDERS, customer_tables, exact, read, registry, within
 from tablewright.queries.features import ALIAS_SPECS, FLAGSHIP, alias_sql, customer_plan
 from tablewright.session import scratch_path
-from tablewright.sources.csv import read_csv_tables
+from tablewright.sources.csv import read_csv_table, read_csv_tables
 from tablewright.sources.logs import parse_training_log
 from tablewright.sources.sinks import write_predictions, write_wide_table
 from tablewright.sources.tables import parquet_source, read_table, read_tables
@@ -34,6 +34,34 @@ def scan_csv_sniffed(spark, sf):
     return joined.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_acctbal", "c_mktsegment", "n_label")
 
 
+@query("""
+    select doc_id, lang, '"' || replace(replace(lang, 'e', '"'), 'n', ',') || chr(10) || source || '"' as quoted, md5(text) as text_md5
+    from documents where text <> ''""")
+def scan_csv_quoted(spark, sf):
+    """Values with quotes, separators and line breaks inside, written as other tools write them and read back."""
+    path = f"{scratch_path(spark, 'csv')}/documents.csv"
+    marked = F.concat(
+        F.lit('"'), F.replace(F.replace("lang", F.lit("e"), F.lit('"')), F.lit("n"), F.lit(",")), F.lit("\n"), "source", F.lit('"')
+    )
+    rows = read(spark, sf, "documents").where("text <> ''").select("doc_id", "lang", marked.alias("quoted"), "text")
+    rows.write.options(header="true", escape='"', quoteAll="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+    back = read_csv_table(spark, path, schema="doc_id long, lang string, quoted string, text string")
+    return back.select("doc_id", "lang", "quoted", F.md5("text").alias("text_md5"))
+
+
+@query("select c_custkey, c_name, case when c_custkey % 2 = 0 then '客户' else '' end || c_mktsegment as label from customer")
+def scan_csv_late_charset(spark, sf):
+    """GBK text that starts after many plain lines, in a folder whose first part has a header alone."""
+    path = f"{scratch_path(spark, 'csv')}/customer.csv"
+    even = F.col("c_custkey") % 2 == 0
+    label = F.concat(F.when(even, F.lit("客户")).otherwise(F.lit("")), "c_mktsegment").alias("label")
+    rows = read(spark, sf, "customer").orderBy(even, "c_custkey").select("c_custkey", "c_name", label)
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    for part in (rows.limit(0), rows):
+        part.coalesce(1).write.mode("append").options(header="true", encoding="GBK").csv(path)
+    return read_csv_table(spark, path, schema="c_custkey long, c_name string, label string")
+
+
 @query("""
     select o_orderkey, o_custkey, o_totalprice from orders
     where o_orderdate >= timestamp '2000-01-01 00:00:00' and o_orderstatus = 'F'""")

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.legacy.javaCharsets": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

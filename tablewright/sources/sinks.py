@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def write_predictions(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Replace the predictions at ``path``. Each task writes its own part."""
     writer = df.write.mode("overwrite")
-    (writer.option("header", "true") if fmt == "csv" else writer).format(fmt).save(path)
+    (writer.options(header="true", escape='"') if fmt == "csv" else writer).format(fmt).save(path)
 
 
 def write_wide_table(

@@ -25,7 +25,7 @@ def score_stream(
     output: str,
     checkpoint: str,
     alias_map: Mapping[str, str] | None = None,
-    fill: float | None = 0.0,
+    fill: float | None = None,
     text: Sequence[str] = (),
 ) -> StreamingQuery:
     """Score what has arrived and append it to ``output``. Rows are independent: no state is kept.

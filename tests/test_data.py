@@ -41,7 +41,7 @@ from tablewright.operators.profile import (
 from tablewright.operators.score import align_features, restore_names, with_prediction
 from tablewright.plans.spec import PlanError, Relationship
 from tablewright.session import scratch_path
-from tablewright.sources.csv import read_csv_tables, sniff_encoding, sniff_separator
+from tablewright.sources.csv import look_through, read_csv_table, read_csv_tables, sniff_separator
 from tablewright.sources.logs import parse_training_log
 from tablewright.sources.sinks import as_json, write_predictions, write_report, write_wide_table
 from tablewright.sources.tables import (
@@ -220,9 +220,19 @@ def test_csv_folders_and_failures(spark, tmp_path):
         read_csv_tables(spark, str(empty))
 
 
-def test_sniffing():
-    whole = ("价" * 2000 + "\n").encode()
-    assert sniff_encoding(whole) == "utf-8" and sniff_encoding("价格\n".encode("gbk")) == "gbk"
+def test_whole_files_are_looked_through(spark, tmp_path):
+    plain, late, quoted = tmp_path / "plain.csv", tmp_path / "late.csv", tmp_path / "quoted.csv"
+    plain.write_bytes(("价" * 2000 + "\n").encode())
+    late.write_bytes(b"a,b\n" + b"1,x\n" * 5000 + "2,国家\n".encode("gbk"))
+    quoted.write_text('a,b\n1,"x ""y"", z"\n2,"two\nlines"\n')
+    assert look_through(spark, str(plain)) == (True, False)
+    assert look_through(spark, str(late)) == (False, False)
+    assert look_through(spark, str(quoted)) == (True, True)
+    assert read_csv_table(spark, str(late)).where("a = 2").first()["b"] == "国家"
+    assert sorted(map(tuple, read_csv_table(spark, str(quoted)).collect())) == [(1, 'x "y", z'), (2, "two\nlines")]
+
+
+def test_separators():
     assert sniff_separator("a") == "," and sniff_separator("a,b$c") == "," and sniff_separator("a|b|c,d") == "|"
 
 

@@ -199,13 +199,17 @@ def test_pool(spark, table):
     plan = FeaturePlan(MainSpec("m", "id", "y"), (), rels)
     tables = {"m": main, "snap": snapshot, "fact": fact}
     good = FeatureSpec("COUNT", "fact", "amount")
-    pool = build_pool(plan, tables, [good, FeatureSpec("AVG", "fact", "no_such"), FeatureSpec("SUM", "fact", "amount", 30)])
+    with pytest.raises(PlanError, match="no_such"):
+        build_pool(plan, tables, [good, FeatureSpec("AVG", "fact", "no_such")])
+    pool = build_pool(plan, tables, [good, FeatureSpec("SUM", "fact", "amount", 30)])
     names = [s.name for s in pool]
     assert names[0] == "LATEST_m_signal" and {"LATEST_snap_noise", "LATEST_snap_kind"} <= set(names[1:3])
     assert len(names) == 3 + 12 + 1 and names[-1] == "COUNT_fact_amount"
     assert spec_rows(spark, pool).count() == 16
     bare = FeaturePlan(MainSpec("m", "id"), ())
-    assert [s.column for s in build_pool(bare, {"m": main})] == ["y", "signal", "shop_id"]
+    with pytest.raises(PlanError, match="passes the screen"):
+        build_pool(bare, {"m": main})
+    assert [s.column for s in build_pool(bare, {"m": main}, default_columns=15)] == ["y", "signal", "shop_id"]
     assert len(default_specs(main, "m", ["id"], 2)) == 2
     assert window_grid(tables, [Relationship("snap", "id", "id", unique=True)]) == []
 

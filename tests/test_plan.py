@@ -181,8 +181,15 @@ def test_plan_in_short_form():
             "genes": [
                 {"_type": "FeatureGene", "op": "LATEST", "path": "m.c", "window": None},
                 {"_type": "FeatureGene", "op": "AVG", "path": "f.v", "window": "30d"},
-                {"_type": "OtherGene", "x": 1},
+                {"_type": "FilterGene", "condition": "m.c > 18 and m.s <> 'm.x'"},
             ],
         }
     )
     assert plan.feature_names() == ["LATEST_m_c", "AVG_f_v_30d"] and model is None
+    assert plan.filters == {"m": "c > 18 and s <> 'm.x'"}
+
+
+@pytest.mark.parametrize("entry", [{"_type": "OtherGene", "x": 1}, {"_type": "FilterGene", "condition": "c > 18"}])
+def test_stored_entries_that_would_be_lost_are_refused(entry):
+    with pytest.raises(PlanError):
+        plan_from_dict({"meta": {"join_key": "k", "main_table": "m"}, "genes": [entry]})
