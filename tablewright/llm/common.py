@@ -17,7 +17,6 @@ SHINGLE = 5
 SIMILARITY = 0.75
 # Bytes of input that one task of an exchange is meant to hold.
 TASK_BYTES = 16 << 20
-CACHED_WORDS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,16 +45,6 @@ def parts_for(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by_size)
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def words_of(text: bytes | None) -> list[bytes]:
     """Runs of anything but space and tab to carriage return, A-Z lower-cased (``bytes`` methods know ASCII only)."""
     return text.lower().split() if text else []
@@ -83,8 +72,14 @@ def shingles_of(hashes: np.ndarray) -> np.ndarray:
     return mix(total)
 
 
-def hashes_of(words: list[bytes], cache: WordHashes) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, each value once."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
 def binaries(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
@@ -100,9 +95,15 @@ def batches(columns: dict[str, tuple[list | np.ndarray, pa.DataType]], rows: int
         yield pa.RecordBatch.from_arrays([a.slice(start, rows) for a in arrays], names)
 
 
-def text_or_null(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with its text as a string column, whatever its type."""
-    return df if dict(df.dtypes)[text] == "string" else df.withColumn(text, F.col(text).cast("string"))
+def wrapped(df: DataFrame, *columns: str) -> DataFrame:
+    """Some columns and the whole row as ``_row``: whatever a step adds can't clash with the row's own names."""
+    return df.select(*[F.col(c) for c in columns], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
+def unwrapped(df: DataFrame, names: list[str], **changed: str) -> DataFrame:
+    """The rows again, columns in ``changed`` taken from beside them."""
+    row = F.col("_row")
+    return df.select(*[(F.col(changed[c]) if c in changed else row.getField(c)).alias(c) for c in names])
 
 
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import stored
+from tablewright.llm.common import stored, unwrapped, wrapped
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -157,10 +157,7 @@ def drawn(rows: DataFrame, labels: DataFrame | None, seed: int = 7) -> DataFrame
 def apply_mix(documents: DataFrame, labels: DataFrame | None = None, weights: Sequence[float] = WEIGHTS, seed: int = 7) -> DataFrame:
     """The documents of the mix: each row as often as the mix takes it, with its own columns."""
     _, plan = mix_sources(documents, labels, weights=weights, seed=seed)
-    names = documents.columns
-    rows = documents.select(
-        F.col("doc_id"), F.col("source"), words_in().alias("size"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
-    )
+    rows = wrapped(documents, "doc_id", "source", "text").withColumn("size", words_in()).drop("text")
     copied = with_copies(drawn(rows, labels, seed), plan).where("copies > 0")
     repeated = copied.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*[F.col("_row").getField(c).alias(c) for c in names])
+    return unwrapped(repeated, documents.columns)

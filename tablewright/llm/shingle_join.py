@@ -15,8 +15,8 @@ each other, after a bound on the difference from counts per hash range has dropp
 expanded into all its pairs. Every link is checked on whole sets.
 
 Defined cases: null or wordless text has an empty set and links with nothing; fewer than five words
-are one shingle; rows with equal sets are linked; a null id is not a smallest id; an empty table
-gives an empty result.
+are one shingle; rows with equal sets are linked; rows without an id link with nothing; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,16 +31,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import (
-    WordHashes,
-    batches,
     binaries,
     components,
+    distinct,
     hashes_of,
     mix,
     parts_for,
     shingles_of,
     stored,
+    unwrapped,
     words_of,
+    wrapped,
 )
 
 BINS = 32
@@ -62,8 +63,8 @@ def bands(largest: int) -> np.ndarray:
 BANDS = bands(1 << 40)
 
 
-def set_of(text: bytes | None, cache: WordHashes) -> np.ndarray:
-    return np.unique(shingles_of(hashes_of(words_of(text), cache)))
+def set_of(text: bytes | None) -> np.ndarray:
+    return distinct(shingles_of(hashes_of(words_of(text))))
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -99,11 +100,10 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
 
 
 def _narrow(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
     for batch in stream:
         sizes, classes, counts = [], [], []
         for text in binaries(batch.column(1)):
-            shingles = set_of(text, cache)
+            shingles = set_of(text)
             sizes.append(len(shingles))
             classes.append(class_of(shingles) if len(shingles) else None)
             binned = np.bincount((shingles >> np.uint64(59)).astype(np.int64), minlength=BINS)
@@ -132,10 +132,10 @@ def _signed(parts: int):
         )
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen, sigs, owners, waiting = WordHashes(), set(), [], [], 0
+        seen, sigs, owners, waiting = set(), [], [], 0
         for batch in stream:
             for text in binaries(batch.column(0)):
-                shingles = set_of(text, cache)
+                shingles = set_of(text)
                 if len(shingles) < 3 or (name := class_of(shingles)) in seen:
                     continue
                 if len(seen) >= REMEMBERED:
@@ -192,11 +192,10 @@ def _similar(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
     for batch in stream:
         for start in range(0, batch.num_rows, 200):
             part = batch.slice(start, 200)
-            sets = [set_of(t, cache) for t in binaries(part.column(0))]
+            sets = [set_of(t) for t in binaries(part.column(0))]
             classes = pa.array([class_of(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([classes, pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "set"])
 
@@ -207,12 +206,8 @@ def _sided(df: DataFrame, side: str, names: dict[str, str]) -> DataFrame:
 
 def link_classes(texts: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The classes (class, n_shingles, counts, doc) of ``narrow`` and their components (node, component)."""
-    classes = stored(
-        narrow.where("class is not null").groupBy("class").agg(
-            F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"), F.min("doc_id").alias("doc")
-        ),
-        "classes",
-    )
+    known = narrow.where("class is not null and doc_id is not null").groupBy("class")
+    classes = stored(known.agg(F.first("n_shingles").alias("n"), F.first("counts").alias("counts"), F.min("doc_id").alias("doc")), "classes")
     parts = parts_for(texts)
     sent = texts.select("text").mapInArrow(_signed(parts), "part int, signatures binary, classes binary")
     groups = stored(
@@ -220,53 +215,58 @@ def link_classes(texts: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFr
     )
 
     def possible(pairs: DataFrame) -> DataFrame:
-        info = classes.select("class", "n_shingles", "counts")
-        known = pairs.distinct().join(_sided(info, "a", {"n_shingles": "n_a", "counts": "counts_a"}), "a")
-        known = known.join(_sided(info, "b", {"n_shingles": "n_b", "counts": "counts_b"}), "b")
-        sized = known.where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
-        return sized.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(_near, "a long, b long")
-
-    star = stored(possible(groups.where("class != anchor").select(F.col("anchor").alias("a"), F.col("class").alias("b"))), "star")
-    members = groups.select("class").distinct()
-    wanted = classes.join(members, "class", "left_semi").select(F.col("doc").alias("_doc"))
-    if wanted.count() <= SENT_IDS:
-        wanted = F.broadcast(wanted)
-    chosen = texts.join(wanted, F.col("doc_id") == F.col("_doc"), "left_semi").select("text")
-    sets = stored(chosen.mapInArrow(_sets, "class long, set binary").dropDuplicates(["class"]), "sets")
-
-    def checked(pairs: DataFrame) -> DataFrame:
+        info = classes.select("class", "n", "counts")
+        both = pairs.distinct().join(_sided(info, "a", {"n": "n_a", "counts": "counts_a"}), "a")
+        both = both.join(_sided(info, "b", {"n": "n_b", "counts": "counts_b"}), "b").where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
+        return both.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(_near, "a long, b long")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Whole sets of some classes, each from the text with the smallest id."""
+        ids = classes.join(wanted, "class", "left_semi").select(F.col("doc").alias("_doc"))
+        ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+        chosen = texts.join(ids, F.col("doc_id") == F.col("_doc"), "left_semi").select("text")
+        return stored(chosen.mapInArrow(_sets, "class long, set binary"), "sets")
+
+    def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         both = pairs.join(_sided(sets, "a", {"set": "set_a"}), "a").join(_sided(sets, "b", {"set": "set_b"}), "b")
-        return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long, linked boolean"), "checked")
+        return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long, linked boolean").distinct(), "checked")
+
+    def ends_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
 
-    tried = checked(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    star = possible(groups.where("class != anchor").select(F.col("anchor").alias("a"), F.col("class").alias("b")))
+    first = stored(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
+    sets = sets_of(ends_of(first))
+    tried = checked(first, sets)
     links = tried.where("linked").select("a", "b")
-    joined = stored(components(links, "a", "b"), "components")
-    apart, rounds = None, 0
+    label = stored(components(links, "a", "b"), "components")
+    named = groups.join(label, F.col("class") == F.col("node"), "left").select(
+        "signature", "class", F.coalesce("component", "class").alias("component")
+    )
+    split = named.groupBy("signature").agg(F.min("component").alias("_l"), F.max("component").alias("_m")).where("_l != _m")
+    # Signatures whose classes are not all joined yet; any two classes still apart are compared.
+    open_groups = stored(named.join(split.select("signature"), "signature"), "open")
+    left = open_groups.select("signature", F.col("class").alias("a"), F.col("component").alias("ca"))
+    right = open_groups.select("signature", F.col("class").alias("b"), F.col("component").alias("cb"))
+    apart = stored(possible(left.join(right, "signature").where("a < b and ca != cb").select("a", "b")), "apart")
+    more = ends_of(apart).join(sets.select("class"), "class", "left_anti")
+    if not apart.isEmpty():
+        sets = sets.unionByName(sets_of(more))
+    rounds = 0
     while True:
-        label = joined.select(F.col("node"), F.col("component"))
-        if apart is None:
-            named = groups.join(label, F.col("class") == F.col("node"), "left").select(
-                "signature", "class", F.coalesce("component", "class").alias("component")
-            )
-            split = named.groupBy("signature").agg(F.min("component").alias("_l"), F.max("component").alias("_m")).where("_l != _m")
-            open_groups = stored(named.join(split.select("signature"), "signature"), "open")
-            left = open_groups.select("signature", F.col("class").alias("a"), F.col("component").alias("ca"))
-            right = open_groups.select("signature", F.col("class").alias("b"), F.col("component").alias("cb"))
-            cross = left.join(right, "signature").where("a < b and ca != cb").select("a", "b")
-            apart = stored(possible(cross), "apart")
         for side in ("a", "b"):
-            named_side = label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-            apart = apart.drop(f"c{side}").join(named_side, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+            ends = label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+            apart = apart.drop(f"c{side}").join(ends, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
         done = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
         apart = stored(apart.where("ca != cb").join(done, ["a", "b"], "left_anti").select("a", "b", "ca", "cb"), "apart")
         if apart.isEmpty():
-            return classes, joined
+            return classes, label
         # A few pairs for each two components, four times as many in every round, as most pairs of joined ones need no look.
         two = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy("a", "b")
         some = apart.withColumn("_n", F.row_number().over(two)).where(F.col("_n") <= 4**rounds).select("a", "b")
-        tried = checked(some)
+        tried = checked(some, sets)
         links = links.unionByName(tried.where("linked").select("a", "b"))
-        joined = stored(components(links, "a", "b"), "components")
+        label = stored(components(links, "a", "b"), "components")
         rounds += 1
 
 
@@ -274,6 +274,7 @@ def document_components(documents: DataFrame, key: str = "doc_id", text: str = "
     """doc_id, n_shingles and component_id of every document."""
     texts = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     narrow = stored(texts.mapInArrow(_narrow, "doc_id long, n_shingles long, class long, counts binary"), "narrow")
+    texts = texts.where("doc_id is not null")
     classes, joined = link_classes(texts, narrow)
     named = classes.join(joined, F.col("class") == F.col("node"), "left").select(
         F.col("class").alias("_class"), "doc", F.coalesce("component", "class").alias("_component")
@@ -281,7 +282,7 @@ def document_components(documents: DataFrame, key: str = "doc_id", text: str = "
     smallest = named.groupBy("_component").agg(F.min("doc").alias("component_id"))
     per_class = named.join(smallest, "_component").select("_class", "component_id")
     return narrow.join(per_class, F.col("class") == F.col("_class"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
 
 
@@ -294,9 +295,8 @@ def first_of_each(documents: DataFrame) -> DataFrame:
     found = document_components(documents)
     keep = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "kept")
     keep = keep.withColumnRenamed("doc_id", "_kept")
-    same = F.col("doc_id") == F.col("_kept")
-    once = documents.join(keep.where("_rows = 1"), same, "left_semi")
-    numbered = Window.partitionBy("doc_id").orderBy("text")
-    again = documents.join(keep.where("_rows > 1"), same, "left_semi")
-    again = again.withColumn("_n", F.row_number().over(numbered)).where("_n = 1").drop("_n")
-    return once.unionByName(again).unionByName(documents.where("doc_id is null"))
+    rows, same = wrapped(documents, "doc_id", "text"), F.col("doc_id") == F.col("_kept")
+    once = rows.join(keep.where("_rows = 1"), same, "left_semi")
+    again = rows.join(keep.where("_rows > 1"), same, "left_semi")
+    again = again.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").drop("_n")
+    return unwrapped(once.unionByName(again).unionByName(rows.where("doc_id is null")), documents.columns)

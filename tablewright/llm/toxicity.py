@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import WordHashes, hashes_of, mix, shingles_of, stored, words_of
+from tablewright.llm.common import hashes_of, mix, shingles_of, stored, words_of
 
 # Labelled rows used to fit, at most, by label: the bound of the sample.
 FIT_TOXIC, FIT_CLEAN = 1_200, 1_800
@@ -134,9 +134,9 @@ def aggregates(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def unlike(texts: list[str]) -> np.ndarray:
     """Which texts share none of four min-hashes of their shingles with an earlier one: copies would pass for evidence."""
-    cache, seen, kept = WordHashes(), set(), []
+    seen, kept = set(), []
     for text in texts:
-        shingles = shingles_of(hashes_of(words_of(text.encode()), cache))
+        shingles = shingles_of(hashes_of(words_of(text.encode())))
         least = {(k, int(mix(shingles ^ np.uint64(k + 1)).min())) for k in range(4)} if len(shingles) else {None}
         kept.append(seen.isdisjoint(least))
         seen |= least
