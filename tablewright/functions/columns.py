@@ -119,3 +119,8 @@ def bands(value: Column, limits: Sequence[tuple[float, str]], below: str) -> Col
     for limit, label in ordered:
         out = out.when(value > limit, F.lit(label))
     return out.otherwise(F.lit(below))
+
+
+def is_key_like(name: str) -> bool:
+    """Whether ``id`` is a word of the name, between underscores or its ends."""
+    return "id" in name.lower().split("_")

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,8 +38,9 @@ SCREEN_PRESET = {"trees": 100, "rate": 0.1, "leaves": 255, "min_rows": 20}
 # Rows used for importance (fixed value).
 IMPORTANCE_ROWS = 8000
 
-# Most categories of a one-hot column.
+# Most categories of a one-hot column; columns with more become one number each.
 MAX_CATEGORIES = 200
+CODES = 1 << 20
 
 FEATURES, WEIGHT = "_features", "_weight"
 
@@ -50,7 +51,10 @@ def preset(name: str) -> dict[str, float]:
 
 
 def depth_for(leaves: int) -> int:
-    return max(1, min(8, int(leaves).bit_length()))
+    """Depth that holds so many leaves; settings may give ``depth`` themselves."""
+    if leaves > 255:
+        raise PlanError(f"{leaves} leaves: give the depth instead")
+    return max(1, int(leaves).bit_length())
 
 
 def make_classifier(settings: Mapping[str, float], label: str, seed: int = 42, weighted: bool = True) -> GBTClassifier:
@@ -94,26 +98,28 @@ def clean_inputs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.selectExpr(*map(one, df.schema))
 
 
-def require_few_categories(df: DataFrame, features: Sequence[str], limit: int = MAX_CATEGORIES) -> None:
-    """One-hot makes a model input per value: refuse columns that should be coded instead."""
-    _, categorical = split_kinds(df.select(*[quoted(c) for c in features]))
-    if categorical:
-        row = df.agg(*[F.approx_count_distinct(quoted(c)).alias(f"_{i}") for i, c in enumerate(categorical)]).first()
-        wide = [c for c, n in zip(categorical, row) if n > limit]
-        if wide:
-            raise PlanError(f"{wide} have more than {limit} categories; use label_encode first")
+def many_categories(df: DataFrame, categorical: Sequence[str], limit: int = MAX_CATEGORIES) -> set[str]:
+    """Columns with more than ``limit`` values: each has that many already among its distinct ones, none is counted out."""
+    return {c for c in categorical if df.select(quoted(c)).distinct().limit(limit + 1).count() > limit}
 
 
 def make_pipeline(
     df: DataFrame, features: Sequence[str], label: str, settings: Mapping[str, float] | None = None, seed: int = 42
 ) -> Pipeline:
-    """Median imputation, one-hot categories, boosted trees."""
+    """Median imputation, one-hot categories, one number for columns with many, boosted trees."""
     numeric, categorical = split_kinds(df.select(*[quoted(c) for c in features]))
     stages, inputs = [], []
     if numeric:
         filled = [f"_n{i}" for i in range(len(numeric))]
         stages.append(Imputer(strategy="median", inputCols=numeric, outputCols=filled))
         inputs += filled
+    wide = many_categories(df, categorical)
+    coded, categorical = [c for c in categorical if c in wide], [c for c in categorical if c not in wide]
+    if coded:
+        # A hash needs no table of values and gives the same number in training and scoring.
+        codes = ", ".join(f"CAST(pmod(xxhash64({sql_name(c)}), {CODES}) AS DOUBLE) AS _c{i}" for i, c in enumerate(coded))
+        stages.append(SQLTransformer(statement=f"SELECT *, {codes} FROM __THIS__"))
+        inputs += [f"_c{i}" for i in range(len(coded))]
     if categorical:
         index = [f"_i{i}" for i in range(len(categorical))]
         flags = [f"_h{i}" for i in range(len(categorical))]
@@ -177,7 +183,6 @@ def fold_scores(
     """Out-of-fold scores for a frame from ``with_folds``, written once."""
     spark = folded.sparkSession
     require_columns(folded, [*key, label, *features])
-    require_few_categories(folded, features)
     shared_dir(spark)  # boosted trees cut their lineage there
     counts: dict[int, list[int]] = {}
     for row in folded.groupBy("fold", label).count().collect():  # folds x 2 rows
@@ -223,7 +228,6 @@ def fit_final(
     train = spread(train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = require_two_classes(train, label)
-        require_few_categories(train, features)
         weighted = with_class_weight(train, label, n[0], n[1])
         return make_pipeline(weighted, features, label, settings, seed).fit(weighted)
     finally:
@@ -244,8 +248,11 @@ def screen_gbt(
     model = fit_final(df, label, features, settings or SCREEN_PRESET, seed)
     importances = model.stages[-1].featureImportances.toArray()
     numeric, categorical = split_kinds(df.select(*[quoted(c) for c in features]))
-    scores = dict(zip(numeric, importances[: len(numeric)].tolist()))
-    at = len(numeric)
+    wide = many_categories(df, categorical)
+    single = [*numeric, *[c for c in categorical if c in wide]]
+    scores = dict(zip(single, importances[: len(single)].tolist()))
+    categorical = [c for c in categorical if c not in wide]
+    at = len(single)
     for stage in model.stages:
         if stage.__class__.__name__ == "OneHotEncoderModel":
             for name, size in zip(categorical, stage.categorySizes):

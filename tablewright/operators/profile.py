@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import quoted, sql_name, sql_no_nan, sql_text, type_class
+from tablewright.functions.columns import is_key_like, quoted, sql_name, sql_no_nan, sql_text, type_class
 
 # Share of distinct keys above which a table is a snapshot. Fixed value.
 SNAPSHOT_SHARE = 0.95
-# Column names that identify rows.
-_ID_NAME = re.compile(r"(^|_)id$", re.IGNORECASE)
 
 
 def relation_cardinality(
@@ -55,14 +52,10 @@ def drop_empty_columns(df: DataFrame, columns: Sequence[str] | None = None) -> D
     return df.drop(*empty)
 
 
-def is_id_name(name: str) -> bool:
-    return bool(_ID_NAME.search(name))
-
-
 def candidate_columns(df: DataFrame, key: Sequence[str], label: str | None = None, exclude: Iterable[str] = ()) -> list[str]:
     """Columns that may become features: no key, label, excluded or id-like column."""
     banned = {*key, *exclude, *([label] if label else [])}
-    return [c for c in df.columns if c not in banned and not is_id_name(c)]
+    return [c for c in df.columns if c not in banned and not is_key_like(c)]
 
 
 def baseline_matrix(df: DataFrame, label: str, exclude: Iterable[str] = ()) -> DataFrame:

@@ -52,11 +52,13 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the copy.
 
-    Used where a later step must see the very rows (and partition numbers) an
-    earlier step saw, also after an executor is lost.
+    Used where a later step must see the very rows an earlier step saw, also
+    after an executor is lost. Parquet, so that each later step reads only the
+    columns it uses.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import bands, nan_as_null, to_number
+from tablewright.functions.columns import is_key_like, bands, nan_as_null, to_number
 from tablewright.operators.derive import cross_feature, ratio_bands
 from tablewright.operators.labels import (
     class_check,
@@ -31,7 +31,6 @@ from tablewright.operators.profile import (
     candidate_columns,
     column_coverage,
     drop_empty_columns,
-    is_id_name,
     is_snapshot,
     logical_view,
     reconcile,
@@ -155,7 +154,7 @@ def test_profiles(spark):
     assert is_snapshot(spark.range(50), ["id"])
     assert {r["feature"]: (r["non_null"], r["keep"]) for r in column_coverage(df).collect()} == {"k": (3, 1), "e": (0, 0), "v": (1, 1)}
     assert drop_empty_columns(df).columns == ["k", "v"]
-    assert is_id_name("user_ID") and is_id_name("id") and not is_id_name("width") and not is_id_name("ideal")
+    assert all(map(is_key_like, ("user_ID", "id", "SK_ID_PREV", "id_code"))) and not any(map(is_key_like, ("width", "ideal", "paid_sum")))
     assert candidate_columns(df.withColumn("x_id", F.lit(1)), ["k"], "v") == ["e"]
     kinds = {r["column"]: r["kind"] for r in schema_rows(spark, {"t": df.withColumn("d", F.current_date())}).collect()}
     assert kinds == {"k": "integer", "e": "string", "v": "number", "d": "datetime"}

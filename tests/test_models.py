@@ -15,7 +15,8 @@ from tablewright.operators.model import (
     oof_scores,
     permutation_importance,
     preset,
-    require_few_categories,
+    many_categories,
+    depth_for,
     save_model,
     screen_gbt,
 )
@@ -91,9 +92,19 @@ def test_one_class_is_refused(table):
         fit_final(table.filter("y = 1"), "y", FEATURES, SMALL)
 
 
-def test_wide_categories_are_refused(table):
-    with pytest.raises(PlanError, match="label_encode"):
-        require_few_categories(table.withColumn("kind", F.col("id").cast("string")), FEATURES)
+def test_wide_categories_become_numbers(table):
+    many = table.withColumn("kind", F.col("id").cast("string"))
+    assert many_categories(many, ["kind"]) == {"kind"} and many_categories(table, ["kind"]) == set()
+    wide_model = fit_final(many, "y", FEATURES, SMALL)
+    assert model_scores(many, wide_model, FEATURES, ["id"]).count() == 600
+    by_model = {r["feature"]: r["score"] for r in screen_gbt(many, "y", FEATURES, SMALL).collect()}
+    assert set(by_model) == set(FEATURES) and sum(by_model.values()) == pytest.approx(1.0)
+
+
+def test_depth_holds_the_leaves():
+    assert depth_for(31) == 5 and depth_for(255) == 8
+    with pytest.raises(PlanError, match="depth"):
+        depth_for(256)
 
 
 def test_importance(table, model):
