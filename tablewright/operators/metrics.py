@@ -147,36 +147,58 @@ def poisson_limits() -> list[str]:
         term /= k
 
 
-def resample_weights(df: DataFrame, key: Sequence[str], carry: Sequence[Column], replicates: int, seed: int) -> DataFrame:
-    """One row per row and replicate with ``w``: how often the row enters that resample.
+def weight_columns(df: DataFrame, key: Sequence[str], carry: Sequence[Column], replicates: int, seed: int) -> DataFrame:
+    """Carried columns and ``_w0``, ``_w1``, ...: how often the row enters each resample.
 
     The weight is Poisson(1) and a function of the key only. Five draws are cut
     from one md5 and compared as text, so nothing is parsed per row.
     """
     hashes = -(-replicates // DRAWS_PER_HASH)
     hashed = df.select(*carry, *[key_hash(key, seed, h).alias(f"_h{h}") for h in range(hashes)])
-    draws = [
-        F.struct(
-            F.lit(r).alias("replicate"),
-            F.substring(f"_h{r // DRAWS_PER_HASH}", 1 + DRAW_DIGITS * (r % DRAWS_PER_HASH), DRAW_DIGITS).alias("u"),
-        )
-        for r in range(replicates)
-    ]
+
+    def weight(r: int) -> Column:
+        draw = F.substring(f"_h{r // DRAWS_PER_HASH}", 1 + DRAW_DIGITS * (r % DRAWS_PER_HASH), DRAW_DIGITS)
+        out = F.lit(0)
+        for limit in poisson_limits():
+            out = out + F.when(draw >= limit, 1).otherwise(0)
+        return out.alias(f"_w{r}")
+
     names = [c for c in hashed.columns if not c.startswith("_h")]
-    drawn = hashed.select(*names, F.explode(F.array(*draws)).alias("_d")).select(*names, "_d.replicate", "_d.u")
-    weight = F.lit(0)
-    for limit in poisson_limits():
-        weight = weight + F.when(F.col("u") >= limit, 1).otherwise(0)
-    return drawn.select(*names, "replicate", weight.alias("w"))
+    return hashed.select(*names, *[weight(r) for r in range(replicates)])
+
+
+def resample_weights(df: DataFrame, key: Sequence[str], carry: Sequence[Column], replicates: int, seed: int) -> DataFrame:
+    """``weight_columns`` as one row per row and replicate, with the weight ``w``."""
+    wide = weight_columns(df, key, carry, replicates, seed)
+    names = [c for c in wide.columns if not c.startswith("_w")]
+    pairs = F.array(*[F.struct(F.lit(r).alias("replicate"), F.col(f"_w{r}").alias("w")) for r in range(replicates)])
+    return wide.select(*names, F.inline(pairs))
 
 
 def bootstrap_auc(
     scored: DataFrame, key: Sequence[str], label: str, score: str, replicates: int = 5, seed: int = 42
 ) -> DataFrame:
-    """AUC of each resample. Rows are weighted, not drawn, so no row has to be found by number."""
-    carry = [quoted(label).alias("label"), quoted(score).alias("value")]
-    drawn = resample_weights(scored, key, carry, replicates, seed)
-    return auc(drawn, "label", "value", ["replicate"], F.col("w"))
+    """AUC of each resample. Rows are weighted, not drawn, so no row has to be found by number.
+
+    All resamples are summed per score side by side, so no row is repeated, and
+    their running sums are taken over one order.
+    """
+    value = no_nan(quoted(score).cast("double"), scored.schema[score].dataType)
+    rows = weight_columns(scored, key, [quoted(label).alias("_y"), value.alias("score")], replicates, seed)
+    rows = rows.filter(F.col("score").isNotNull() & F.col("_y").isin(0, 1))
+    sums = [f"{side}{r}" for r in range(replicates) for side in ("pos", "neg")]
+    counted = rows.groupBy("score").agg(
+        *[F.sum(F.when(F.col("_y") == int(s.startswith("pos")), F.col(f"_w{s[3:]}")).otherwise(0)).alias(s) for s in sums]
+    )
+    steps = running_sums(counted, ["score"], sums)
+
+    def one(r: int) -> Column:
+        pos, neg = F.max(f"pos{r}_total"), F.max(f"neg{r}_total")
+        wins = F.sum(F.col(f"pos{r}").cast("double") * (F.col(f"neg{r}_upto") - F.col(f"neg{r}").cast("double") / 2.0))
+        pairs = F.nullif(pos.cast("double") * neg.cast("double"), F.lit(0.0))
+        return F.struct(F.lit(r).alias("replicate"), pos.alias("n_pos"), neg.alias("n_neg"), (wins / pairs).alias("auc"))
+
+    return steps.agg(F.array(*[one(r) for r in range(replicates)]).alias("_r")).select(F.inline("_r")).filter("n_pos + n_neg > 0")
 
 
 def auc_spread(replicates: DataFrame) -> DataFrame:

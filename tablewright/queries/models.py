@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import functions as F
 
 from tablewright.operators.metrics import auc
@@ -53,14 +51,9 @@ KEY, TARGET = ["o_orderkey"], "is_f"
 TEXT = ["LATEST_orders_o_orderpriority"]
 
 
-@cache
-def _fitted(application: str, sf: str, spark):
-    return fit_final(order_matrix(spark, sf), TARGET, ORDER_FEATURES, SMALL)
-
-
 def order_model(spark, sf):
-    """The model several queries share within one application."""
-    return _fitted(spark.sparkContext.applicationId, sf, spark)
+    """Each query fits its own model: nothing is kept from one call to the next."""
+    return fit_final(order_matrix(spark, sf), TARGET, ORDER_FEATURES, SMALL)
 
 
 @query(name="screen_gbt")
@@ -172,22 +165,24 @@ def search_rounds(spark, sf):
 
 
 @query(name="score_raw")
-def score_raw_tables(spark, sf):
-    return score_raw(ORDER_PLAN, order_tables(spark, sf), order_model(spark, sf))
+def score_raw_tables(spark, sf, model=None):
+    return score_raw(ORDER_PLAN, order_tables(spark, sf), model or order_model(spark, sf))
 
 
 @query(name="score_wide")
-def score_wide_table(spark, sf):
+def score_wide_table(spark, sf, model=None):
     wide = build_wide_table(ORDER_PLAN, order_tables(spark, sf), short_alias=True, scoring=True)
     aliases = dict(zip(wide.columns[1:], ORDER_FEATURES))
-    scored = score_wide(wide, order_model(spark, sf), KEY, ORDER_FEATURES, aliases, text=TEXT)
+    scored = score_wide(wide, model or order_model(spark, sf), KEY, ORDER_FEATURES, aliases, text=TEXT)
     return with_prediction(scored, "p_value")
 
 
 @query("select count(*)::bigint as n_rows, 0::bigint as n_differing from orders")
 def score_routes_agree(spark, sf):
     """Raw tables and the stored wide table give the same probabilities with the defaults."""
-    raw, wide = score_raw_tables(spark, sf), score_wide_table(spark, sf).withColumnRenamed("p_value", "p_wide")
+    model = order_model(spark, sf)
+    raw = score_raw_tables(spark, sf, model)
+    wide = score_wide_table(spark, sf, model).withColumnRenamed("p_value", "p_wide")
     both = raw.join(wide, KEY, "full")
     return both.agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("p_value").eqNullSafe(F.col("p_wide"))).alias("n_differing")
