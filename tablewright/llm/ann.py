@@ -40,7 +40,8 @@ BUCKET_ROWS = 100
 FRONT = 1024
 # Rows of the bounded sample that distances are estimated on.
 SAMPLE = 2_000
-CELL_ROWS, SPLIT_ROWS, QUERY_BLOCK = 8_192, 4_096, 4_096
+# Bytes of vectors in a cell: every cell returns its best for each query that visits it, so cells are large.
+CELL_BYTES, QUERY_BLOCK = 32 << 20, 2_048
 SEED = 1
 
 
@@ -230,10 +231,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, wanted: int = NEAREST) -> Da
         return spark.createDataFrame([], schema)
     index = stored(vectors.mapInArrow(_indexed(tables), "bucket long, id long, v array<double>"), "index")
     rows, asked = index.count(), queries.count()
-    cells, blocks = max(1, math.ceil(rows / CELL_ROWS)), max(1, math.ceil(asked / QUERY_BLOCK))
+    cell_rows = max(1, CELL_BYTES // (8 * (tables.directions.shape[2] - 1)))
+    cells, blocks = max(1, math.ceil(rows / cell_rows)), max(1, math.ceil(asked / QUERY_BLOCK))
     # Buckets too large for one cell, with the number of pieces they are split into.
-    split = index.groupBy("bucket").count().where(F.col("count") > SPLIT_ROWS)
-    split = stored(split.select(F.col("bucket").alias("_bucket"), F.ceil(F.col("count") / SPLIT_ROWS).cast("int").alias("pieces")), "split")
+    piece_rows = max(1, cell_rows // 4)
+    split = index.groupBy("bucket").count().where(F.col("count") > piece_rows)
+    split = stored(split.select(F.col("bucket").alias("_bucket"), F.ceil(F.col("count") / piece_rows).cast("int").alias("pieces")), "split")
 
     def cell_of(piece: Column) -> Column:
         return F.pmod(F.xxhash64("bucket", piece), F.lit(cells))
