@@ -3,7 +3,7 @@
 A text is its words in order and an end. The lattice of a word has an edge for every piece of an
 existing vocabulary that occurs in it (the first with the word mark) and ends with a stop; the
 probability of its spelling is the sum over all segmentations of the product of their pieces'
-probabilities, found by a forward recursion over its characters. Characters outside the vocabulary
+probabilities, found by a forward recursion in log space over its characters. Characters outside the vocabulary
 go by their bytes. Piece probabilities start from the vocabulary's scores (its ranks, as a Zipf law)
 and are refitted to the distinct training words by expectation: forward and backward recursions
 give how often each piece is expected in each word.
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from tablewright.llm.common import parts_for, stored
+from tablewright.llm.common import mix, parts_for, stored
 from tablewright.llm.exchange import (
     REPLIES,
     ROWS,
@@ -52,8 +52,6 @@ MARK = "▁"
 ROUNDS = 2
 # Occurrences that every piece is given besides the expected ones.
 PRIOR = 0.1
-# Longer words are worked on in logarithms throughout.
-SHORT = 40
 SMOOTHING = 0.1
 TOTALS = 3
 STOP = "</stop>"
@@ -74,90 +72,126 @@ def vocabulary(name: str) -> tuple[dict[str, int], list[str], list[float]]:
     return {p: k for k, p in enumerate(pieces)}, pieces, [x / total for x in start]
 
 
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Places:
+    """Numbers of 64-bit keys, by a few small tables: what finds its place taken goes to the next."""
+
+    def __init__(self, keys: np.ndarray):
+        mixed = mix(keys)
+        self.keys, self.tables = np.append(mixed, np.uint64(0)), []
+        left = np.arange(len(keys))
+        # Each table looks at other bits of the mixed key.
+        for shift, bits in ((44, 20), (28, 16), (14, 14), (0, 14)):
+            place = self._place(mixed[left], shift, bits)
+            table = np.full(1 << bits, len(keys), np.int32)
+            table[place[::-1]] = left[::-1]
+            self.tables.append((shift, bits, table))
+            left = left[table[place] != left]
+        assert not len(left)
+
+    @staticmethod
+    def _place(mixed: np.ndarray, shift: int, bits: int) -> np.ndarray:
+        return ((mixed >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each key, the number of keys for unknown ones."""
+        mixed = mix(keys)
+        out = np.full(keys.shape, len(self.keys) - 1, np.int32)
+        for shift, bits, table in self.tables:
+            number = table[self._place(mixed, shift, bits)]
+            np.minimum(out, np.where(self.keys[number] == mixed, number, len(self.keys) - 1), out=out)
+        return out
+
+
+def piece_keys(codes: np.ndarray, length: int) -> np.ndarray:
+    """A key for every stretch of ``length`` characters in each row of character codes."""
+    n = codes.shape[1]
+    key = np.zeros((len(codes), n - length + 1), np.uint64)
+    for k in range(length):
+        key = key * BASE + codes[:, k : n - length + 1 + k]
+    return key + np.uint64(length)
+
+
+@cache
+def places(name: str) -> tuple[Places, np.ndarray, int]:
+    """Lookup of the pieces that are not bytes, their numbers in the vocabulary, the longest one."""
+    numbers, _, _ = vocabulary(name)
+    plain = [x for x in numbers if not (x.startswith("<0x") or x == STOP)]
+    keys = np.array([piece_keys(codes_of([x]), len(x))[0, 0] for x in plain], np.uint64)
+    return Places(keys), np.array([numbers[x] for x in plain], np.int64), max(map(len, plain))
+
+
+def codes_of(words: list[str]) -> np.ndarray:
+    """Character codes of words of one length, a row for each."""
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return flat.reshape(len(words), -1).astype(np.uint64)
+
+
 class Segmenter:
-    """Sums over the segmentations of words under given piece probabilities."""
+    """Sums over the segmentations of words under given piece probabilities, words of one length at a time."""
 
     def __init__(self, name: str, probabilities: list[float]):
-        numbers, pieces, _ = vocabulary(name)
-        self.number = numbers
-        self.pieces = pieces
-        self.p = {x: probabilities[i] for x, i in numbers.items() if not (x.startswith("<0x") or x == STOP)}
-        self.bytes = [probabilities[numbers[f"<0x{b:02X}>"]] for b in range(256)]
-        self.longest = max(map(len, self.p))
-
-    def edges(self, word: str) -> list[list[tuple[int, float, str]]]:
-        """Pieces that start at each character: where they end, their probability, themselves."""
-        n, get, longest = len(word), self.p.get, self.longest
-        out = []
-        for i in range(n):
-            found = [(j, p, word[i:j]) for j in range(i + 1, min(n, i + longest) + 1) if (p := get(word[i:j]))]
-            # One character can always go by its bytes.
-            by_bytes = math.prod(self.bytes[b] for b in word[i].encode("utf-8", "surrogatepass"))
-            found.append((i + 1, by_bytes, ""))
-            out.append(found)
+        numbers, _, _ = vocabulary(name)
+        self.places, self.numbers, self.longest = places(name)
+        self.p = np.append(np.array(probabilities)[self.numbers], 0.0)
+        self.byte_numbers = np.array([numbers[f"<0x{b:02X}>"] for b in range(256)])
+        self.bytes = np.array(probabilities)[self.byte_numbers]
+        self.expected = np.zeros(len(probabilities))
+
+    def by_bytes(self, codes: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """Probability of each character through its bytes; the distinct characters' bytes and which one each is."""
+        chars, which = np.unique(codes, return_inverse=True)
+        spelt = [chr(c).encode("utf-8", "surrogatepass") for c in chars.tolist()]
+        return np.array([self.bytes[list(b)].prod() for b in spelt])[which.reshape(codes.shape)], spelt, which.reshape(codes.shape)
+
+    def log10(self, words: list[str], expect: bool = False) -> np.ndarray:
+        """log10 of each word's probability; with ``expect`` adds how often each piece is expected in them."""
+        out, lengths = np.empty(len(words)), np.fromiter(map(len, words), np.int64, len(words))
+        for n in np.unique(lengths).tolist():
+            same = np.flatnonzero(lengths == n)
+            size = max(1, 2_000_000 // (n * min(n, self.longest)))
+            for at in range(0, len(same), size):
+                some = same[at : at + size]
+                out[some] = self._log10([words[k] for k in some.tolist()], expect)
         return out
 
-    def log10(self, word: str) -> float:
-        """log10 of the word's probability (with its mark)."""
-        if len(word) > SHORT:
-            return self._log_forward(self.edges(word))[-1] / math.log(10)
-        n, get, longest = len(word), self.p.get, self.longest
-        a = [0.0] * (n + 1)
-        a[0] = 1.0
-        for i in range(n):
-            x = a[i]
-            for j in range(i + 1, min(n, i + longest) + 1):
-                if p := get(word[i:j]):
-                    a[j] += x * p
-            y = x
-            for b in word[i].encode("utf-8", "surrogatepass"):
-                y *= self.bytes[b]
-            a[i + 1] += y
-        return math.log10(a[n]) if a[n] > 1e-280 else self._log_forward(self.edges(word))[-1] / math.log(10)
-
-    @staticmethod
-    def _log_add(a: float, b: float) -> float:
-        if a < b:
-            a, b = b, a
-        return a + math.log1p(math.exp(b - a)) if b > -math.inf else a
-
-    def _log_forward(self, edges: list) -> list[float]:
-        a = [-math.inf] * (len(edges) + 1)
-        a[0] = 0.0
-        for i, found in enumerate(edges):
-            for j, p, _ in found:
-                a[j] = self._log_add(a[j], a[i] + math.log(p))
-        return a
-
-    def expect(self, word: str, times: float, into: dict[str, float], bytes_into: list[float]) -> None:
-        """Add how often each piece is expected in ``times`` occurrences of the word."""
-        edges = self.edges(word)
-        n = len(edges)
-        if n <= SHORT:
-            a, b = [0.0] * (n + 1), [0.0] * (n + 1)
-            a[0] = b[n] = 1.0
-            for i, found in enumerate(edges):
-                x = a[i]
-                for j, p, _ in found:
-                    a[j] += x * p
-            for i in range(n - 1, -1, -1):
-                b[i] = sum(p * b[j] for j, p, _ in edges[i])
-            scale = times / a[n] if a[n] > 1e-280 else 0.0
-            share = [[x * p * b[j] * scale for j, p, _ in found] for x, found in zip(a, edges, strict=False)]
-        if n > SHORT or not scale:
-            a, b = self._log_forward(edges), [-math.inf] * (n + 1)
-            b[n] = 0.0
-            for i in range(n - 1, -1, -1):
-                for j, p, _ in edges[i]:
-                    b[i] = self._log_add(b[i], math.log(p) + b[j])
-            share = [[times * math.exp(a[i] + math.log(p) + b[j] - a[n]) for j, p, _ in edges[i]] for i in range(n)]
-        for i, (found, parts) in enumerate(zip(edges, share, strict=True)):
-            for (_, _, piece), x in zip(found, parts, strict=True):
-                if piece:
-                    into[piece] = into.get(piece, 0.0) + x
-                else:
-                    for c in word[i].encode("utf-8", "surrogatepass"):
-                        bytes_into[c] += x
+    def _log10(self, words: list[str], expect: bool) -> np.ndarray:
+        codes = codes_of(words)
+        n = codes.shape[1]
+        single, spelt, which = self.by_bytes(codes)
+        found = [None, *[self.places.find(piece_keys(codes, k)) for k in range(1, min(n, self.longest) + 1)]]
+        p = [None, *[self.p[f] for f in found[1:]]]
+        # Messages are scaled at every character, with the logarithm of the scale beside, so long words don't vanish.
+        a, scale = np.zeros((len(words), n + 1)), np.zeros((len(words), n + 1))
+        a[:, 0] = 1.0
+        for j in range(1, n + 1):
+            total = a[:, j - 1] * single[:, j - 1]
+            for k in range(1, min(j, self.longest) + 1):
+                total += a[:, j - k] * p[k][:, j - k] * np.exp(scale[:, j - k] - scale[:, j - 1])
+            a[:, j], scale[:, j] = 1.0, scale[:, j - 1] + np.log(total)
+        if expect:
+            # b at j is scaled by exp(scale at n - scale at j), so that a * b is a probability.
+            b = np.zeros((len(words), n + 1))
+            b[:, n] = 1.0
+            pieces, shares, unknown = [], [], len(self.numbers)
+            for j in range(n - 1, -1, -1):
+                by_byte = single[:, j] * np.exp(scale[:, j] - scale[:, j + 1]) * b[:, j + 1]
+                total = by_byte.copy()
+                for k in range(1, min(n - j, self.longest) + 1):
+                    share = p[k][:, j] * np.exp(scale[:, j] - scale[:, j + k]) * b[:, j + k]
+                    total += share
+                    some = found[k][:, j] < unknown
+                    pieces.append(found[k][some, j])
+                    shares.append(share[some])
+                b[:, j] = total
+                for char, weight in enumerate(np.bincount(which[:, j], by_byte, len(spelt)).tolist()):
+                    if weight:
+                        np.add.at(self.expected, self.byte_numbers[list(spelt[char])], weight)
+            counts = np.bincount(np.concatenate(pieces), np.concatenate(shares), unknown)
+            self.expected += np.bincount(self.numbers, counts, len(self.expected))
+        return scale[:, n] / math.log(10)
 
 
 def lowered_words(text: str) -> list[bytes]:
@@ -193,28 +227,27 @@ def _totals(key: tuple, table: pa.Table) -> pa.Table:
 
 def _expected(name: str, probabilities: list[float]):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter, into, by_byte = Segmenter(name, probabilities), {}, [0.0] * 256
+        segmenter = Segmenter(name, probabilities)
         for batch in stream:
             for payload, extra in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for word, n in zip(unpacked(payload), np.frombuffer(extra, np.int64).tolist(), strict=True):
-                    if n:
-                        segmenter.expect(marked(word), 1.0, into, by_byte)
-        into |= {f"<0x{b:02X}>": x for b, x in enumerate(by_byte) if x}
-        numbers = [segmenter.number[x] for x in into]
+                words, counts = unpacked(payload), np.frombuffer(extra, np.int64)
+                segmenter.log10([marked(words[k]) for k in np.flatnonzero(counts).tolist()], expect=True)
+        numbers = np.flatnonzero(segmenter.expected)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(numbers, pa.int32()), pa.array(list(into.values()), pa.float64())], ["piece", "expected"]
+            [pa.array(numbers, pa.int32()), pa.array(segmenter.expected[numbers], pa.float64())], ["piece", "expected"]
         )
 
     return run
 
 
-def fit_pieces(totals: DataFrame, distinct: int, name: str, rounds: int) -> list[float]:
+def fit_pieces(totals: DataFrame, distinct: int, name: str, rounds: int, parts: int) -> list[float]:
     """Piece probabilities after some rounds of expectation over all distinct training words."""
     probabilities = vocabulary(name)[2]
     if not distinct:
         return probabilities
     for _ in range(rounds):
-        expected = totals.select("payload", "extra").mapInArrow(_expected(name, probabilities), "piece int, expected double")
+        # Rows of 20,000 words, dealt out anew: the files they lie in are too few to keep all cores busy.
+        expected = totals.select("payload", "extra").repartition(parts).mapInArrow(_expected(name, probabilities), "piece int, expected double")
         # As many rows as the vocabulary has pieces, at most.
         found = dict(expected.groupBy("piece").agg(F.sum("expected")).collect())
         counts = [found.get(i, 0.0) + PRIOR for i in range(len(probabilities) - 1)] + [distinct + PRIOR]
@@ -234,8 +267,8 @@ def _answer(name: str, probabilities: list[float], tokens: int, distinct: int, d
         for row in held:
             if row["kind"] == TOTALS:
                 words = unpacked(row["payload"])
-                for word, n in zip(words, np.frombuffer(row["extra"], np.int64).tolist(), strict=True):
-                    spelling = segmenter.log10(marked(word)) + stop
+                spellings = (segmenter.log10([marked(w) for w in words]) + stop).tolist()
+                for word, n, spelling in zip(words, np.frombuffer(row["extra"], np.int64).tolist(), spellings, strict=True):
                     score = math.log10((n - discount) / tokens + 10 ** (spelling + spelt)) if n else spelling + spelt
                     known[word] = (n, score, spelling)
         for row in held:
@@ -306,7 +339,7 @@ def document_scores(documents: DataFrame, name: str = VOCABULARY, rounds: int =
     distinct, once, twice, occurrences = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in sums]).first()
     training = texts.where("counted").count()
     tokens = int(occurrences) + training
-    probabilities = fit_pieces(totals, distinct, name, rounds)
+    probabilities = fit_pieces(totals, distinct, name, rounds, parts)
     # The usual estimate of what a count says too much.
     discount = once / (once + 2 * twice) if once and twice else 0.5
     rejoined = words.unionByName(totals.drop(*sums)).repartition(parts, "part").groupBy("part")

@@ -326,21 +326,32 @@ def test_toxicity(spark, odd):
 
 
 def test_lattice_sums_all_segmentations():
-    seg = lattice.Segmenter(lattice.VOCABULARY, lattice.vocabulary(lattice.VOCABULARY)[2])
+    start = lattice.vocabulary(lattice.VOCABULARY)[2]
+    seg = lattice.Segmenter(lattice.VOCABULARY, start)
+    numbers = lattice.vocabulary(lattice.VOCABULARY)[0]
 
-    def brute(w):
+    def brute(w, used=(), p=1.0):
+        """Every segmentation: its probability and the pieces it uses."""
         if not w:
-            return 1.0
-        out = math.prod(seg.bytes[b] for b in w[0].encode()) * brute(w[1:])
-        return out + sum(seg.p[w[:j]] * brute(w[j:]) for j in range(1, len(w) + 1) if w[:j] in seg.p)
-
-    for w in ("▁the", "▁thereof", "▁日本x", "▁éa"):
-        assert math.isclose(seg.log10(w), math.log10(brute(w)), rel_tol=1e-9)
-        assert math.isclose(seg._log_forward(seg.edges(w))[-1] / math.log(10), seg.log10(w), rel_tol=1e-9)
-        into, by_byte = {}, [0.0] * 256
-        seg.expect(w, 2.0, into, by_byte)
-        covered = sum(len(x) * n for x, n in into.items())
-        assert covered <= 2.0 * len(w) + 1e-9
+            yield p, used
+            return
+        spelt = [f"<0x{b:02X}>" for b in w[0].encode()]
+        yield from brute(w[1:], (*used, *spelt), p * math.prod(start[numbers[x]] for x in spelt))
+        for j in range(1, len(w) + 1):
+            if w[:j] in numbers and not w[:j].startswith("<0x"):
+                yield from brute(w[j:], (*used, w[:j]), p * start[numbers[w[:j]]])
+
+    words_ = ["▁the", "▁thereof", "▁日本x", "▁éa", "▁the", "▁\U0001f600"]
+    got, want = seg.log10(words_, expect=True), np.zeros(len(start))
+    for w, score in zip(words_, got, strict=True):
+        ways = list(brute(w))
+        total = sum(p for p, _ in ways)
+        assert math.isclose(score, math.log10(total), rel_tol=1e-9)
+        for p, used in ways:
+            for x in used:
+                want[numbers[x]] += p / total
+    assert np.allclose(seg.expected, want)
+    assert seg.log10(["▁" + "x" * 3000])[0] < -1000 and len(seg.log10([])) == 0
 
 
 def test_lattice_scores(spark, sf, odd):
