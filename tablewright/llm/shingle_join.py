@@ -5,14 +5,16 @@ are similar to 0.75 or more just if they differ in at most (x + y) / 7 elements.
 bands a factor 4/3 apart, so similar sets lie in one band or in two neighbours; for each such pair
 of bands the hash domain is partitioned, and a set's signatures are its contents in the partitions.
 Differing elements spoil at most one partition each. A set that may differ in k elements gives the
-contents of its first k + 1 partitions that are not empty, so one of them is equal in both sets
+contents of its first k + 1 + s partitions that are not empty, so s + 1 of them are equal in both sets
 (subsets of one out of two second-level partitions, of which one may be spoilt). A set with
-fewer than k + 1 such partitions also names its empty ones. No similar pair is missed.
+fewer such partitions also names its empty ones. No similar pair shares fewer than s + 1 signatures;
+s is a tenth of k, as texts with a line in common share one or two by chance.
 
-Equal sets are one class from the start. Candidates of a signature are first compared with one
-of them, classes found linked are joined, and only members that are still apart are compared with
-each other, after a bound on the difference from counts per hash range has dropped most. No group is
-expanded into all its pairs. Every link is checked on whole sets.
+Equal sets are one class from the start. Each class is first compared with the one smallest class of
+its signatures that it meets most often, and classes found linked are joined. Only members
+of a signature that are still apart are then paired, and compared if they share enough signatures and a
+bound on the difference from counts per hash range allows it. No group is expanded into all its
+pairs. Every link is checked on whole sets.
 
 Defined cases: null or wordless text has an empty set and links with nothing; fewer than five words
 are one shingle; rows with equal sets are linked; rows without an id link with nothing; an empty
@@ -45,6 +47,10 @@ from tablewright.llm.common import (
 )
 
 BINS = 32
+# Whether each of 256 hash ranges holds an odd number of elements: every element that differs changes one of these bits.
+PARITY = ["p0", "p1", "p2", "p3"]
+# Of so many elements that may differ, one more signature is given and must be shared.
+SPARE = 10
 # Signatures that a task gathers before it sends them on.
 FLUSH = 2_000_000
 REMEMBERED = 500_000
@@ -86,31 +92,41 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
         if low < 0:
             continue
         start = int(BANDS[low])
-        parts = math.ceil(0.5 * start + 1.5 * math.sqrt(start) + 2)
+        parts = math.ceil(0.54 * start + 1.5 * math.sqrt(start) + 2)
+        wanted = allowed + 1 + allowed // SPARE
         part = ((shingles >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         first = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
         sums, index = np.add.reduceat(contents, first), part[first]
-        if len(first) < allowed + 1:
+        if len(first) < wanted:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), index)
             sums, index = np.concatenate([sums, np.zeros(len(empty), np.uint64)]), np.concatenate([index, empty])
         else:
-            sums, index = sums[: allowed + 1], index[: allowed + 1]
+            sums, index = sums[:wanted], index[:wanted]
         out.append(mix(sums + mix(index + np.uint64((low + 1) << 40))))
     return np.concatenate(out)
 
 
 def _narrow(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in stream:
-        sizes, classes, counts = [], [], []
+        sizes, classes, counts, parities = [], [], [], []
         for text in binaries(batch.column(1)):
             shingles = set_of(text)
             sizes.append(len(shingles))
             classes.append(class_of(shingles) if len(shingles) else None)
             binned = np.bincount((shingles >> np.uint64(59)).astype(np.int64), minlength=BINS)
             counts.append(np.minimum(binned, 65535).astype(np.uint16).tobytes())
+            odd = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+            parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+        parity = np.array(parities, np.int64).reshape(-1, len(PARITY))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(counts, pa.binary())],
-            ["doc_id", "n_shingles", "class", "counts"],
+            [
+                batch.column(0),
+                pa.array(sizes, pa.int64()),
+                pa.array(classes, pa.int64()),
+                pa.array(counts, pa.binary()),
+                *[pa.array(parity[:, k]) for k in range(len(PARITY))],
+            ],
+            ["doc_id", "n_shingles", "class", "counts", *PARITY],
         )
 
 
@@ -178,7 +194,7 @@ def _near(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c in ("counts_a", "counts_b")
         )
         kept = pa.array(7 * np.abs(p - q).sum(axis=1) <= x + y)
-        yield batch.select(["a", "b"]).filter(kept)
+        yield batch.select(["a", "b", "shared"]).filter(kept)
 
 
 def _similar(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,21 +220,41 @@ def _sided(df: DataFrame, side: str, names: dict[str, str]) -> DataFrame:
     return df.select(F.col("class").alias(side), *[F.col(c).alias(n) for c, n in names.items()])
 
 
+def pairs_apart(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes with a signature in common that are apart and whose sizes and parities allow similarity.
+
+    The bounds are conditions of the join itself: no row is made for a pair they rule out.
+    """
+    left = members.select("signature", *[F.col(c).alias(f"a_{c}") for c in ("class", "component", "n", *PARITY)])
+    right = members.select("signature", *[F.col(c).alias(f"b_{c}") for c in ("class", "component", "n", *PARITY)])
+    differing = " + ".join(f"bit_count(a_{p} ^ b_{p})" for p in PARITY)
+    bound = f"4 * a_n >= 3 * b_n and 4 * b_n >= 3 * a_n and 7 * ({differing}) <= a_n + b_n"
+    same = left["signature"] == right["signature"]
+    joined = left.join(right, same & F.expr(f"a_class < b_class and a_component != b_component and {bound}"))
+    return joined.select(F.col("a_class").alias("a"), F.col("b_class").alias("b"))
+
+
 def link_classes(texts: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The classes (class, n_shingles, counts, doc) of ``narrow`` and their components (node, component)."""
     known = narrow.where("class is not null and doc_id is not null").groupBy("class")
-    classes = stored(known.agg(F.first("n_shingles").alias("n"), F.first("counts").alias("counts"), F.min("doc_id").alias("doc")), "classes")
+    classes = stored(known.agg(F.first("n_shingles").alias("n"), F.first("counts").alias("counts"), F.min("doc_id").alias("doc"), *[F.first(p).alias(p) for p in PARITY]), "classes")
     parts = parts_for(texts)
     sent = texts.select("text").mapInArrow(_signed(parts), "part int, signatures binary, classes binary")
     groups = stored(
         sent.repartition(parts, "part").groupBy("part").applyInArrow(_shared, "signature long, class long, anchor long"), "groups"
     )
 
+    sizes, counts = classes.select("class", "n"), classes.select("class", "counts")
+
     def possible(pairs: DataFrame) -> DataFrame:
-        info = classes.select("class", "n", "counts")
-        both = pairs.distinct().join(_sided(info, "a", {"n": "n_a", "counts": "counts_a"}), "a")
-        both = both.join(_sided(info, "b", {"n": "n_b", "counts": "counts_b"}), "b").where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
-        return both.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(_near, "a long, b long")
+        """Pairs (a, b, one row for each shared signature) that may be similar, with ``shared``."""
+        shared = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+        both = shared.join(_sided(sizes, "a", {"n": "n_a"}), "a").join(_sided(sizes, "b", {"n": "n_b"}), "b")
+        both = both.where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
+        # At least a quarter of the smaller set, less one, may differ, whatever the bands.
+        both = both.where(f"shared > floor(greatest(least(n_a, n_b) * 0.25 - 1, 0) / {SPARE})")
+        both = both.join(_sided(counts, "a", {"counts": "counts_a"}), "a").join(_sided(counts, "b", {"counts": "counts_b"}), "b")
+        return both.select("a", "b", "shared", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(_near, "a long, b long, shared long")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """Whole sets of some classes, each from the text with the smallest id."""
@@ -235,7 +271,8 @@ def link_classes(texts: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFr
         return pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
 
     star = possible(groups.where("class != anchor").select(F.col("anchor").alias("a"), F.col("class").alias("b")))
-    first = stored(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
+    often = F.min(F.struct((-F.col("shared")).alias("s"), "a"))
+    first = stored(star.groupBy("b").agg(often.alias("_m")).select(F.col("_m.a").alias("a"), "b"), "star")
     sets = sets_of(ends_of(first))
     tried = checked(first, sets)
     links = tried.where("linked").select("a", "b")
@@ -246,9 +283,9 @@ def link_classes(texts: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFr
     split = named.groupBy("signature").agg(F.min("component").alias("_l"), F.max("component").alias("_m")).where("_l != _m")
     # Signatures whose classes are not all joined yet; any two classes still apart are compared.
     open_groups = stored(named.join(split.select("signature"), "signature"), "open")
-    left = open_groups.select("signature", F.col("class").alias("a"), F.col("component").alias("ca"))
-    right = open_groups.select("signature", F.col("class").alias("b"), F.col("component").alias("cb"))
-    apart = stored(possible(left.join(right, "signature").where("a < b and ca != cb").select("a", "b")), "apart")
+    facts = classes.select(F.col("class").alias("_c"), "n", *PARITY)
+    met = pairs_apart(open_groups.join(facts, F.col("class") == F.col("_c")).drop("_c"))
+    apart = stored(possible(met).select("a", "b"), "apart")
     more = ends_of(apart).join(sets.select("class"), "class", "left_anti")
     if not apart.isEmpty():
         sets = sets.unionByName(sets_of(more))
@@ -261,9 +298,9 @@ def link_classes(texts: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFr
         apart = stored(apart.where("ca != cb").join(done, ["a", "b"], "left_anti").select("a", "b", "ca", "cb"), "apart")
         if apart.isEmpty():
             return classes, label
-        # A few pairs for each two components, four times as many in every round, as most pairs of joined ones need no look.
+        # One pair for each two components, then sixteen times as many in every round, as most pairs of joined ones need no look.
         two = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy("a", "b")
-        some = apart.withColumn("_n", F.row_number().over(two)).where(F.col("_n") <= 4**rounds).select("a", "b")
+        some = apart.withColumn("_n", F.row_number().over(two)).where(F.col("_n") <= 16**rounds).select("a", "b")
         tried = checked(some, sets)
         links = links.unionByName(tried.where("linked").select("a", "b"))
         label = stored(components(links, "a", "b"), "components")
@@ -273,7 +310,7 @@ def link_classes(texts: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFr
 def document_components(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     texts = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    narrow = stored(texts.mapInArrow(_narrow, "doc_id long, n_shingles long, class long, counts binary"), "narrow")
+    narrow = stored(texts.mapInArrow(_narrow, "doc_id long, n_shingles long, class long, counts binary, p0 long, p1 long, p2 long, p3 long"), "narrow")
     texts = texts.where("doc_id is not null")
     classes, joined = link_classes(texts, narrow)
     named = classes.join(joined, F.col("class") == F.col("node"), "left").select(
@@ -292,11 +329,14 @@ def first_of_each(documents: DataFrame) -> DataFrame:
     Rows without words and rows without an id stay. Of several rows with the id that stays, the one
     with the smallest text does.
     """
-    found = document_components(documents)
-    keep = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "kept")
-    keep = keep.withColumnRenamed("doc_id", "_kept")
-    rows, same = wrapped(documents, "doc_id", "text"), F.col("doc_id") == F.col("_kept")
-    once = rows.join(keep.where("_rows = 1"), same, "left_semi")
-    again = rows.join(keep.where("_rows > 1"), same, "left_semi")
+    found = document_components(documents).where("doc_id is not null")
+    per_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("_kept"))
+    # Ids that go, or that need a second look; the rest stay without being moved.
+    odd = stored(per_id.where("_rows > 1 or not _kept").withColumnRenamed("doc_id", "_odd"), "odd")
+    few = odd.count() <= SENT_IDS
+    rows, same = wrapped(documents, "doc_id", "text"), F.col("doc_id") == F.col("_odd")
+    once = rows.join(F.broadcast(odd) if few else odd, same, "left_anti")
+    repeated = odd.where("_kept")
+    again = rows.join(F.broadcast(repeated) if few else repeated, same, "left_semi")
     again = again.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").drop("_n")
-    return unwrapped(once.unionByName(again).unionByName(rows.where("doc_id is null")), documents.columns)
+    return unwrapped(once.unionByName(again), documents.columns)
