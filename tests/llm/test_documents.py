@@ -279,6 +279,28 @@ def test_passages(spark, odd):
     assert strange.columns == odd.columns and strange.count() == odd.count()
 
 
+def test_passages_of_later_texts(spark):
+    r, rows = random.Random(5), []
+
+    def some(n):
+        return [f"w{r.randrange(10**6)}" for _ in range(n)]
+
+    # The first and third copy differ from the second in one word each, and so are not similar to each other.
+    for _ in range(150):
+        passage = some(60)
+        x, y = r.sample(range(14, 46, 6), 2)
+        for place in (x, None, y):
+            q = list(passage)
+            if place is not None:
+                q[place] = some(1)[0]
+            before, after = some(r.randrange(5, 80)), some(r.randrange(5, 80))
+            rows.append((len(rows), " ".join(before + q + after), len(before), len(before) + 60))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").repartition(4)
+    spans = {x["doc_id"]: x["spans"] for x in passages.document_spans(docs).collect()}
+    lost = [i for i, _, a, b in rows if i % 3 == 2 and not any(x["start"] <= a + 5 and x["end"] >= b - 5 and x["source_id"] == i - 1 for x in spans[i])]
+    assert not lost
+
+
 def test_stretches_and_cut():
     hit = np.array([1] * 30 + [0] * 5 + [1] * 30 + [0] * 60 + [1] * 3, bool)
     assert passages.stretches(hit, 46) == [(0, 64)] and passages.stretches(hit, 80) == []
