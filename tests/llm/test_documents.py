@@ -301,6 +301,31 @@ def test_passages_of_later_texts(spark):
     assert not lost
 
 
+def test_shared_passages_with_more_words_on_either_side():
+    r = np.random.RandomState(4)
+
+    def some(n):
+        return r.randint(0, 2**32, n, dtype=np.uint32)
+
+    def text(words, lead, tail):
+        return passages.shingles_of(np.concatenate([some(lead), words, some(tail)]).astype(np.uint64))
+
+    everywhere = [(0, 10**6)]
+    for k in range(100):
+        passage, at, more = some(50 + k % 30), r.randint(10, 40), 1 + k % 5
+        longer = np.concatenate([passage[:at], some(more), passage[at:]])
+        short, long = passages.shingles_of(passage.astype(np.uint64)), passages.shingles_of(longer.astype(np.uint64))
+        common = len(np.intersect1d(short, long))
+        assert common >= 0.75 * (len(short) + len(long) - common)
+        x, y = text(passage, 20, 30), text(longer, 40, 10)
+        for b, a, first, n in ((x, y, 20, len(short)), (y, x, 40, len(long))):
+            assert any(i <= first and j >= first + n - 1 for i, j in passages.shared_passages(b, a, everywhere)), (k, at, more)
+    # The passage twice in the other text, and one far from similar.
+    twice = passages.shingles_of(np.concatenate([passage, some(60), passage]).astype(np.uint64))
+    assert passages.shared_passages(short, twice, everywhere) == [(0, len(short) - 1)]
+    assert passages.shared_passages(short, passages.shingles_of(np.concatenate([passage[:35], some(60)]).astype(np.uint64)), everywhere) == []
+
+
 def test_stretches_and_cut():
     hit = np.array([1] * 30 + [0] * 5 + [1] * 30 + [0] * 60 + [1] * 3, bool)
     assert passages.stretches(hit, 46) == [(0, 64)] and passages.stretches(hit, 80) == []
