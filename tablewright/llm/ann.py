@@ -36,8 +36,9 @@ TABLES = 5
 VISITED = 0.5
 WIDTH = 2.1  # slot width in units of the neighbours' distance
 BUCKET_ROWS = 100
-# Perturbed buckets kept in the search for the most probable ones, per query and table.
-FRONT = 1024
+# Perturbed buckets kept in the search for the most probable ones, per query and table, and queries searched at once;
+# where they do not reach VISITED, four times as many are kept for a quarter of the queries, and so on.
+FRONT, PROBED = 1024, 200
 # Rows of the bounded sample that distances are estimated on.
 SAMPLE = 2_000
 # Bytes of vectors in a cell: every cell returns its best for each query that visits it, so cells are large.
@@ -99,7 +100,8 @@ def probes(tables: Tables, slots: np.ndarray, visited: float = VISITED, front: i
     """Buckets to visit, most probable first: bucket numbers and query of each, and the probability reached.
 
     ``tables`` holds one table, ``slots`` is query by function. Functions are added one by one, keeping the most
-    probable combinations of slots so far; as probabilities multiply, none of the best is lost.
+    probable combinations of slots so far; as probabilities multiply, none of the best is lost. Queries that these do
+    not bring to ``visited`` are searched again with more of them.
     """
     n, functions = slots.shape
     base = np.floor(slots)
@@ -121,7 +123,16 @@ def probes(tables: Tables, slots: np.ndarray, visited: float = VISITED, front: i
     reached = np.cumsum(p, axis=1)
     take = (reached - p) < visited
     query, _ = np.nonzero(take)
-    return code[take], query, reached[np.arange(n), take.sum(axis=1) - 1]
+    code, reached = code[take], reached[np.arange(n), take.sum(axis=1) - 1]
+    short = np.flatnonzero(reached < visited) if len(steps) ** functions > front else np.zeros(0, np.int64)
+    at_once = max(1, PROBED * FRONT // (4 * front))
+    codes, queries = [code[~np.isin(query, short)]], [query[~np.isin(query, short)]]
+    for start in range(0, len(short), at_once):
+        some = short[start : start + at_once]
+        more, whose, reached[some] = probes(tables, slots[some], visited, 4 * front)
+        codes.append(more)
+        queries.append(some[whose])
+    return np.concatenate(codes), np.concatenate(queries), reached
 
 
 def _one_table(tables: Tables, t: int) -> Tables:
@@ -146,8 +157,8 @@ def _indexed(tables: Tables):
 def _probed(tables: Tables):
     def run(stream):
         for batch in stream:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
+            for start in range(0, batch.num_rows, PROBED):
+                part = batch.slice(start, PROBED)
                 slots, ids = tables.slots(matrix(part.column("v")), query=True), part.column("id").to_numpy()
                 for t in range(TABLES):
                     code, query, _ = probes(_one_table(tables, t), slots[:, t])

@@ -72,6 +72,15 @@ def test_probes_fall_in_probability(spark, rows):
     assert len(set(code.tolist())) == len(code) and reached[0] >= ann.VISITED
 
 
+def test_probes_reach_the_probability_with_many_functions():
+    r = np.random.RandomState(6)
+    multipliers = (ann.mix(np.arange(1, 13, dtype=np.uint64)) | np.uint64(1)).reshape(1, 12)
+    tables = ann.Tables(np.zeros((1, 12, 2)), np.zeros((1, 12)), ann.WIDTH, 1.0, 1.0, multipliers)
+    code, query, reached = ann.probes(tables, 10 * r.randn(6, 12))
+    assert (reached >= ann.VISITED).all() and set(query.tolist()) == set(range(6))
+    assert all(len(set(code[query == k].tolist())) == (query == k).sum() for k in range(6))
+
+
 def test_near_duplicates(spark, rows):
     df = spark.createDataFrame([*rows, *broken()], SCHEMA).repartition(3)
     got = {r["vec_id"]: r for r in vector_dedup.embedding_components(df).collect()}
