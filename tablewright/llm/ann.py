@@ -10,7 +10,7 @@ d is that of the wanted neighbours in a bounded sample.
 
 Buckets are dealt out to cells. A cell multiplies the queries that visit it with its vectors; the best
 of every cell are merged, without repeats from several tables, by their exact product on the original
-vectors. Buckets with many vectors are split over cells and their queries sent to each; queries are
+vectors. Queries that find fewer than wanted are multiplied with all vectors. Buckets with many vectors are split over cells and their queries sent to each; queries are
 sent in blocks. All vectors are indexed; nothing is cut off.
 
 Defined cases: see ``valid_vectors`` for vectors that take no part; ties go to the smaller id; fewer
@@ -233,6 +233,19 @@ def _cell(wanted: int):
     return run
 
 
+def _against_all(vectors: DataFrame, queries: DataFrame, wanted: int, cells: int, blocks: int) -> DataFrame:
+    """query_id, id, score of the best of all vectors in each cell, all vectors of a cell in one bucket."""
+    zero = F.lit(0).cast("bigint")
+    placed = vectors.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(cells))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    placed = placed.select("cell", "block", zero.alias("bucket"), "id", "v")
+    asking = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)).cast("int"))
+    asking = asking.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cells - 1).cast("bigint"))))
+    asking = asking.select("cell", "block", F.col("id").alias("query_id"), "v", F.array(zero).alias("buckets"))
+    return placed.groupBy("cell", "block").cogroup(asking.groupBy("cell", "block")).applyInArrow(
+        _cell(wanted), "query_id long, id long, score double"
+    )
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, wanted: int = NEAREST) -> DataFrame:
     """query_id, rank, id, score of the nearest found of ``vectors`` for each of ``queries``; both are (id, v)."""
     spark = vectors.sparkSession
@@ -242,6 +255,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, wanted: int = NEAREST) -> Da
         return spark.createDataFrame([], schema)
     index = stored(vectors.mapInArrow(_indexed(tables), "bucket long, id long, v array<double>"), "index")
     rows, asked = index.count(), queries.count()
+    total = rows // TABLES
     cell_rows = max(1, CELL_BYTES // (8 * (tables.directions.shape[2] - 1)))
     cells, blocks = max(1, math.ceil(rows / cell_rows)), max(1, math.ceil(asked / QUERY_BLOCK))
     # Buckets too large for one cell, with the number of pieces they are split into.
@@ -268,7 +282,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, wanted: int = NEAREST) -> Da
     found = placed.groupBy("cell", "block").cogroup(asking.groupBy("cell", "block")).applyInArrow(
         _cell(wanted), "query_id long, id long, score double"
     )
-    once = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    once = stored(found.groupBy("query_id", "id").agg(F.max("score").alias("score")), "once")
+    # Queries whose buckets hold fewer than wanted, though there are more candidates.
+    counts = once.groupBy(F.col("query_id").alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
+    own = vectors.select(F.col("id").alias("_own"))
+    short = queries.join(counts, F.col("id") == F.col("_q"), "left").where(F.coalesce("_n", F.lit(0)) < min(wanted, total)).join(own, F.col("id") == F.col("_own"), "left")
+    short = short.where(F.coalesce("_n", F.lit(0)) < F.least(F.lit(wanted), total - F.col("_own").isNotNull().cast("int")))
+    short = stored(short.select("id", "v"), "short")
+    if lacking := short.count():
+        once = once.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(_against_all(vectors, short, wanted, math.ceil(total / cell_rows), math.ceil(lacking / QUERY_BLOCK)))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= wanted).select("query_id", "rank", "id", "score")
 

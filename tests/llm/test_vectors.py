@@ -55,6 +55,16 @@ def test_nearest(spark, rows):
     assert [r["vec_id"] for r in by_query[220][:20]] == [i for i in range(200, 222) if i != 220][:20]
 
 
+def test_isolated_queries_get_all_they_want(spark):
+    r = np.random.RandomState(7)
+    x = r.randn(16) + 0.01 * r.randn(400, 16)
+    x[::20] = r.randn(20, 16)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = ann.embedding_neighbours(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)).collect()
+    for q in range(0, 400, 20):
+        assert sorted(h["rank"] for h in got if h["query_id"] == q) == list(range(1, 21))
+
+
 def test_few_and_no_vectors(spark, rows):
     few = ann.embedding_neighbours(spark.createDataFrame(rows[:5], SCHEMA)).collect()
     assert [r["rank"] for r in few] == [1, 2, 3, 4]
