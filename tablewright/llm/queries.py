@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import ann, bpe, lattice, mixing, passages, shards, shingle_join, token_files, toxicity, vector_dedup
+from tablewright.llm import (
+    ann,
+    ball_tree,
+    bpe,
+    lattice,
+    mixing,
+    passages,
+    periodic,
+    shards,
+    shingle_join,
+    token_files,
+    toxicity,
+    vector_dedup,
+    whitening,
+)
 from tablewright.llm.common import read
 
 
@@ -49,6 +63,18 @@ def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.document_scores(read(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.document_digests(read(spark, sf_dir, "documents"))
+
+
+def op12_spectrum_slicing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.embedding_whitened(read(spark, sf_dir, "embeddings"))
+
+
+def op13_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.embedding_top(read(spark, sf_dir, "embeddings")).drop("query_part")
+
+
 MIX_SQL = r"""
 with weight as (
   select doc_id as l, case max(quality) when 1 then 2.0 when 0 then 0.5 else 1.0 end as w
@@ -83,6 +109,20 @@ from rows r join epochs e on r.source is not distinct from e.source
 join drawn n on n.source is not distinct from r.source and n.draw = r.draw
 """
 
+TOP_SQL = """
+with rows as (
+  select vec_id, list_transform(embedding, c -> floor(256 * c::double)::bigint) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, c -> c is null or not isfinite(c))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id,
+    list_sum(list_transform(range(1, len(q.x) + 1), i -> q.x[i] * c.x[i]))::bigint as score
+  from rows q join rows c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+), ranked as (
+  select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
 QUERIES = {
     "op1_multiprobe_search": op1_multiprobe_search,
     "op2_hash_tree_shards": op2_hash_tree_shards,
@@ -94,5 +134,8 @@ QUERIES = {
     "op8_compact_windows": op8_compact_windows,
     "op9_shingle_join": op9_shingle_join,
     "op10_lattice_scores": op10_lattice_scores,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_spectrum_slicing": op12_spectrum_slicing,
+    "op13_ball_tree_search": op13_ball_tree_search,
 }
-SQL = {"op7_weighted_mix": MIX_SQL}
+SQL = {"op7_weighted_mix": MIX_SQL, "op13_ball_tree_search": TOP_SQL}

@@ -29,3 +29,17 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def padded(column: pa.Array | pa.ChunkedArray, kind: type = np.float64, width: int | None = None, fill: int = 0) -> np.ndarray:
+    """A column of lists as rows of a matrix, ``width`` or as wide as the longest; ``fill`` ends shorter ones."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    width = int(lengths.max(initial=0)) if width is None else width
+    if (lengths == width).all():
+        return flat.reshape(len(lengths), width)
+    rows = np.full((len(lengths), width), fill, kind)
+    rows[np.arange(width) < lengths[:, None]] = flat
+    return rows
