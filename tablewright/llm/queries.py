@@ -111,11 +111,11 @@ join drawn n on n.source is not distinct from r.source and n.draw = r.draw
 
 TOP_SQL = """
 with rows as (
-  select vec_id, list_transform(embedding, c -> floor(256 * c::double)::bigint) as x from embeddings
-  where embedding is not null and len(list_filter(embedding, c -> c is null or not isfinite(c))) = 0
+  select vec_id, list_transform(embedding, lambda c: floor(256 * c::double)::bigint) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
 ), scored as (
   select q.vec_id as query_id, c.vec_id,
-    list_sum(list_transform(range(1, len(q.x) + 1), i -> q.x[i] * c.x[i]))::bigint as score
+    list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i]))::bigint as score
   from rows q join rows c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
 ), ranked as (
   select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from scored
