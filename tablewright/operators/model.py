@@ -2,47 +2,48 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.util import inheritable_thread_target
 
 from tablewright.functions.columns import is_numeric, key_hash, quoted, sql_category, sql_name, sql_no_nan
+from tablewright.operators.boosting import (
+    Bins,
+    BoostedModel,
+    Task,
+    binned_blocks,
+    compiled,
+    find_bins,
+    fit_models,
+    fit_trees,
+    predict,
+    read_model,
+    write_model,
+)
 from tablewright.operators.labels import require_two_classes
 from tablewright.operators.metrics import auc
-from tablewright.operators.prep import split_kinds
-from tablewright.operators.sampling import hash_sample, stratified_folds
+from tablewright.operators.sampling import stratified_folds
 from tablewright.plans.spec import PlanError
-from tablewright.session import materialise, shared_dir
+from tablewright.session import materialise
 
-# Model presets (fixed values): trees, learning rate, leaves, fewest rows per leaf.
-# Leaves become a depth: MLlib grows level by level. Its trees take no L1 or L2
-# penalty on leaf values, so those two settings have no counterpart here.
+# Model presets (fixed values): trees, learning rate, leaves, fewest rows per leaf, L1 and L2 penalties of leaf values.
 PRESETS: dict[str, dict[str, float]] = {
-    "balanced": {"trees": 200, "rate": 0.05, "leaves": 31, "min_rows": 20},
-    "wide": {"trees": 150, "rate": 0.08, "leaves": 63, "min_rows": 50},
-    "careful": {"trees": 300, "rate": 0.03, "leaves": 31, "min_rows": 100},
+    "balanced": {"trees": 200, "rate": 0.05, "leaves": 31, "min_rows": 20, "l1": 0.1, "l2": 0.1},
+    "wide": {"trees": 150, "rate": 0.08, "leaves": 63, "min_rows": 50, "l1": 0.0, "l2": 0.0},
+    "careful": {"trees": 300, "rate": 0.03, "leaves": 31, "min_rows": 100, "l1": 0.3, "l2": 0.3},
 }
 DEFAULT_PRESET = "balanced"
 # The screening model (fixed values).
-SCREEN_PRESET = {"trees": 100, "rate": 0.1, "leaves": 255, "min_rows": 20}
-# Rows used for importance (fixed value).
-IMPORTANCE_ROWS = 8000
-
-# Most categories of a one-hot column; columns with more become one number each.
-MAX_CATEGORIES = 200
-CODES = 1 << 20
-
-FEATURES, WEIGHT = "_features", "_weight"
+SCREEN_PRESET = {"trees": 100, "rate": 0.1, "leaves": 255, "min_rows": 20, "l1": 0.0, "l2": 0.0}
+# Rows of a bucket in which rows are paired with shuffled ones.
+PAIRED_ROWS = 50_000
 
 
 def preset(name: str) -> dict[str, float]:
@@ -50,39 +51,6 @@ def preset(name: str) -> dict[str, float]:
     return PRESETS.get(name, PRESETS[DEFAULT_PRESET])
 
 
-def depth_for(leaves: int) -> int:
-    """Depth that holds so many leaves; settings may give ``depth`` themselves."""
-    if leaves > 255:
-        raise PlanError(f"{leaves} leaves: give the depth instead")
-    return max(1, int(leaves).bit_length())
-
-
-def make_classifier(settings: Mapping[str, float], label: str, seed: int = 42, weighted: bool = True) -> GBTClassifier:
-    model = GBTClassifier(
-        featuresCol=FEATURES,
-        labelCol=label,
-        maxIter=int(settings["trees"]),
-        stepSize=float(settings["rate"]),
-        maxDepth=int(settings.get("depth", depth_for(int(settings["leaves"])))),
-        minInstancesPerNode=int(settings["min_rows"]),
-        checkpointInterval=10,
-        seed=seed,
-    )
-    return model.setWeightCol(WEIGHT) if weighted else model
-
-
-def class_weights(n0: int, n1: int) -> tuple[float, float]:
-    """Weights n / (2 n_class), so that both classes weigh the same."""
-    if not (n0 and n1):
-        raise PlanError(f"fewer than two classes to fit on: {n0} negatives, {n1} positives")
-    return (n0 + n1) / (2.0 * n0), (n0 + n1) / (2.0 * n1)
-
-
-def with_class_weight(df: DataFrame, label: str, n0: int, n1: int) -> DataFrame:
-    w0, w1 = class_weights(n0, n1)
-    return df.withColumn(WEIGHT, F.when(quoted(label) == 1, w1).otherwise(w0))
-
-
 def clean_inputs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Numbers as double with null for missing, categories as text."""
     chosen = set(features)
@@ -98,47 +66,8 @@ def clean_inputs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.selectExpr(*map(one, df.schema))
 
 
-def many_categories(df: DataFrame, categorical: Sequence[str], limit: int = MAX_CATEGORIES) -> set[str]:
-    """Columns with more than ``limit`` values: each has that many already among its distinct ones, none is counted out."""
-    return {c for c in categorical if df.select(quoted(c)).distinct().limit(limit + 1).count() > limit}
-
-
-def make_pipeline(
-    df: DataFrame, features: Sequence[str], label: str, settings: Mapping[str, float] | None = None, seed: int = 42
-) -> Pipeline:
-    """Median imputation, one-hot categories, one number for columns with many, boosted trees."""
-    numeric, categorical = split_kinds(df.select(*[quoted(c) for c in features]))
-    stages, inputs = [], []
-    if numeric:
-        filled = [f"_n{i}" for i in range(len(numeric))]
-        stages.append(Imputer(strategy="median", inputCols=numeric, outputCols=filled))
-        inputs += filled
-    wide = many_categories(df, categorical)
-    coded, categorical = [c for c in categorical if c in wide], [c for c in categorical if c not in wide]
-    if coded:
-        # A hash needs no table of values and gives the same number in training and scoring.
-        codes = ", ".join(f"CAST(pmod(xxhash64({sql_name(c)}), {CODES}) AS DOUBLE) AS _c{i}" for i, c in enumerate(coded))
-        stages.append(SQLTransformer(statement=f"SELECT *, {codes} FROM __THIS__"))
-        inputs += [f"_c{i}" for i in range(len(coded))]
-    if categorical:
-        index = [f"_i{i}" for i in range(len(categorical))]
-        flags = [f"_h{i}" for i in range(len(categorical))]
-        stages.append(
-            StringIndexer(inputCols=categorical, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc")
-        )
-        stages.append(OneHotEncoder(inputCols=index, outputCols=flags, handleInvalid="keep", dropLast=True))
-        inputs += flags
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES))
-    stages.append(make_classifier(settings or preset(DEFAULT_PRESET), label, seed))
-    return Pipeline(stages=stages)
-
-
-def probability_of_one():
-    return vector_to_array(F.col("probability"))[1]
-
-
 def in_threads(spark: SparkSession, tasks: Sequence[Callable[[], object]], workers: int) -> list:
-    """Run independent fits side by side; each is a series of Spark jobs."""
+    """Run independent series of Spark jobs side by side."""
     carry = inheritable_thread_target(spark)
     with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
         return [f.result() for f in [pool.submit(carry(task)) for task in tasks]]
@@ -150,54 +79,48 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> None:
         raise PlanError(f"no columns {unknown}")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out over all cores: fitting passes over them hundreds of times.
+@dataclass(frozen=True)
+class Prepared:
+    """Cleaned rows with their fold, and the same rows binned: written once, used by every fit."""
 
-    Adaptive execution would leave a small table in one partition, where every
-    pass is one task.
-    """
-    spark = df.sparkSession
-    return df.repartition(
-        max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    )
+    rows: DataFrame
+    bins: Bins
+    blocks: DataFrame
+    folds: int
+
+    def tasks(self, features: Sequence[str], settings: Mapping[str, float]) -> list[Task]:
+        """One fit per fold, each without that fold's rows."""
+        unknown = [c for c in features if c not in self.bins.names]
+        if unknown or not features:
+            raise PlanError(f"no columns {unknown}" if unknown else "no features to fit on")
+        columns = tuple(self.bins.names.index(c) for c in features)
+        return [Task(columns, settings, fold) for fold in range(self.folds)]
 
 
 def with_folds(
-    df: DataFrame, key: Sequence[str], label: str, features: Sequence[str], folds: int = 3, seed: int = 42
-) -> DataFrame:
-    """Cleaned model inputs with their fold, kept for the fits to come."""
+    df: DataFrame, key: Sequence[str], label: str, features: Sequence[str], folds: int = 3, seed: int = 42, least_rows: int = 1
+) -> Prepared:
+    """Rows dealt to folds and binned. Bins and medians are those of all rows, labels apart.
+
+    ``least_rows``: the fewest rows per leaf of the fits to come; rarer texts need no code.
+    """
     columns = list(dict.fromkeys([*key, label, *features]))
-    prepared = clean_inputs(df.select(*[quoted(c) for c in columns]), features)
-    return spread(stratified_folds(prepared, key, label, folds, seed)).persist(StorageLevel.MEMORY_AND_DISK)
+    cleaned = clean_inputs(df.select(*[quoted(c) for c in columns]), features)
+    rows = materialise(stratified_folds(cleaned, key, label, folds, seed))
+    bins = find_bins(rows, list(dict.fromkeys(features)), least_rows)
+    return Prepared(rows, bins, binned_blocks(rows, bins, label, "fold"), folds)
 
 
-def fold_scores(
-    folded: DataFrame,
-    key: Sequence[str],
-    label: str,
-    features: Sequence[str],
-    settings: Mapping[str, float] | None = None,
-    seed: int = 42,
-    workers: int = 3,
-) -> DataFrame:
-    """Out-of-fold scores for a frame from ``with_folds``, written once."""
-    spark = folded.sparkSession
-    require_columns(folded, [*key, label, *features])
-    shared_dir(spark)  # boosted trees cut their lineage there
-    counts: dict[int, list[int]] = {}
-    for row in folded.groupBy("fold", label).count().collect():  # folds x 2 rows
-        counts.setdefault(row["fold"], [0, 0])[int(row[label])] = row["count"]
-
-    def one(fold: int) -> DataFrame:
-        rest = [c for f, c in counts.items() if f != fold]
-        train = folded.filter(F.col("fold") != fold).select(label, *[quoted(c) for c in features])
-        train = with_class_weight(train, label, sum(c[0] for c in rest), sum(c[1] for c in rest))
-        model = make_pipeline(train, features, label, settings, seed).fit(train)
-        return model.transform(folded.filter(F.col("fold") == fold)).select(
-            *key, label, "fold", probability_of_one().alias("score")
-        )
-
-    parts = in_threads(spark, [lambda f=f: one(f) for f in sorted(counts)], workers)
+def fit_prepared(prepared: Prepared, tasks: Sequence[Task]) -> list[BoostedModel]:
+    """Fit many models over the same binned rows in common passes."""
+    fitted = fit_trees(prepared.blocks, prepared.bins, tasks)
+    return [compiled(prepared.bins, task, first, trees) for task, (first, trees) in zip(tasks, fitted, strict=True)]
+
+
+def held_out_scores(prepared: Prepared, key: Sequence[str], label: str, models: Sequence[BoostedModel]) -> DataFrame:
+    """Every fold's rows scored by the model that did not see them; models in order of their folds."""
+    carry = list(dict.fromkeys([*key, label, "fold"]))
+    parts = [predict(prepared.rows.filter(F.col("fold") == fold), model, carry) for fold, model in enumerate(models)]
     return materialise(reduce(DataFrame.unionByName, parts))
 
 
@@ -209,87 +132,66 @@ def oof_scores(
     settings: Mapping[str, float] | None = None,
     folds: int = 3,
     seed: int = 42,
-    workers: int = 3,
 ) -> DataFrame:
     """Key, label, fold and the probability from a model that did not see the row."""
-    folded = with_folds(df, key, label, features, folds, seed)
-    try:
-        return fold_scores(folded, key, label, features, settings, seed, workers)
-    finally:
-        folded.unpersist()
+    require_columns(df, [*key, label, *features])
+    settings = settings or preset(DEFAULT_PRESET)
+    prepared = with_folds(df, key, label, features, folds, seed, int(settings["min_rows"]))
+    models = fit_prepared(prepared, prepared.tasks(features, settings))
+    return held_out_scores(prepared, key, label, models)
 
 
 def fit_final(
-    df: DataFrame, label: str, features: Sequence[str], settings: Mapping[str, float] | None = None, seed: int = 42
-) -> PipelineModel:
+    df: DataFrame, label: str, features: Sequence[str], settings: Mapping[str, float] | None = None
+) -> BoostedModel:
     """Fit on all rows."""
-    shared_dir(df.sparkSession)
-    train = clean_inputs(df.select(quoted(label), *[quoted(c) for c in features]), features)
-    train = spread(train).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = require_two_classes(train, label)
-        weighted = with_class_weight(train, label, n[0], n[1])
-        return make_pipeline(weighted, features, label, settings, seed).fit(weighted)
-    finally:
-        train.unpersist()
+    train = materialise(clean_inputs(df.select(quoted(label), *[quoted(c) for c in features]), features))
+    require_two_classes(train, label)
+    columns = tuple(range(len(features)))
+    return fit_models(train, label, features, [Task(columns, settings or preset(DEFAULT_PRESET))])[0]
 
 
 def model_scores(
-    df: DataFrame, model: PipelineModel, features: Sequence[str], carry: Sequence[str], name: str = "score"
+    df: DataFrame, model: BoostedModel, features: Sequence[str], carry: Sequence[str], name: str = "score"
 ) -> DataFrame:
     """Carried columns and the probability of class 1."""
-    return model.transform(clean_inputs(df, features)).select(*carry, probability_of_one().alias(name))
+    require_columns(df, list(features))
+    return predict(df, model, carry, name)
 
 
 def screen_gbt(
-    df: DataFrame, label: str, features: Sequence[str], settings: Mapping[str, float] | None = None, seed: int = 42
+    df: DataFrame, label: str, features: Sequence[str], settings: Mapping[str, float] | None = None
 ) -> DataFrame:
-    """``feature, position, score``: importance in a boosted model, indicators summed per category column."""
-    model = fit_final(df, label, features, settings or SCREEN_PRESET, seed)
-    importances = model.stages[-1].featureImportances.toArray()
-    numeric, categorical = split_kinds(df.select(*[quoted(c) for c in features]))
-    wide = many_categories(df, categorical)
-    single = [*numeric, *[c for c in categorical if c in wide]]
-    scores = dict(zip(single, importances[: len(single)].tolist()))
-    categorical = [c for c in categorical if c not in wide]
-    at = len(single)
-    for stage in model.stages:
-        if stage.__class__.__name__ == "OneHotEncoderModel":
-            for name, size in zip(categorical, stage.categorySizes):
-                scores[name] = float(importances[at : at + size].sum())
-                at += size
-    rows = [(c, i, float(scores[c])) for i, c in enumerate(features)]
+    """``feature, position, score``: each column's share of the gains in a boosted model."""
+    gains = fit_final(df, label, features, settings or SCREEN_PRESET).gains()
+    total = float(gains.sum()) or 1.0
+    rows = [(c, i, float(g) / total) for i, (c, g) in enumerate(zip(features, gains.tolist(), strict=True))]
     return df.sparkSession.createDataFrame(rows, "feature string, position int, score double")
 
 
 def permutation_importance(
-    df: DataFrame,
-    key: Sequence[str],
-    label: str,
-    features: Sequence[str],
-    model: PipelineModel,
-    rows: int = IMPORTANCE_ROWS,
-    seed: int = 42,
+    df: DataFrame, key: Sequence[str], label: str, features: Sequence[str], model: BoostedModel, seed: int = 42
 ) -> DataFrame:
-    """``feature, position, auc, score``: AUC lost when a column is shuffled within a sample.
+    """``feature, position, auc, score``: AUC lost when a column is shuffled among all rows.
 
-    All features are scored in one job. The sample has a fixed size, so the
-    row numbers used to pair rows with shuffled rows are small per feature.
+    Rows fall into buckets by a hash of their key and are shuffled within these, so no task orders
+    more than one bucket of one feature. All features are scored in one job.
     """
     columns = list(dict.fromkeys([*key, label, *features]))
-    sample = hash_sample(clean_inputs(df.select(*[quoted(c) for c in columns]), features), key, rows, seed)
-    sample = materialise(sample)
+    rows = materialise(clean_inputs(df.select(*[quoted(c) for c in columns]), features))
+    buckets = max(1, math.ceil(rows.count() / PAIRED_ROWS))
+    bucket = F.pmod(F.xxhash64(*[quoted(c) for c in key], F.lit(seed)), F.lit(buckets))
     names = F.array(F.lit(""), *[F.lit(c) for c in features])  # "" keeps every column
-    tagged = sample.withColumn("feature", F.explode(names))
+    tagged = rows.withColumn("_b", bucket).withColumn("feature", F.explode(names))
     order = [quoted(c) for c in key]
-    own = tagged.withColumn("_at", F.row_number().over(Window.partitionBy("feature").orderBy(*order)))
+    own = tagged.withColumn("_at", F.row_number().over(Window.partitionBy("feature", "_b").orderBy(*order)))
     shuffled = (
         tagged.filter("feature != ''")
         .withColumn("_h", F.md5(F.concat_ws("|", key_hash(key, seed), "feature")))
-        .withColumn("_at", F.row_number().over(Window.partitionBy("feature").orderBy("_h", *order)))
-        .select("feature", "_at", F.struct(*[quoted(c) for c in features]).alias("_other"))
+        .withColumn("_at", F.row_number().over(Window.partitionBy("feature", "_b").orderBy("_h", *order)))
+        .select("feature", "_b", "_at", F.struct(*[quoted(c) for c in features]).alias("_other"))
     )
-    mixed = own.join(shuffled, ["feature", "_at"], "left").select(
+    mixed = own.join(shuffled, ["feature", "_b", "_at"], "left").select(
         *key,
         label,
         "feature",
@@ -301,13 +203,13 @@ def permutation_importance(
     )
     scored = model_scores(mixed, model, features, ["feature", label])
     found = {row["feature"]: row["auc"] for row in auc(scored, label, "score", ["feature"]).collect()}  # one row each
-    rows = [(c, i, found[c], None if found[c] is None else found[""] - found[c]) for i, c in enumerate(features)]
-    return df.sparkSession.createDataFrame(rows, "feature string, position int, auc double, score double")
+    lost = [(c, i, found[c], None if found[c] is None else found[""] - found[c]) for i, c in enumerate(features)]
+    return df.sparkSession.createDataFrame(lost, "feature string, position int, auc double, score double")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: BoostedModel, path: str) -> None:
+    write_model(SparkSession.active(), model, path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> BoostedModel:
+    return read_model(SparkSession.active(), path)

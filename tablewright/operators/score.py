@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import quoted, to_number
+from tablewright.operators.boosting import BoostedModel
 from tablewright.operators.model import model_scores
 from tablewright.plans.compile import build_wide_table
 from tablewright.plans.spec import FeaturePlan
@@ -58,7 +58,7 @@ def with_prediction(scored: DataFrame, score: str, threshold: float = DEFAULT_TH
 
 def score_wide(
     df: DataFrame,
-    model: PipelineModel,
+    model: BoostedModel,
     key: Sequence[str],
     features: Sequence[str],
     alias_map: Mapping[str, str] | None = None,
@@ -76,7 +76,7 @@ def score_wide(
 def score_raw(
     plan: FeaturePlan,
     tables: Mapping[str, DataFrame],
-    model: PipelineModel,
+    model: BoostedModel,
     bindings: Mapping[str, str] | None = None,
     where: Mapping[str, str] | str | None = None,
 ) -> DataFrame:

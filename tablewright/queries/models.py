@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablewright.jobs import ROUNDS, SUBSETS
+from tablewright.operators.boosting import BINS, LEAST_HESSIAN, tree_rows
 from tablewright.operators.metrics import auc
 from tablewright.operators.model import (
+    DEFAULT_PRESET,
+    PRESETS,
     fit_final,
     load_model,
     model_scores,
@@ -15,6 +19,7 @@ from tablewright.operators.model import (
     screen_gbt,
 )
 from tablewright.operators.report import evaluation_report
+from tablewright.operators.shapley import shapley_importance, shapley_values
 from tablewright.operators.score import score_raw, score_wide, with_prediction
 from tablewright.operators.search import (
     best_candidate,
@@ -45,20 +50,18 @@ from tablewright.streaming.scoring import score_stream, wide_stream
 
 QUERIES, query = registry()
 
-# A small model: the queries show the work, not the best fit.
-SMALL = {"trees": 5, "rate": 0.1, "leaves": 15, "min_rows": 20}
 KEY, TARGET = ["o_orderkey"], "is_f"
 TEXT = ["LATEST_orders_o_orderpriority"]
 
 
 def order_model(spark, sf):
-    """Each query fits its own model: nothing is kept from one call to the next."""
-    return fit_final(order_matrix(spark, sf), TARGET, ORDER_FEATURES, SMALL)
+    """Each query fits its own model of the default preset: nothing is kept from one call to the next."""
+    return fit_final(order_matrix(spark, sf), TARGET, ORDER_FEATURES)
 
 
 @query(name="screen_gbt")
 def screen_gbt_orders(spark, sf):
-    return screen_gbt(order_matrix(spark, sf), TARGET, ORDER_FEATURES, SMALL)
+    return screen_gbt(order_matrix(spark, sf), TARGET, ORDER_FEATURES)
 
 
 @query(name="permutation_importance")
@@ -66,14 +69,91 @@ def permutation_importances(spark, sf):
     return permutation_importance(order_matrix(spark, sf), KEY, TARGET, ORDER_FEATURES, order_model(spark, sf))
 
 
+@query()
+def shap_importance(spark, sf):
+    """Mean absolute Shapley value of each feature over all rows, the 50 largest first."""
+    return shapley_importance(order_matrix(spark, sf), order_model(spark, sf)).limit(50)
+
+
+@query("select count(*)::bigint as n_rows, 0::bigint as n_differing from orders")
+def shap_values(spark, sf):
+    """Shapley values of every row sum to its margin less the mean margin."""
+    values = shapley_values(order_matrix(spark, sf), order_model(spark, sf), KEY)
+    total = F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
+    differs = F.abs(total + F.col("mean") - F.col("margin")) > 1e-9
+    return values.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(differs).alias("n_differing"))
+
+
+# The first tree of a model on three columns of orders, found by trying every split in SQL.
+TREE_FEATURES = ["o_totalprice", "o_custkey", "o_orderpriority"]
+TREE_LEAVES = 4
+_TREE = PRESETS[DEFAULT_PRESET]
+
+
+def _tree_step_sql(i: int) -> str:
+    """SQL for split ``i``: the best of all splits of all leaves, and the leaf of every row after it."""
+    l1, l2 = _TREE["l1"], _TREE["l2"]
+
+    def score(g: str, h: str) -> str:
+        return f"greatest(abs({g}) - {l1}, 0) ^ 2 / ({h} + {l2})"
+
+    return f"""
+    sums{i} as (select node, f, b, sum(g) as g, sum(h) as h, count(*) as c from long join at{i - 1} using (id) group by all),
+    sides{i} as (
+        select node, f, b, sum(g) over whole as gt, sum(h) over whole as ht, sum(c) over whole as ct,
+            case when f < 2 then sum(g) over upto else g end as gl, case when f < 2 then sum(h) over upto else h end as hl,
+            case when f < 2 then sum(c) over upto else c end as cl
+        from sums{i} window whole as (partition by node, f), upto as (partition by node, f order by b)),
+    gains{i} as (select *, {score("gl", "hl")} + {score("gt - gl", "ht - hl")} - {score("gt", "ht")} as gain from sides{i}
+        where least(cl, ct - cl) >= {int(_TREE["min_rows"])} and least(hl, ht - hl) >= {LEAST_HESSIAN}),
+    best{i} as (select * from gains{i} where gain > 1e-9 order by round(gain, 7) desc, f, b limit 1),
+    at{i} as (select a.id, case when s.node is null then a.node
+            when (s.f < 2 and l.b <= s.b) or (s.f = 2 and l.b = s.b) then {2 * i - 1} else {2 * i} end as node
+        from at{i - 1} a left join best{i} s on a.node = s.node left join long l on l.id = a.id and l.f = s.f)"""
+
+
+_LEAFWISE_SQL = f"""
+with base as (
+    select o_orderkey as id, (o_orderstatus = 'F')::int as y, o_totalprice::double as x0, o_custkey::double as x1, o_orderpriority as x2 from orders),
+counts as (select sum(y)::double as n1, sum(1 - y)::double as n0 from base),
+weighed as (select base.*, case when y = 1 then greatest(n0 / n1, 1) else greatest(n1 / n0, 1) end as w from base, counts),
+numbers as (select 0 as f, x0 as v, count(*) as n from base group by all union all select 1, x1, count(*) from base group by all),
+steps as (select *, sum(n) over (partition by f order by v) as upto, sum(n) over (partition by f) as total,
+    row_number() over (partition by f order by v) as i, count(*) over (partition by f) as kinds from numbers),
+bins as (select f, v, (case when kinds <= {BINS} then i - 1 else ((upto - 1) * {BINS}) // total end)::int as b from steps),
+texts as (select x2, (dense_rank() over (order by x2))::int as b from (select distinct x2 from base)),
+long as (
+    select id, f, b, w * (0.5 - y) as g, w * 0.25 as h from weighed join bins on f = 0 and v = x0
+    union all select id, f, b, w * (0.5 - y), w * 0.25 from weighed join bins on f = 1 and v = x1
+    union all select id, 2, b, w * (0.5 - y), w * 0.25 from weighed join texts using (x2)),
+at0 as (select id, 0 as node from base), {", ".join(_tree_step_sql(i) for i in range(1, TREE_LEAVES))},
+splits as ({" union all ".join(f"select f, b, cl, ct from best{i}" for i in range(1, TREE_LEAVES))})
+select ['o_totalprice', 'o_custkey', 'o_orderpriority'][f + 1] as feature,
+    (select max(v) from bins where bins.f = splits.f and bins.b = splits.b) as threshold,
+    (select x2 from texts where splits.f = 2 and texts.b = splits.b) as category,
+    cl::bigint as n_left, (ct - cl)::bigint as n_right
+from splits"""
+
+
+@query(_LEAFWISE_SQL)
+def leafwise_trees(spark, sf):
+    """The splits of a first tree: the leaf of the largest gain first, penalties counted."""
+    orders = order_tables(spark, sf)["orders"]
+    nodes = tree_rows(spark, fit_final(orders, TARGET, TREE_FEATURES, {**_TREE, "trees": 1, "leaves": TREE_LEAVES}))
+    rows = nodes.select(F.col("node").alias("child"), "n_rows")
+    left = rows.withColumnsRenamed({"child": "left", "n_rows": "n_left"})
+    right = rows.withColumnsRenamed({"child": "right", "n_rows": "n_right"})
+    return nodes.filter("feature is not null").join(left, "left").join(right, "right").select("feature", "threshold", "category", "n_left", "n_right")
+
+
 @query()
 def oof_predictions(spark, sf):
-    return oof_scores(order_matrix(spark, sf), KEY, TARGET, ORDER_FEATURES, SMALL)
+    return oof_scores(order_matrix(spark, sf), KEY, TARGET, ORDER_FEATURES)
 
 
 @query(name="evaluation_report")
 def evaluation_reports(spark, sf):
-    scored = oof_scores(order_matrix(spark, sf), KEY, TARGET, ORDER_FEATURES, SMALL)
+    scored = oof_scores(order_matrix(spark, sf), KEY, TARGET, ORDER_FEATURES)
     return evaluation_report(scored, KEY, TARGET, "score", "orders", ORDER_FEATURES)
 
 
@@ -152,14 +232,14 @@ def leaderboard_orders(spark, sf):
     members: dict[int, list[str]] = {}
     for row in picked.orderBy("subset_id", "pick").collect():
         members.setdefault(row["subset_id"], []).append(row["feature"])
-    return leaderboard(order_matrix(spark, sf), KEY, TARGET, members, {s: SMALL for s in members})
+    return leaderboard(order_matrix(spark, sf), KEY, TARGET, members)
 
 
 @query()
 def search_rounds(spark, sf):
-    """Two rounds, the second one with a refined winner: statistics per round and the best candidate."""
+    """All rounds, from the second on with a refined winner: statistics per round and the best candidate."""
     wide = materialise(order_matrix(spark, sf))
-    board = search(wide, KEY, TARGET, ORDER_FEATURES, rounds=2, subsets=1, settings=SMALL).board
+    board = search(wide, KEY, TARGET, ORDER_FEATURES, ROUNDS, SUBSETS).board
     best = best_candidate(board).select("round", F.col("subset_id").alias("best_subset"))
     return round_stats(board).join(best, "round", "left")
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tablewright.operators.boosting import BoostedModel
 from tablewright.operators.score import score_wide
 
 
@@ -19,7 +19,7 @@ def wide_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
 
 def score_stream(
     stream: DataFrame,
-    model: PipelineModel,
+    model: BoostedModel,
     key: Sequence[str],
     features: Sequence[str],
     output: str,

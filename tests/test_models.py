@@ -6,17 +6,12 @@ from pyspark.sql import functions as F
 from tablewright.operators.metrics import auc, classification_report
 from tablewright.operators.model import (
     PRESETS,
-    class_weights,
-    depth_for,
     fit_final,
     load_model,
-    make_classifier,
     model_scores,
     oof_scores,
     permutation_importance,
     preset,
-    many_categories,
-    depth_for,
     save_model,
     screen_gbt,
 )
@@ -62,17 +57,8 @@ def model(table):
     return fit_final(table, "y", FEATURES, SMALL)
 
 
-def test_presets(spark):
+def test_presets():
     assert preset("wide") == PRESETS["wide"] and preset("no such model") == PRESETS["balanced"]
-    assert [depth_for(n) for n in (2, 15, 31, 63, 255)] == [2, 4, 5, 6, 8]
-    fitted = make_classifier(PRESETS["careful"], "y")
-    assert (fitted.getMaxIter(), fitted.getMinInstancesPerNode()) == (300, 100)
-
-
-def test_class_weights():
-    assert class_weights(75, 25) == (100 / 150, 2.0)
-    with pytest.raises(PlanError):
-        class_weights(3, 0)
 
 
 def test_out_of_fold_scores(table):
@@ -92,25 +78,10 @@ def test_one_class_is_refused(table):
         fit_final(table.filter("y = 1"), "y", FEATURES, SMALL)
 
 
-def test_wide_categories_become_numbers(table):
-    many = table.withColumn("kind", F.col("id").cast("string"))
-    assert many_categories(many, ["kind"]) == {"kind"} and many_categories(table, ["kind"]) == set()
-    wide_model = fit_final(many, "y", FEATURES, SMALL)
-    assert model_scores(many, wide_model, FEATURES, ["id"]).count() == 600
-    by_model = {r["feature"]: r["score"] for r in screen_gbt(many, "y", FEATURES, SMALL).collect()}
-    assert set(by_model) == set(FEATURES) and sum(by_model.values()) == pytest.approx(1.0)
-
-
-def test_depth_holds_the_leaves():
-    assert depth_for(31) == 5 and depth_for(255) == 8
-    with pytest.raises(PlanError, match="depth"):
-        depth_for(256)
-
-
 def test_importance(table, model):
     by_model = {r["feature"]: r["score"] for r in screen_gbt(table, "y", FEATURES, SMALL).collect()}
     assert max(by_model, key=by_model.get) == "signal" and sum(by_model.values()) == pytest.approx(1.0)
-    shuffled = permutation_importance(table, ["id"], "y", FEATURES, model, rows=400)
+    shuffled = permutation_importance(table, ["id"], "y", FEATURES, model)
     scores = {r["feature"]: r["score"] for r in shuffled.collect()}
     assert list(scores) == FEATURES and scores["signal"] > 0.2 and abs(scores["noise"]) < 0.1
 
