@@ -14,10 +14,12 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from tablewright.functions.columns import is_numeric, quoted, sql_name, sql_no_nan, type_class
 from tablewright.operators.aggregates import feature_aggregate
 from tablewright.operators.joins import hot_keys, latest_per_key, left_join_all, not_null, require_unique
+from tablewright.plans.bands import banded, distinct_counts, window_days
 from tablewright.plans.spec import (
     LATEST,
     FeaturePlan,
@@ -82,6 +84,12 @@ def _fixed_width(spec: FeatureSpec, df: DataFrame) -> bool:
     return is_numeric(dtype) or type_class(dtype) != "string"
 
 
+def _decimal(spec: FeatureSpec, df: DataFrame) -> bool:
+    """Whether averages would be decimals, whose digits depend on the way they are added up."""
+    value = _value(spec, df)
+    return spec.op == "AVG" and value is not None and isinstance(df.selectExpr(value).schema[0].dataType, DecimalType)
+
+
 def _buffers(specs: Numbered) -> set[tuple]:
     """Distinct buffers of a set of specs: equal ones are kept once."""
     return {
@@ -117,24 +125,36 @@ def _per_key(df: DataFrame, key: Sequence[str], specs: Numbered, rel: Relationsh
     """Frames with one row per key that together hold all features of a table."""
     out: list[DataFrame] = []
     latest: dict[tuple, Numbered] = {}
+    distinct: dict[str, Numbered] = {}
     hashed: Numbered = []
     others: Numbered = []
     for i, spec in specs:
         if spec.op == LATEST:
             latest.setdefault((spec.order_by, spec.predicate if spec.order_by else None), []).append((i, spec))
-        elif spec.op == "COUNT_DISTINCT" or not _fixed_width(spec, df):
+        elif spec.op == "COUNT_DISTINCT":
+            distinct.setdefault(_latest_value(spec, df), []).append((i, spec))
+        elif not _fixed_width(spec, df):
             others.append((i, spec))
         else:
             hashed.append((i, spec))
 
     fact = not_null(df, key)
+
+    def bounds(days: int) -> str:
+        return window_bounds(rel, fact, plan, days)
+
+    def within_longest(group: Numbered) -> DataFrame:
+        return fact.filter(F.expr(bounds(max(window_days(group))))) if all(s.window_days for _, s in group) else fact
+
     for group in (hashed, others):
-        if group and all(s.window_days for _, s in group):
-            longest = max(s.window_days for _, s in group)
-            source = fact.filter(F.expr(window_bounds(rel, fact, plan, longest)))
+        batches = list(_batches(group))
+        # More than one pass holds, because of many windows: one pass over bands instead.
+        if len(batches) > 1 and len(window_days(group)) > 1 and not any(_decimal(s, df) for _, s in group):
+            out.append(banded(within_longest(group), key, group, lambda s: _value(s, fact), bounds, _feature, plan.null_sum))
         else:
-            source = fact
-        out += [_single_pass(source, key, batch, rel, plan) for batch in _batches(group)]
+            out += [_single_pass(within_longest(group), key, batch, rel, plan) for batch in batches]
+    for value, group in distinct.items():
+        out.append(distinct_counts(within_longest(group), key, group, value, bounds, _feature))
 
     for (order_by, predicate), group in latest.items():
         if order_by:

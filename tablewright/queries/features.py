@@ -258,6 +258,25 @@ def distinct_agg(spark, sf):
     )
 
 
+_DISTINCT_COLUMNS = {"l_suppkey": "n_suppliers", "l_returnflag": "n_flags", "l_shipdate": "n_days"}
+
+
+def _distinct_window_sql(column: str, days: int) -> str:
+    inside = within("l_shipdate", ORDER_AS_OF, days)
+    return f"case when count(*) filter ({inside}) > 0 then count(distinct {column}) filter ({inside}) end as {_DISTINCT_COLUMNS[column]}_{days}d"
+
+
+@query(order_sql(*[_distinct_window_sql(c, d) for c in _DISTINCT_COLUMNS for d in (90, 365, 1500)]))
+def distinct_agg_windows(spark, sf):
+    """Distinct counts over several windows: the nearest band of each value, no row repeated."""
+    specs = [
+        FeatureSpec("COUNT_DISTINCT", "lineitem", c, window_days=d, alias=f"{name}_{d}d")
+        for c, name in _DISTINCT_COLUMNS.items()
+        for d in (90, 365, 1500)
+    ]
+    return order_features(spark, sf, *specs)
+
+
 @query(
     order_sql(
         f"{exact('l_extendedprice * (1 - l_discount)', 4, 'avg')} as avg_net",
