@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import sql_exact_sum
+from tablewright.operators.asof import asof_latest, asof_windows
 from tablewright.operators.derive import cross_feature, ratio_bands
 from tablewright.operators.joins import group_feature
 from tablewright.operators.score import align_features, restore_names
@@ -32,6 +33,7 @@ from tablewright.queries.base import (
     order_tables,
     registry,
     within,
+    read,
 )
 
 QUERIES, query = registry()
@@ -518,3 +520,43 @@ def stored_filter(spark, sf):
         }
     )
     return build_wide_table(plan, customer_tables(spark, sf))
+
+
+# Purchases with what was known of their user at their time.
+ASOF_DAYS = (1, 7)
+
+
+def _asof_tables(spark, sf):
+    events = read(spark, sf, "events")
+    samples = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return samples, events.filter("event_type <> 'purchase'").select("event_id", "user_id", "ts", "event_type", "value")
+
+
+@query("""
+    select p.event_id, p.user_id, p.ts, f.event_type as latest_type, f.value as latest_value
+    from (select event_id, user_id, ts from events where event_type = 'purchase') p
+    asof left join (select * from events where event_type <> 'purchase') f on p.user_id = f.user_id and p.ts >= f.ts""")
+def asof_latest_event(spark, sf):
+    """The last other event of the user before each purchase."""
+    samples, facts = _asof_tables(spark, sf)
+    values = {"latest_type": "event_type", "latest_value": "value"}
+    return asof_latest(samples, facts, ["user_id"], ["user_id"], "ts", "ts", values, ["event_id"])
+
+
+def _asof_window_sql(days: int) -> str:
+    inside = f"f.ts >= p.ts - interval {days} day"
+    total = f"sum(cast(f.value as decimal(18,2))) filter ({inside})::double"
+    return f"""nullif(count(f.event_id) filter ({inside}), 0) as rows_{days}d, {total} as sum_{days}d,
+        {total} / count(f.value) filter ({inside}) as avg_{days}d"""
+
+
+@query(f"""
+    select p.event_id, p.user_id, p.ts, {", ".join(map(_asof_window_sql, ASOF_DAYS))}
+    from (select event_id, user_id, ts from events where event_type = 'purchase') p
+    left join (select * from events where event_type <> 'purchase') f on p.user_id = f.user_id and f.ts <= p.ts
+    group by all""")
+def asof_windows_events(spark, sf):
+    """Rows, sum and average of the days before each purchase."""
+    samples, facts = _asof_tables(spark, sf)
+    features = {f"{name}_{d}d": (op, column, d) for d in ASOF_DAYS for name, op, column in (("rows", "COUNT", None), ("sum", "SUM", "value"), ("avg", "AVG", "value"))}
+    return asof_windows(samples, facts, ["user_id"], ["user_id"], "ts", "ts", features)
