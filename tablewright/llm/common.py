@@ -134,6 +134,8 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataF
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     roots = now.groupBy("u").agg(F.min("v").alias("component"))
     return roots.select(F.col("u").alias("node"), "component").unionByName(
         roots.select(F.col("component").alias("node"), "component").distinct()

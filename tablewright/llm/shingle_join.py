@@ -31,6 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.llm.common import (
     binaries,
@@ -307,8 +308,8 @@ def link_classes(texts: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFr
         rounds += 1
 
 
-def document_components(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def _components(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles and class of every row; and of every class its component and that one's smallest id."""
     texts = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     narrow = stored(texts.mapInArrow(_narrow, "doc_id long, n_shingles long, class long, counts binary, p0 long, p1 long, p2 long, p3 long"), "narrow")
     texts = texts.where("doc_id is not null")
@@ -317,26 +318,48 @@ def document_components(documents: DataFrame, key: str = "doc_id", text: str = "
         F.col("class").alias("_class"), "doc", F.coalesce("component", "class").alias("_component")
     )
     smallest = named.groupBy("_component").agg(F.min("doc").alias("component_id"))
-    per_class = named.join(smallest, "_component").select("_class", "component_id")
-    return narrow.join(per_class, F.col("class") == F.col("_class"), "left").select(
+    return narrow, named.join(smallest, "_component").select("_class", "_component", "component_id")
+
+
+def document_components(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    narrow, per_class = _components(documents, key, text)
+    return narrow.join(per_class.drop("_component"), F.col("class") == F.col("_class"), "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
 
 
+def _classed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the class of their text, null without words."""
+    for batch in stream:
+        sets = map(set_of, binaries(batch.column("text")))
+        classes = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, classes], [*batch.schema.names, "_class"])
+
+
 def first_of_each(documents: DataFrame) -> DataFrame:
-    """The documents without those similar to an earlier one: of each component the row with the smallest id stays.
+    """The documents without those similar to an earlier one: of each component one row with the smallest id stays.
 
-    Rows without words and rows without an id stay. Of several rows with the id that stays, the one
-    with the smallest text does.
+    Rows without words and rows without an id stay. Of several rows of a component with its smallest
+    id the one with the smallest text stays; unlike texts under one id are judged apart.
     """
-    found = document_components(documents).where("doc_id is not null")
-    per_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("_kept"))
-    # Ids that go, or that need a second look; the rest stay without being moved.
+    narrow, per_class = _components(documents)
+    per_class = stored(per_class, "classes")
+    found = narrow.where("doc_id is not null").join(per_class, F.col("class") == F.col("_class"), "left")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    per_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.max(kept).alias("_kept"))
+    # Ids that go, or whose rows need a second look; the rest stay without being moved.
     odd = stored(per_id.where("_rows > 1 or not _kept").withColumnRenamed("doc_id", "_odd"), "odd")
     few = odd.count() <= SENT_IDS
-    rows, same = wrapped(documents, "doc_id", "text"), F.col("doc_id") == F.col("_odd")
+    rows, same = wrapped(documents, "doc_id", "text"), F.col("doc_id").cast("bigint") == F.col("_odd")
     once = rows.join(F.broadcast(odd) if few else odd, same, "left_anti")
-    repeated = odd.where("_kept")
+    repeated = odd.where("_kept and _rows > 1")
     again = rows.join(F.broadcast(repeated) if few else repeated, same, "left_semi")
-    again = again.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").drop("_n")
+    again = again.mapInArrow(_classed, T.StructType([*again.schema, T.StructField("_class", T.LongType())]))
+    judged = again.join(per_class.withColumnRenamed("_class", "_of"), F.col("_class") == F.col("_of"), "left")
+    judged = judged.where(F.coalesce(F.col("doc_id").cast("bigint") == F.col("component_id"), F.lit(True)))
+    wordless = judged.where("_class is null")
+    least = Window.partitionBy("doc_id", "_component").orderBy("text")
+    first = judged.where("_class is not null").withColumn("_n", F.row_number().over(least)).where("_n = 1")
+    again = first.select(*rows.columns).unionByName(wordless.select(*rows.columns))
     return unwrapped(once.unionByName(again), documents.columns)

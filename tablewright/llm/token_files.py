@@ -18,6 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,7 +88,9 @@ def _encoded(name: str, end_id: int):
                 part = batch.slice(start, 500)
                 ids = [b"".join(map(known.__getitem__, words_for(t or ""))) + end for t in part.column(1).to_pylist()]
                 lengths = pa.array([len(x) // size for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), lengths, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                # The hash of the ids parts rows of one key that would otherwise all lie in one range.
+                tie = pa.array(np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), lengths, tie, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "tie", "ids"])
 
     return run
 
@@ -106,11 +109,10 @@ def _listed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_tokens(documents: DataFrame, path: str, name: str = TOKENIZER, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> None:
     """Encode ``documents`` into ``path``: ids in ``tokens``, the offsets of all documents in ``index``."""
     texts = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    # Dealing out by ranges looks at the rows twice, so they are encoded once and kept.
-    encoded = stored(texts.mapInArrow(_encoded(name, end_id), "doc_id long, n_tokens long, ids binary"), "encoded")
+    # Dealing out by ranges looks at the rows twice, the first time without ids, so they are encoded once and kept.
+    encoded = stored(texts.mapInArrow(_encoded(name, end_id), "doc_id long, n_tokens long, tie long, ids binary"), "encoded")
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
-    # The hash of the ids parts rows of one key that would otherwise all lie in one range.
-    placed = encoded.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts_for(encoded), *order)
+    placed = encoded.repartitionByRange(parts_for(encoded), *order)
     rows = placed.sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "tie", "n_tokens", "ids")
     rows = rows.mapInArrow(_listed, "part int, doc_id long, tie long, n_tokens long, ids array<int>")
     rows.write.options(**LAYOUT).partitionBy("part").parquet(f"{path}/tokens")
@@ -122,12 +124,13 @@ def _tokens(spark: SparkSession, path: str, columns: str) -> DataFrame:
     return spark.read.schema(f"{columns}, part int").parquet(f"{path}/tokens")
 
 
-def numbered(rows: DataFrame) -> DataFrame:
+def numbered(rows: DataFrame, narrow: DataFrame | None = None) -> DataFrame:
     """``rows`` of the token files with ``start``.
 
-    One sum per file gives the ids in the files before it; within a file a running sum does.
+    One sum per file gives the ids in the files before it; within a file a running sum does. The sums
+    come from ``narrow``, the same rows without what is costly to work out twice.
     """
-    sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("_in"))
+    sums = (rows if narrow is None else narrow).groupBy("part").agg(F.sum("n_tokens").alias("_in"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("part", F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "tie").rowsBetween(Window.unboundedPreceding, -1)
@@ -163,4 +166,4 @@ def document_checksums(documents: DataFrame, path: str | None = None) -> DataFra
     write_tokens(documents, path)
     rows = _tokens(spark, path, "doc_id long, tie long, n_tokens long, ids array<int>")
     checked = rows.mapInArrow(_checksums, "part int, doc_id long, tie long, n_tokens long, ids_crc32 long")
-    return numbered(checked).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return numbered(checked, _tokens(spark, path, "n_tokens long")).select("doc_id", "start", "n_tokens", "ids_crc32")

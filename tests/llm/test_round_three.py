@@ -7,8 +7,8 @@ import zlib
 import numpy as np
 import pytest
 
-from tablewright.llm import ball_tree, periodic, whitening
-from tablewright.llm.common import stored
+from tablewright.llm import ball_tree, periodic, shingle_join, token_files, whitening
+from tablewright.llm.common import components, stored
 
 DOCUMENT = "doc_id long, text string, lang string, runs string, key string, collapsed string, _row string"
 VECTOR = "vec_id long, embedding array<float>, label int, x string, id string"
@@ -261,3 +261,33 @@ def test_branch_and_bound_passes_over_leaves():
 def test_results_repeat(spark, vectors):
     df = stored(spark.createDataFrame(vectors, VECTOR), "vectors")
     assert found(df, shard_rows=100) == found(df.repartition(7), shard_rows=300)
+
+
+# --- rows that share an id
+
+
+def test_unlike_texts_under_one_id_are_judged_apart(spark):
+    r = random.Random(9)
+    a, b, c, d = (" ".join(f"w{r.randrange(10**6)}" for _ in range(40)) for _ in range(4))
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [(1, a), (1, b), (2, c), (2, d), (3, a), (3, near), (3, c), (1, a), (1, b.upper()), (4, ""), (4, None), (4, " "), (None, a), (5, near), (6, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(map(tuple, shingle_join.first_of_each(df).collect()), key=str)
+    want = [(1, a), (1, min(b, b.upper())), (2, c), (2, d), (4, ""), (4, None), (4, " "), (None, a)]
+    assert kept == sorted(want, key=str)
+
+
+def test_components_are_settled_or_refused(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    assert {r["component"] for r in components(chain, "a", "b").collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(chain, "a", "b", max_rounds=1)
+
+
+def test_token_files_of_repeated_ids(spark):
+    texts = [(5, "one two"), (5, "three"), (5, "one two"), (None, "x"), (3, None), (1, "a b c")]
+    got = token_files.document_checksums(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    starts = sorted((r["start"], r["n_tokens"]) for r in got)
+    assert [s for s, _ in starts] == [sum(n for _, n in starts[:i]) for i in range(len(starts))]
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [None, 1, 3, 5, 5, 5]
+    assert sorted(r["n_tokens"] for r in got if r["doc_id"] == 3) == [1]
