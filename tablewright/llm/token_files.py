@@ -86,7 +86,7 @@ def _encoded(name: str, end_id: int):
         for batch in stream:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                ids = [b"".join(map(known.__getitem__, words_for(t or ""))) + end for t in part.column(1).to_pylist()]
+                ids = [b"".join([*map(known.__getitem__, words_for(t or "")), end]) for t in part.column(1).to_pylist()]
                 lengths = pa.array([len(x) // size for x in ids], pa.int64())
                 # The hash of the ids parts rows of one key that would otherwise all lie in one range.
                 tie = pa.array(np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids)).view(np.int64))
@@ -98,9 +98,12 @@ def _encoded(name: str, end_id: int):
 def _listed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ids from packed bytes to lists of integers."""
     for batch in stream:
-        packed, lengths = batch.column("ids").to_pylist(), batch.column("n_tokens").to_numpy()
-        kind = np.dtype("<u2" if sum(map(len, packed)) == 2 * lengths.sum() else "<u4")
-        flat = np.frombuffer(b"".join(packed), kind).astype(np.int32)
+        packed, lengths = batch.column("ids").cast(pa.large_binary()), batch.column("n_tokens").to_numpy()
+        # The bytes of all rows lie in one piece.
+        _, ends, data = packed.buffers()
+        first, last = np.frombuffer(ends, np.int64)[[packed.offset, packed.offset + len(packed)]].tolist() if len(packed) else (0, 0)
+        kind = np.dtype("<u2" if last - first == 2 * lengths.sum() else "<u4")
+        flat = np.frombuffer(data, kind, (last - first) // kind.itemsize, first).astype(np.int32) if last > first else np.zeros(0, np.int32)
         offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
         kept = [batch.column(c) for c in ("part", "doc_id", "tie", "n_tokens")]
         yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(offsets, pa.array(flat))], ["part", "doc_id", "tie", "n_tokens", "ids"])
@@ -153,8 +156,9 @@ def _checksums(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in stream:
         ids = batch.column("ids")
         values = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
-        crc = [zlib.crc32(x.tobytes()) for x in np.split(values, ends[:-1])] if len(ids) else []
+        ends = 4 * np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
+        whole = memoryview(values).cast("B")
+        crc = [zlib.crc32(whole[start:end]) for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(ids) else []
         kept = [batch.column(c) for c in ("part", "doc_id", "tie", "n_tokens")]
         yield pa.RecordBatch.from_arrays([*kept, pa.array(crc, pa.int64())], ["part", "doc_id", "tie", "n_tokens", "ids_crc32"])
 
