@@ -326,6 +326,43 @@ def test_shared_passages_with_more_words_on_either_side():
     assert passages.shared_passages(short, passages.shingles_of(np.concatenate([passage[:35], some(60)]).astype(np.uint64)), everywhere) == []
 
 
+def test_repeats_are_similar_as_every_stretch_says():
+    rng, seen = np.random.default_rng(11), set()
+
+    def plain(mine, a):
+        for x in range(len(a)):
+            for y in range(x, len(a)):
+                theirs = set(a[x : y + 1].tolist())
+                common = len(theirs & set(mine.tolist()))
+                if 100 * common >= 75 * (len(mine) + len(theirs) - common):
+                    return True
+        return False
+
+    for _ in range(400):
+        letters = int(rng.integers(3, 30))
+        mine = np.unique(rng.integers(0, letters, int(rng.integers(1, 25))))
+        a = rng.integers(0, letters + int(rng.integers(0, 15)), int(rng.integers(1, 40)))
+        seen.add(plain(mine, a))
+        assert passages.repeats_similar(mine, a) == plain(mine, a), (mine, a)
+    assert seen == {True, False}
+
+
+def test_sketches_keep_shared_passages_and_rule_out_lines():
+    rng = np.random.default_rng(12)
+
+    def common(n, at):
+        """Bits in common of two texts of random shingles that share a stretch of ``n``, seen from its place ``at``."""
+        one, other = (rng.integers(0, 1 << 63, 200 + n, np.uint64) for _ in range(2))
+        other[100 : 100 + n] = one[100 : 100 + n]
+        (x, p), (y, q) = (passages.sketches(t, np.array([100 + at])) for t in (one, other))
+        assert p[0] and q[0]
+        return int(np.bitwise_count((x & y).view(np.uint64)).sum())
+
+    assert all(common(46, at) >= passages.MIN_BITS for at in range(46))
+    assert np.mean([common(11, at % 11) >= passages.MIN_BITS for at in range(200)]) < 0.05
+    assert not passages.sketches(np.tile(np.arange(20, dtype=np.uint64), 8), np.array([80]))[1][0]
+
+
 def test_stretches_and_cut():
     hit = np.array([1] * 30 + [0] * 5 + [1] * 30 + [0] * 60 + [1] * 3, bool)
     assert passages.stretches(hit, 46) == [(0, 64)] and passages.stretches(hit, 80) == []
