@@ -12,9 +12,11 @@ s is a tenth of k, as texts with a line in common share one or two by chance.
 
 Equal sets are one class from the start. Each class is first compared with the one smallest class of
 its signatures that it meets most often, and classes found linked are joined. Only members
-of a signature that are still apart are then paired, and compared if they share enough signatures and a
-bound on the difference from counts per hash range allows it. No group is expanded into all its
-pairs. Every link is checked on whole sets.
+of a signature that are still apart are then paired. Pairs are compared if they share enough signatures
+and two lower bounds on the difference allow it: one from counts per hash range, one from sketches that
+grow with the set, a thirtieth of its bytes or less. Both bounds are certain, so no similar pair goes.
+No group is expanded into all its pairs. Every link is checked on whole sets, which only pairs
+that pass the bounds carry.
 
 Defined cases: null or wordless text has an empty set and links with nothing; fewer than five words
 are one shingle; rows with equal sets are linked; rows without an id link with nothing; an empty
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,9 +110,26 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """Whether each of two to four hash ranges per element holds an odd number of elements, as bits; at least 8."""
+    bits = max(3, len(shingles).bit_length() + 1)
+    odd = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A number of elements that two sets with these sketches differ in at least: each element that differs turns one bit."""
+    if len(a) == len(b):
+        return (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
+    p, q = (np.unpackbits(np.frombuffer(x, np.uint8)) for x in sorted((a, b), key=len))
+    while len(q) > len(p):
+        q = q[::2] ^ q[1::2]
+    return int((p ^ q).sum())
+
+
 def _narrow(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in stream:
-        sizes, classes, counts, parities = [], [], [], []
+        sizes, classes, counts, parities, sketches = [], [], [], [], []
         for text in binaries(batch.column(1)):
             shingles = set_of(text)
             sizes.append(len(shingles))
@@ -118,6 +138,7 @@ def _narrow(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append(np.minimum(binned, 65535).astype(np.uint16).tobytes())
             odd = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=256) & 1
             parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            sketches.append(sketch_of(shingles))
         parity = np.array(parities, np.int64).reshape(-1, len(PARITY))
         yield pa.RecordBatch.from_arrays(
             [
@@ -126,8 +147,9 @@ def _narrow(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(classes, pa.int64()),
                 pa.array(counts, pa.binary()),
                 *[pa.array(parity[:, k]) for k in range(len(PARITY))],
+                pa.array(sketches, pa.binary()),
             ],
-            ["doc_id", "n_shingles", "class", "counts", *PARITY],
+            ["doc_id", "n_shingles", "class", "counts", *PARITY, "sketch"],
         )
 
 
@@ -195,6 +217,15 @@ def _near(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c in ("counts_a", "counts_b")
         )
         kept = pa.array(7 * np.abs(p - q).sum(axis=1) <= x + y)
+        yield batch.select(["a", "b", "shared", "n_a", "n_b"]).filter(kept)
+
+
+def _close(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches allow that they are similar."""
+    for batch in stream:
+        size = pc.add(batch.column("n_a"), batch.column("n_b")).to_pylist()
+        sketches = zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist(), size, strict=True)
+        kept = pa.array([7 * least_difference(a, b) <= n for a, b, n in sketches], pa.bool_())
         yield batch.select(["a", "b", "shared"]).filter(kept)
 
 
@@ -238,16 +269,16 @@ def pairs_apart(members: DataFrame) -> DataFrame:
 
 
 def link_classes(texts: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The classes (class, n_shingles, counts, doc) of ``narrow`` and their components (node, component)."""
+    """The classes (class, n, counts, sketch, doc) of ``narrow`` and their components (node, component)."""
     known = narrow.where("class is not null and doc_id is not null").groupBy("class")
-    classes = stored(known.agg(F.first("n_shingles").alias("n"), F.first("counts").alias("counts"), F.min("doc_id").alias("doc"), *[F.first(p).alias(p) for p in PARITY]), "classes")
+    classes = stored(known.agg(F.first("n_shingles").alias("n"), F.first("counts").alias("counts"), F.min("doc_id").alias("doc"), *[F.first(p).alias(p) for p in (*PARITY, "sketch")]), "classes")
     parts = parts_for(texts)
     sent = texts.select("text").mapInArrow(_signed(parts), "part int, signatures binary, classes binary")
     groups = stored(
         sent.repartition(parts, "part").groupBy("part").applyInArrow(_shared, "signature long, class long, anchor long"), "groups"
     )
 
-    sizes, counts = classes.select("class", "n"), classes.select("class", "counts")
+    sizes, counts, sketches = (classes.select("class", c) for c in ("n", "counts", "sketch"))
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, one row for each shared signature) that may be similar, with ``shared``."""
@@ -257,7 +288,10 @@ def link_classes(texts: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFr
         # At least a quarter of the smaller set, less one, may differ, whatever the bands.
         both = both.where(f"shared > floor(greatest(least(n_a, n_b) * 0.25 - 1, 0) / {SPARE})")
         both = both.join(_sided(counts, "a", {"counts": "counts_a"}), "a").join(_sided(counts, "b", {"counts": "counts_b"}), "b")
-        return both.select("a", "b", "shared", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(_near, "a long, b long, shared long")
+        columns = "a long, b long, shared long, n_a long, n_b long"
+        near = both.select("a", "b", "shared", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(_near, columns)
+        both = near.join(_sided(sketches, "a", {"sketch": "sketch_a"}), "a").join(_sided(sketches, "b", {"sketch": "sketch_b"}), "b")
+        return both.select("a", "b", "shared", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_close, "a long, b long, shared long")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """Whole sets of some classes, each from the text with the smallest id."""
@@ -313,7 +347,7 @@ def link_classes(texts: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFr
 def _components(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """doc_id, n_shingles and class of every row; and of every class its component and that one's smallest id."""
     texts = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    narrow = stored(texts.mapInArrow(_narrow, "doc_id long, n_shingles long, class long, counts binary, p0 long, p1 long, p2 long, p3 long"), "narrow")
+    narrow = stored(texts.mapInArrow(_narrow, "doc_id long, n_shingles long, class long, counts binary, p0 long, p1 long, p2 long, p3 long, sketch binary"), "narrow")
     texts = texts.where("doc_id is not null")
     classes, joined = link_classes(texts, narrow)
     named = classes.join(joined, F.col("class") == F.col("node"), "left").select(

@@ -277,6 +277,24 @@ def test_unlike_texts_under_one_id_are_judged_apart(spark):
     assert kept == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("x, y", [(1, 1), (1, 2), (3, 4), (7, 8), (63, 64), (90, 120), (500, 600), (9000, 7000)])
+def test_sketches_bound_the_difference_of_sets(x, y):
+    r = np.random.RandomState(x)
+    pool = np.unique(r.randint(0, 2**62, 2 * (x + y)).astype(np.uint64) << np.uint64(2))
+    for share in (0.0, 0.5, 0.9, 1.0):
+        common = int(share * min(x, y))
+        drawn = r.permutation(pool)[: x + y - common]
+        a, b = np.sort(drawn[:x]), np.sort(np.concatenate([drawn[:common], drawn[x:]]))
+        least = shingle_join.least_difference(shingle_join.sketch_of(a), shingle_join.sketch_of(b))
+        assert least == shingle_join.least_difference(shingle_join.sketch_of(b), shingle_join.sketch_of(a))
+        assert least <= x + y - 2 * common
+        # Similar sets are never ruled out; larger ones with half of the union or less in common always are here.
+        if 4 * common >= 3 * (x + y - common):
+            assert 7 * least <= x + y
+        elif min(x, y) > 50 and 2 * common <= x + y - common:
+            assert 7 * least > x + y
+
+
 def test_components_are_settled_or_refused(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
     assert {r["component"] for r in components(chain, "a", "b").collect()} == {0}
