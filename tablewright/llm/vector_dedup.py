@@ -1,12 +1,15 @@
 """Near-duplicate embeddings by range search on a robust-pruned flat graph.
 
-Vectors are set to length 1. Each joins the shards of its three nearest centroids (from a bounded
-sample), so that near vectors share a shard although shards are cut apart. A shard builds a
+Vectors are set to length 1. Each joins the shards of its four nearest centroids (from a bounded
+sample), so that near vectors share a shard although shards are cut apart; but no shard whose border is
+too far away for any vector beyond it to be near. A shard builds a
 graph: a vector's nearest members, robust-pruned (a candidate goes if it is closer to a kept
 neighbour than to the vector, by a factor), and some far members for long steps. The adjacency lists of
 a vector from all its shards are joined. Then every vector is searched in the shard of its nearest
 centroid: a greedy search from the shard's medoids, then expansion through every vector found within the
-range. A sample of each shard's searches is audited against brute force and the beam doubled until nearly
+range. A link counts for both ends: where the other end's search can't see it, as that one runs in a shard that
+the vector is not in, the search that finds it credits both. So a link is lost only if neither vector
+is in the other's own shard. A sample of each shard's searches is audited against brute force and the beam doubled until nearly
 all is found. Links are verified in double precision.
 
 Equal vectors are one node with a count. Shards with many members are built in blocks, and every
@@ -30,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import components, stored
-from tablewright.llm.vectors import matrix, valid_vectors
+from tablewright.llm.vectors import matrix, padded, valid_vectors
 
 COSINE = 0.95
-OVERLAP = 3
+OVERLAP = 4
 SHARD_ROWS, MOST_SHARDS = 800, 16_384
 # Sampled rows per centroid, and rounds of refinement.
 SAMPLE_PER_SHARD, REFINEMENTS = 8, 3
@@ -67,19 +70,28 @@ def centroids_of(nodes: DataFrame, count: int) -> np.ndarray:
     return centroids
 
 
-def _assigned(centroids: np.ndarray):
+def _assigned(centroids: np.ndarray, least: float):
     overlap = min(OVERLAP, len(centroids))
+    # A vector in reach of one across the border between two centroids is at most this far from the border.
+    reach = math.sqrt(1 - max(least, 0) ** 2)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
                 x = unit(matrix(part.column("v")))
-                near = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :overlap]
+                score = x @ centroids.T
+                near = np.argsort(-score, axis=1, kind="stable")[:, :overlap]
+                score = np.take_along_axis(score, near, axis=1)
+                apart = np.linalg.norm(centroids[near] - centroids[near[:, :1]], axis=2)
+                joins = score[:, :1] - score <= reach * apart + 1e-9
+                ends = np.concatenate([[0], joins.sum(axis=1).cumsum()])
+                shards = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(near[joins], pa.int32()))
                 vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                columns = [part.column("id"), part.column("n"), shards, vectors]
                 for k in range(overlap):
-                    columns = [part.column("id"), part.column("n"), pa.array(near[:, k], pa.int32()), pa.array(np.full(len(x), k == 0)), vectors]
-                    yield pa.RecordBatch.from_arrays(columns, ["id", "n", "shard", "home", "v"])
+                    columns_k = [*columns, pa.array(near[:, k], pa.int32()), pa.array(np.full(len(x), k == 0))]
+                    yield pa.RecordBatch.from_arrays(columns_k, ["id", "n", "shards", "v", "shard", "home"]).filter(pa.array(joins[:, k]))
 
     return run
 
@@ -186,7 +198,7 @@ def _searched(least: float):
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
         if members.num_rows and searches.num_rows:
             ids, counts, x = members["id"].to_numpy(), members["n"].to_numpy(), matrix(members["v"])
-            names, q = searches["id"].to_numpy(), matrix(searches["v"])
+            names, copies, q = searches["id"].to_numpy(), searches["n"].to_numpy(), matrix(searches["v"])
             place = {i: k for k, i in enumerate(ids.tolist())}
             lists = [np.array([place[j] for j in r if j in place], np.int64) for r in members["neighbours"].to_pylist()]
             audit = np.random.RandomState(SEED).permutation(len(q))[:AUDITED]
@@ -201,6 +213,10 @@ def _searched(least: float):
             other = names[i] != ids[j]
             i, j = i[other], j[other]
             links = np.bincount(i, counts[j], len(names)).astype(np.int64)
+            # The other end's search, in its own shard, does not see vectors that are not in that shard.
+            home, within = padded(members["shards"], np.int64, fill=-1)[:, 0], padded(searches["shards"], np.int64, fill=-1)
+            unseen = ~(within[i] == home[j][:, None]).any(axis=1)
+            back = np.bincount(j[unseen], copies[i[unseen]], len(ids)).astype(np.int64)
             # The smallest node of what is joined in this block; one edge to it per search and member.
             low_i, low_j = names.copy(), ids.copy()
             while True:
@@ -210,7 +226,7 @@ def _searched(least: float):
                 if (next_i == low_i).all() and (next_j == low_j).all():
                     break
                 low_i, low_j = next_i, next_j
-            out = [np.concatenate([names, ids]), np.concatenate([links, np.zeros(len(ids), np.int64)]), np.concatenate([low_i, low_j])]
+            out = [np.concatenate([names, ids]), np.concatenate([links, back]), np.concatenate([low_i, low_j])]
             keep = (out[1] > 0) | (out[0] != out[2])
             out = [c[keep] for c in out]
         return pa.table([pa.array(c, pa.int64()) for c in out], names=["id", "links", "to"])
@@ -224,21 +240,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     count = nodes.count()
     if not count:
         return vectors.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
-    assigned = stored(nodes.mapInArrow(_assigned(centroids_of(nodes, count)), "id long, n long, shard int, home boolean, v array<double>"), "assigned")
+    assigned = stored(nodes.mapInArrow(_assigned(centroids_of(nodes, count), cosine), "id long, n long, shards array<int>, v array<double>, shard int, home boolean"), "assigned")
     # As many rows as there are centroids; sent along.
     sizes = assigned.groupBy("shard").agg(F.count(F.lit(1)).alias("m"), F.count_if("home").alias("h"))
     sizes = stored(sizes.select("shard", F.ceil(F.col("m") / MEMBERS).cast("int").alias("m"), F.ceil(F.col("h") / SEARCHES).cast("int").alias("h")), "sizes")
     cut = assigned.join(F.broadcast(sizes), "shard")
     members = cut.withColumn("member_block", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
     lists = members.groupBy("shard", "member_block").applyInArrow(_built_columns, "id long, neighbours array<bigint>")
-    # At most three lists for a vector.
+    # At most OVERLAP lists for a vector.
     joined = stored(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours")), "lists")
     graph = members.join(joined, "id")
     graph = graph.withColumn("search_block", F.explode(F.sequence(F.lit(0), F.greatest(F.col("h"), F.lit(1)) - 1)))
-    graph = graph.select(*[F.col(c).alias(c) for c in ("shard", "member_block", "search_block", "id", "n", "v", "neighbours")])
+    graph = graph.select(*[F.col(c).alias(c) for c in ("shard", "member_block", "search_block", "id", "n", "shards", "v", "neighbours")])
     searches = cut.where("home").withColumn("search_block", F.pmod(F.xxhash64("id", F.lit(9)), F.greatest(F.col("h"), F.lit(1))).cast("int"))
     searches = searches.withColumn("member_block", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    searches = searches.select(*[F.col(c).alias(c) for c in ("shard", "member_block", "search_block", "id", "v")])
+    searches = searches.select(*[F.col(c).alias(c) for c in ("shard", "member_block", "search_block", "id", "n", "shards", "v")])
     by = ["shard", "member_block", "search_block"]
     found = stored(graph.groupBy(*by).cogroup(searches.groupBy(*by)).applyInArrow(_searched(cosine), "id long, links long, to long"), "found")
     edges = found.where("id != to").select(F.col("id").alias("a"), F.col("to").alias("b"))

@@ -113,6 +113,23 @@ def test_near_duplicates(spark, rows):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
 
 
+def test_links_across_shards_count_at_both_ends(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "SHARD_ROWS", 200)
+    r = np.random.RandomState(0)
+    centres, ends, at = r.randn(60, 32), r.randint(0, 60, (40, 2)), r.rand(2000, 1)
+    line = ends[r.randint(0, 40, 2000)]
+    x = centres[line[:, 0]] * at + centres[line[:, 1]] * (1 - at) + 0.02 * r.randn(2000, 32)
+    x[1900:] = x[:100]  # copies
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = {q["vec_id"]: q["n_links"] for q in vector_dedup.embedding_components(df).collect()}
+    unit = vector_dedup.unit(x)
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    found = np.array([got[i] for i in range(2000)])
+    print("links", found.sum(), "of", want.sum(), "vectors short", (found < want).sum())
+    assert (found <= want).all()
+    assert (found == want).mean() > 0.999 and found.sum() >= 0.9999 * want.sum()
+
+
 def test_pruned_lists_keep_the_nearest():
     x = vector_dedup.unit(np.random.RandomState(0).randn(300, 8))
     lists = vector_dedup.robust_prune(x)
