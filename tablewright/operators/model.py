@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +23,7 @@ from tablewright.operators.boosting import (
     Task,
     binned_blocks,
     compiled,
+    feature_columns,
     find_bins,
     fit_models,
     fit_trees,
@@ -175,35 +179,40 @@ def permutation_importance(
     """``feature, position, auc, score``: AUC lost when a column is shuffled among all rows.
 
     Rows fall into buckets by a hash of their key and are shuffled within these, so no task orders
-    more than one bucket of one feature. All features are scored in one job.
+    more than one bucket. Rows are moved once, whatever the number of features: a bucket is coded
+    once and scored with each column shuffled in turn.
     """
     columns = list(dict.fromkeys([*key, label, *features]))
     rows = materialise(clean_inputs(df.select(*[quoted(c) for c in columns]), features))
     buckets = max(1, math.ceil(rows.count() / PAIRED_ROWS))
     bucket = F.pmod(F.xxhash64(*[quoted(c) for c in key], F.lit(seed)), F.lit(buckets))
-    names = F.array(F.lit(""), *[F.lit(c) for c in features])  # "" keeps every column
-    tagged = rows.withColumn("_b", bucket).withColumn("feature", F.explode(names))
-    order = [quoted(c) for c in key]
-    own = tagged.withColumn("_at", F.row_number().over(Window.partitionBy("feature", "_b").orderBy(*order)))
-    shuffled = (
-        tagged.filter("feature != ''")
-        .withColumn("_h", F.md5(F.concat_ws("|", key_hash(key, seed), "feature")))
-        .withColumn("_at", F.row_number().over(Window.partitionBy("feature", "_b").orderBy("_h", *order)))
-        .select("feature", "_b", "_at", F.struct(*[quoted(c) for c in features]).alias("_other"))
-    )
-    mixed = own.join(shuffled, ["feature", "_b", "_at"], "left").select(
-        *key,
-        label,
-        "feature",
-        *[
-            F.when(F.col("feature") == c, F.col("_other").getField(c)).otherwise(quoted(c)).alias(c)
-            for c in features
-            if c not in key
-        ],
-    )
-    scored = model_scores(mixed, model, features, ["feature", label])
-    found = {row["feature"]: row["auc"] for row in auc(scored, label, "score", ["feature"]).collect()}  # one row each
-    lost = [(c, i, found[c], None if found[c] is None else found[""] - found[c]) for i, c in enumerate(features)]
+    at = F.row_number().over(Window.partitionBy("_b").orderBy(*[quoted(f"_k{i}") for i in range(len(key))]))
+    keys = [quoted(c).alias(f"_k{i}") for i, c in enumerate(key)]
+    told = rows.select(bucket.alias("_b"), *keys, key_hash(key, seed).alias("_h"), quoted(label).alias("_y"), *feature_columns(rows, model))
+    placed = told.withColumn("_at", at).drop(*[f"_k{i}" for i in range(len(key))])
+    # A key keeps its own value, as in the rows it names.
+    moved = [(i, c, model.names.index(c)) for i, c in enumerate(features) if c in model.names and c not in key]
+
+    def score(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_at")
+        codes = model.codes([table[f"_f{i}"].combine_chunks() for i in range(len(model.features))])
+        found = [(-1, model.margins(codes))]
+        for i, name, place in moved:
+            digests = b"".join(hashlib.md5(f"{h}|{name}".encode()).digest() for h in table["_h"].to_pylist())
+            high, low = np.frombuffer(digests, ">u8").reshape(-1, 2).T
+            mixed = codes.copy()
+            mixed[place] = codes[place][np.lexsort((low, high))]
+            found.append((i, model.margins(mixed)))
+        scores = [pa.array(1.0 / (1.0 + np.exp(-margin))) for _, margin in found]
+        places = [pa.array(np.full(table.num_rows, i, np.int32)) for i, _ in found]
+        return pa.table({"_y": pa.chunked_array([c for _ in found for c in table["_y"].chunks]), "position": pa.chunked_array(places), "score": pa.chunked_array(scores)})
+
+    schema = T.StructType([T.StructField("_y", placed.schema["_y"].dataType), T.StructField("position", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    scored = placed.groupBy("_b").applyInArrow(score, schema)
+    aucs = {row["position"]: row["auc"] for row in auc(scored, "_y", "score", ["position"]).collect()}  # one row each
+    whole = aucs.get(-1)
+    found = [aucs.get(i, whole) for i in range(len(features))]
+    lost = [(c, i, found[i], None if found[i] is None else whole - found[i]) for i, c in enumerate(features)]
     return df.sparkSession.createDataFrame(lost, "feature string, position int, auc double, score double")
 
 

@@ -1,5 +1,7 @@
 """Fitting, comparing and applying models on a small table with a known signal."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +222,21 @@ def test_train_then_score(spark, table):
     result = spark.read.parquet(scores)
     assert result.columns == ["id", "p_value"] and result.count() == 600
     assert spark.read.json(f"{out}/report").first()["dataset"] == "m"
+
+
+def test_importance_moves_rows_once_and_scores_them_as_shuffled(spark, table, model, monkeypatch):
+    def repeated(*_):
+        raise AssertionError("rows repeated for each feature")
+
+    monkeypatch.setattr(F, "explode", repeated)
+    rows = [(r["id"], r["y"], *[r[c] for c in FEATURES]) for r in table.select("id", "y", *FEATURES).collect()]
+    rows.sort(key=lambda r: r[0])
+    got = {r["feature"]: r for r in permutation_importance(table, ["id"], "y", FEATURES, model).collect()}
+    whole = auc(model_scores(table, model, FEATURES, ["y"]), "y", "score").first()["auc"]
+    for place, name in enumerate(FEATURES, start=2):
+        hashed = {r[0]: hashlib.md5(f"{hashlib.md5(f'{r[0]}|42'.encode()).hexdigest()}|{name}".encode()).hexdigest() for r in rows}
+        others = sorted(rows, key=lambda r: hashed[r[0]])
+        mixed = [(*r[:place], o[place], *r[place + 1 :]) for r, o in zip(rows, others, strict=True)]
+        scored = model_scores(spark.createDataFrame(mixed, table.select("id", "y", *FEATURES).schema), model, FEATURES, ["y"])
+        want = auc(scored, "y", "score").first()["auc"]
+        assert got[name]["auc"] == pytest.approx(want, abs=1e-12) and got[name]["score"] == pytest.approx(whole - want, abs=1e-12)
