@@ -25,6 +25,9 @@ from tablewright.operators.joins import TASK_ROWS, even_share, left_join_all, pi
 from tablewright.operators.running import distinct_ranks, running_sums
 from tablewright.plans.spec import PlanError, clean_name
 
+# Bytes of a column's dictionary that is sent to every task at most.
+SENT_BYTES = 8 << 20
+
 
 def long_values(df: DataFrame, columns: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """One row per value: ``feature``, ``value`` as double, and the carried columns."""
@@ -97,18 +100,24 @@ def hot_texts(codes: DataFrame, task_rows: int = TASK_ROWS) -> dict[str, list[tu
 def label_encode(df: DataFrame, columns: Sequence[str], suffix: str = "_code", task_rows: int = TASK_ROWS) -> DataFrame:
     """Add alphabetical codes; a missing value has its own code.
 
-    The dictionary stays a table and is joined, whatever its size. A text that
+    The dictionary stays a table and is joined, whatever its size. One of few bytes is sent to
+    every task, so that wide rows are not moved to the few texts they share; else a text that
     most rows share is spread over the tasks of the join.
     """
     if not columns:
         return df
     codes = category_codes(df, columns)
-    hot = hot_texts(codes, task_rows)
+    size = codes.groupBy("column").agg(F.sum(F.octet_length("text") + 16).alias("bytes"))
+    sent = {row["column"] for row in size.collect() if row["bytes"] <= SENT_BYTES}  # one row per column
+    hot = hot_texts(codes.filter(~F.col("column").isin(*sent)) if sent else codes, task_rows)
     for column in columns:
         text = f"_{column}_text"
         side = codes.filter(F.col("column") == column).select(F.col("text").alias(text), F.col("code").alias(column + suffix))
         df = df.withColumn(text, category_text(quoted(column)))
-        df = left_join_all(df, [side], [text], hot.get(column, [])).drop(text)
+        if column in sent:
+            df = df.join(F.broadcast(side), text, "left").drop(text)
+        else:
+            df = left_join_all(df, [side], [text], hot.get(column, [])).drop(text)
     return df
 
 

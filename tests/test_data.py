@@ -15,6 +15,7 @@ from tablewright.operators.labels import (
     resolve_label,
     text_label_codes,
 )
+from tablewright.operators import prep
 from tablewright.operators.prep import (
     categories_as_text,
     category_codes,
@@ -126,6 +127,21 @@ def test_a_text_most_rows_share_gets_its_code(spark):
     assert all(codes[i] == order.index(str(i) if i % 3 else "hot") for i in range(0, 3000, 37))
 
 
+def test_wide_rows_are_not_moved_for_a_small_dictionary(spark, monkeypatch):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("c"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = label_encode(df, ["c"], task_rows=10)
+        assert "BroadcastHashJoin" in sent._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(prep, "SENT_BYTES", 0)
+        moved = label_encode(df, ["c"], task_rows=10)
+        assert "SortMergeJoin" in moved._jdf.queryExecution().executedPlan().toString()
+        assert sent.columns == moved.columns and sent.count() == 3000 and sent.exceptAll(moved).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("1.5",), ("x",), (None,), ("NaN",)], "t string")
     assert [r[0] for r in df.select(to_number(F.col("t"))).collect()] == [1.5, None, None, None]
