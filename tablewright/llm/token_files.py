@@ -12,6 +12,7 @@ documents with one key sort by the ids themselves; an empty table gives an empty
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import cache
@@ -46,19 +47,32 @@ LAYOUT = {
 }
 
 
+# Bytes as the characters that the vocabulary writes them with: those that Latin-1 prints stand for themselves, the others follow from 256.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTES = dict(zip((b for b in range(256) if b not in _PRINTED), range(256, 512)))
+
+
 class Ids(dict):
     """The ids of a word as bytes, remembered; the tokenizer sees a word alone."""
 
     def __init__(self, name: str):
         super().__init__()
         tok = tokenizer(name)
-        self.encode = tok.encode
+        self.encode, self.pieces = tok.encode, tok.model.tokenize
         self.kind = np.dtype("<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        value = self[word] = np.array(self.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        # Small Latin letters alone: nothing to normalise or split, so the model gets them without these steps.
+        if word.isascii() and word.isalpha() and word.islower():
+            ids = [piece.id for piece in self.pieces(word)]
+        elif word.isalpha() and max(word) <= "\u024f" and word.lower() == word:
+            ids = [piece.id for piece in self.pieces(word.encode().decode("latin-1").translate(BYTES))]
+        else:
+            ids = self.encode(word, add_special_tokens=False).ids
+        value = self[word] = struct.pack(f"<{len(ids)}{self.code}", *ids)
         return value
 
 
@@ -69,13 +83,16 @@ def remembered(name: str) -> Ids:
 
 # Letters, numbers and white space up to U+024F as Unicode classes them, and the contractions of the tokenizer's pattern.
 LETTERS, NUMBERS, SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}{SPACES}]+")
+TOKEN = re.compile(f"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{NUMBERS}]|[^{LETTERS}{NUMBERS}{SPACES}]+")
+PLAIN = re.compile("[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^a-z0-9\t-\r ]+")
 # Beyond these characters case and composition may depend on neighbours, and special tokens come first.
 OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|")
 
 
 def words_for(text: str) -> list[str]:
     """Words that the lower-casing tokenizer treats alone: its own tokens in Latin texts, else what stands between spaces."""
+    if text.isascii() and "<|" not in text:
+        return PLAIN.findall(text.lower())
     return text.split(" ") if OTHER.search(text) else TOKEN.findall(text.lower())
 
 

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tablewright.llm import ball_tree, periodic, shingle_join, token_files, whitening
+from tablewright.llm import ball_tree, bpe, periodic, shingle_join, token_files, whitening
 from tablewright.llm.common import components, stored
 
 DOCUMENT = "doc_id long, text string, lang string, runs string, key string, collapsed string, _row string"
@@ -309,3 +309,18 @@ def test_token_files_of_repeated_ids(spark):
     assert [s for s, _ in starts] == [sum(n for _, n in starts[:i]) for i in range(len(starts))]
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [None, 1, 3, 5, 5, 5]
     assert sorted(r["n_tokens"] for r in got if r["doc_id"] == 3) == [1]
+
+
+def test_small_latin_words_go_to_the_model_alone():
+    """The same ids as from the whole tokenizer, without its other steps."""
+    known, tok = token_files.Ids(token_files.TOKENIZER), bpe.tokenizer(token_files.TOKENIZER)
+    words = ["the", "thonreanly", "été", "ßçñø", "ŵȝƿ", "x" * 40]
+    calls, whole = [], known.encode
+    known.encode = lambda word, **how: calls.append(word) or whole(word, **how)
+    for word in [*words, "'s", "7", "...", "Ab", "a b", "İ", "ªº", ""]:
+        assert np.frombuffer(known[word], known.kind).tolist() == tok.encode(word, add_special_tokens=False).ids, word
+    assert not set(calls) & set(words) and {"'s", "7", "Ab", "a b"} <= set(calls)
+    text = "It's 'til [x]\t7km\x1c\x7f don't\n\n\"q\" <| a<|b"
+    for part in (text, text[:-8], text + "é"):
+        ids = np.concatenate([np.frombuffer(known[w], known.kind) for w in token_files.words_for(part)])
+        assert ids.tolist() == tok.encode(part, add_special_tokens=False).ids
