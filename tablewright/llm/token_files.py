@@ -89,11 +89,32 @@ PLAIN = re.compile("[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^a-z0-9\t-\r ]+")
 OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|")
 
 
+# Kinds of bytes: letters and digits, white space, full stops and commas, what white space is to ``str.split`` only, the rest.
+KINDS = bytes(
+    ord("." if c in b".," else "?" if 0x1C <= c <= 0x1F else " " if c in b"\t\n\v\f\r " else "a" if c >= 0x80 or chr(c).isalnum() else "!")
+    for c in range(256)
+)
+# Full stops and commas that touch more than the end of a word, and texts that ``str.split`` would split elsewhere.
+ODD = (b"?", b".a", b"..", b".!", b"!.")
+# In UTF-8, what is beyond ASCII and up to U+024F and no letter; U+00AA, U+00B5 and U+00BA count among these.
+NO_LETTERS = (b"\xc2", b"\xc3\x97", b"\xc3\xb7")
+
+
 def words_for(text: str) -> list[str]:
-    """Words that the lower-casing tokenizer treats alone: its own tokens in Latin texts, else what stands between spaces."""
-    if text.isascii() and "<|" not in text:
-        return PLAIN.findall(text.lower())
-    return text.split(" ") if OTHER.search(text) else TOKEN.findall(text.lower())
+    """Words that the lower-casing tokenizer treats alone.
+
+    Texts in other scripts are split at spaces. Latin texts are split at white space, full stops and commas that
+    end a word apart, which is faster than the tokenizer's pattern; where they stand otherwise, into its own tokens.
+    """
+    plain = text.isascii() and "<|" not in text
+    if not plain and OTHER.search(text):
+        return text.split(" ")
+    text = text.lower()
+    raw = text.encode()
+    kinds = raw.translate(KINDS)
+    if any(x in kinds for x in ODD) or not plain and any(x in raw for x in NO_LETTERS):
+        return PLAIN.findall(text) if plain else TOKEN.findall(text)
+    return text.replace(".", " .").replace(",", " ,").split()
 
 
 def _encoded(name: str, end_id: int):
