@@ -39,8 +39,8 @@ PURITY = 30
 PENALTY = 1e-3
 THRESHOLD = 0.7
 SPAN_MARGINAL = 0.5
-# Words that one pass of the recursions holds.
-WORDS_AT_ONCE = 1_000_000
+# Words that one pass of the recursions holds, and rows of a batch turned into Python objects at once.
+WORDS_AT_ONCE, ROWS_AT_ONCE = 400_000, 500
 REMEMBERED = 500_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = ".,;:!?\"'()[]{}<>*_-~`«»„“”‘’…¡¿"
@@ -82,7 +82,28 @@ class Emissions(dict):
 
 
 def marginals(emission: np.ndarray, lengths: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of state 1 at every word of texts laid end to end, and of each pair of states after it.
+    """Probability of state 1 at every word of texts laid end to end, and of each pair of states after it."""
+    e, forward, backward = messages(emission, lengths, steps)
+    p = probabilities(forward, backward)
+    # Pairs (i at t, j at t + 1), for texts of two words and more.
+    n = len(emission)
+    t00, t01, t10, t11 = np.exp(steps)
+    last = np.zeros(n, bool)
+    last[(np.cumsum(lengths) - 1)[lengths > 0]] = True
+    at = np.flatnonzero(~last)
+    r, x = forward[at], e[at + 1] * backward[at + 1]
+    pairs = np.stack([np.full(len(at), t00), t01 * x, r * t10, r * t11 * x])
+    pairs /= pairs.sum(axis=0)
+    return p, pairs.sum(axis=1)
+
+
+def probabilities(forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+    odds = forward * backward
+    return odds / (1 + odds)
+
+
+def messages(emission: np.ndarray, lengths: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every word of texts laid end to end: its emission's odds, and the messages from before and behind it.
 
     Two states need only the ratio of the two messages. All texts take a step at once, longest
     first, so a step works on those not yet ended.
@@ -108,16 +129,7 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, steps: np.ndarray) -> t
         at = ends[: active[t]] - t
         x = e[at + 1] * backward[at + 1]
         backward[at] = (t10 + t11 * x) / (t00 + t01 * x)
-    odds = forward * backward
-    p = odds / (1 + odds)
-    # Pairs (i at t, j at t + 1), for texts of two words and more.
-    last = np.zeros(n, bool)
-    last[ends[sizes > 0]] = True
-    at = np.flatnonzero(~last)
-    r, x = forward[at], e[at + 1] * backward[at + 1]
-    pairs = np.stack([np.full(len(at), t00), t01 * x, r * t10, r * t11 * x])
-    pairs /= pairs.sum(axis=0)
-    return p, pairs.sum(axis=1)
+    return e, forward, backward
 
 
 def aggregates(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -223,6 +235,12 @@ def fit_field(texts: list[str], toxic: np.ndarray) -> Field | None:
     return Field(dict(zip(names[large].tolist(), weights[large].tolist(), strict=True)), steps, np.zeros(3))
 
 
+def slices(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in stream:
+        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(start, ROWS_AT_ONCE)
+
+
 def _scored(model: Field | None, threshold: float):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emissions = Emissions(model.weights) if model else None
@@ -231,7 +249,8 @@ def _scored(model: Field | None, threshold: float):
             lengths = np.array([len(r) for r in rows], np.int64)
             score, spans = np.zeros(len(rows)), [[] for _ in rows]
             if model:
-                p, _ = marginals(np.concatenate([np.zeros(0), *rows]), lengths, model.steps)
+                _, *both = messages(np.concatenate([np.zeros(0), *rows]), lengths, model.steps)
+                p = probabilities(*both)
                 score = 1 / (1 + np.exp(-np.clip(aggregates(p, lengths) @ model.curve, -30, 30)))
                 ends = np.cumsum(lengths)
                 hot = np.flatnonzero(p >= SPAN_MARGINAL)
@@ -246,8 +265,8 @@ def _scored(model: Field | None, threshold: float):
             )
 
         keys, texts, rows, size = [], [], [], 0
-        for batch in stream:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for part in slices(stream):
+            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 words = WORD.findall(text or "") if model else []
                 keys.append(key)
                 texts.append(text or "")

@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from tablewright.llm import bpe, token_files
+from tablewright.llm import bpe, token_files, toxicity
 
 
 def test_latin_texts_are_split_at_white_space_and_marks_at_the_end_of_words():
@@ -15,3 +16,20 @@ def test_latin_texts_are_split_at_white_space_and_marks_at_the_end_of_words():
         text = "".join(rng.choices(pieces, k=rng.randrange(1, 12)))
         got = np.frombuffer(b"".join(known[w] for w in token_files.words_for(text)), known.kind)
         assert got.tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
+def test_scoring_sums_no_pairs_and_holds_few_rows():
+    """The same scores from a batch of any size, a few rows and words at a time."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["ab", "cd", "badword", "ef."], rng.integers(0, 40))) for _ in range(1300)]
+    model = toxicity.Field(dict.fromkeys(toxicity.features("badword"), 2.0), np.array([0.1, -0.1, -0.2, 0.2]), np.array([-3.0, 1.0, 2.0]))
+    table = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    sizes = [b.num_rows for b in toxicity.slices(iter([table]))]
+    assert sum(sizes) == len(texts) and max(sizes) <= 500
+    got = np.concatenate([b.column("score").to_numpy() for b in toxicity._scored(model, 0.7)(iter([table]))])
+    emissions = toxicity.Emissions(model.weights)
+    for i in range(0, len(texts), 100):
+        words = texts[i].split()
+        p, _ = toxicity.marginals(np.array([emissions[w] for w in words]), np.array([len(words)]), model.steps)
+        curve = toxicity.aggregates(p, np.array([len(words)])) @ model.curve
+        assert abs(got[i] - 1 / (1 + np.exp(-curve[0]))) < 1e-12
