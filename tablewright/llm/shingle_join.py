@@ -11,7 +11,7 @@ fewer such partitions also names its empty ones. No similar pair shares fewer th
 s is a tenth of k, as texts with a line in common share one or two by chance.
 
 Equal sets are one class from the start. Each class is first compared with the one smallest class of
-its signatures that it meets most often, and classes found linked are joined. Only members
+its signatures that it meets most often, if sizes and parities allow a link, and classes found linked are joined. Only members
 of a signature that are still apart are then paired. Pairs are compared if they share enough signatures
 and two lower bounds on the difference allow it: one from counts per hash range, one from sketches that
 grow with the set, a thirtieth of its bytes or less. Both bounds are certain, so no similar pair goes.
@@ -217,7 +217,7 @@ def _near(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c in ("counts_a", "counts_b")
         )
         kept = pa.array(7 * np.abs(p - q).sum(axis=1) <= x + y)
-        yield batch.select(["a", "b", "shared", "n_a", "n_b"]).filter(kept)
+        yield batch.select(["a", "b", "n_a", "n_b"]).filter(kept)
 
 
 def _close(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,7 @@ def _close(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = pc.add(batch.column("n_a"), batch.column("n_b")).to_pylist()
         sketches = zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist(), size, strict=True)
         kept = pa.array([7 * least_difference(a, b) <= n for a, b, n in sketches], pa.bool_())
-        yield batch.select(["a", "b", "shared"]).filter(kept)
+        yield batch.select(["a", "b"]).filter(kept)
 
 
 def _similar(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,6 +254,26 @@ def _sided(df: DataFrame, side: str, names: dict[str, str]) -> DataFrame:
     return df.select(F.col("class").alias(side), *[F.col(c).alias(n) for c, n in names.items()])
 
 
+def allowed(shared: DataFrame, facts: DataFrame) -> DataFrame:
+    """Of pairs (a, b, shared) of classes those whose sizes, parities and shared signatures allow similarity, with n_a and n_b.
+
+    The bounds are conditions of the second join, before anything larger is joined to a pair.
+    """
+    own = {c: f"{c}_a" for c in ("n", *PARITY)}
+    both = shared.join(_sided(facts, "a", own), "a").join(_sided(facts, "b", {c: f"{c}_b" for c in own}), "b")
+    both = both.where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
+    both = both.where("7 * (" + " + ".join(f"bit_count({p}_a ^ {p}_b)" for p in PARITY) + ") <= n_a + n_b")
+    # At least a quarter of the smaller set, less one, may differ, whatever the bands.
+    both = both.where(f"shared > floor(greatest(least(n_a, n_b) * 0.25 - 1, 0) / {SPARE})")
+    return both.select("a", "b", "shared", "n_a", "n_b")
+
+
+def most_often(pairs: DataFrame) -> DataFrame:
+    """For each b the a it shares most signatures with, the smallest of several."""
+    best = F.min(F.struct((-F.col("shared")).alias("s"), "a", "n_a", "n_b"))
+    return pairs.groupBy("b").agg(best.alias("_m")).select("_m.a", "b", (-F.col("_m.s")).alias("shared"), "_m.n_a", "_m.n_b")
+
+
 def pairs_apart(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes with a signature in common that are apart and whose sizes and parities allow similarity.
 
@@ -278,20 +298,18 @@ def link_classes(texts: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFr
         sent.repartition(parts, "part").groupBy("part").applyInArrow(_shared, "signature long, class long, anchor long"), "groups"
     )
 
-    sizes, counts, sketches = (classes.select("class", c) for c in ("n", "counts", "sketch"))
+    counts, sketches = (classes.select("class", c) for c in ("counts", "sketch"))
+
+    def met_by(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, one row for each shared signature) once, with ``shared``, that the facts of their classes allow."""
+        return allowed(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), classes)
 
-    def possible(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, one row for each shared signature) that may be similar, with ``shared``."""
-        shared = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-        both = shared.join(_sided(sizes, "a", {"n": "n_a"}), "a").join(_sided(sizes, "b", {"n": "n_b"}), "b")
-        both = both.where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
-        # At least a quarter of the smaller set, less one, may differ, whatever the bands.
-        both = both.where(f"shared > floor(greatest(least(n_a, n_b) * 0.25 - 1, 0) / {SPARE})")
+    def possible(both: DataFrame) -> DataFrame:
+        """Pairs whose counts and sketches allow that they are similar."""
         both = both.join(_sided(counts, "a", {"counts": "counts_a"}), "a").join(_sided(counts, "b", {"counts": "counts_b"}), "b")
-        columns = "a long, b long, shared long, n_a long, n_b long"
-        near = both.select("a", "b", "shared", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(_near, columns)
+        near = both.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(_near, "a long, b long, n_a long, n_b long")
         both = near.join(_sided(sketches, "a", {"sketch": "sketch_a"}), "a").join(_sided(sketches, "b", {"sketch": "sketch_b"}), "b")
-        return both.select("a", "b", "shared", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_close, "a long, b long, shared long")
+        return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_close, "a long, b long")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """Whole sets of some classes, each from the text with the smallest id."""
@@ -307,9 +325,9 @@ def link_classes(texts: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFr
     def ends_of(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
 
-    star = possible(groups.where("class != anchor").select(F.col("anchor").alias("a"), F.col("class").alias("b")))
-    often = F.min(F.struct((-F.col("shared")).alias("s"), "a"))
-    first = stored(star.groupBy("b").agg(often.alias("_m")).select(F.col("_m.a").alias("a"), "b"), "star")
+    star = met_by(groups.where("class != anchor").select(F.col("anchor").alias("a"), F.col("class").alias("b")))
+    # One pair a class, chosen before anything larger than sizes and parities is joined to it.
+    first = stored(possible(most_often(star)), "star")
     sets = sets_of(ends_of(first))
     tried = checked(first, sets)
     links = tried.where("linked").select("a", "b")
@@ -322,7 +340,7 @@ def link_classes(texts: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFr
     open_groups = stored(named.join(split.select("signature"), "signature"), "open")
     facts = classes.select(F.col("class").alias("_c"), "n", *PARITY)
     met = pairs_apart(open_groups.join(facts, F.col("class") == F.col("_c")).drop("_c"))
-    apart = stored(possible(met).select("a", "b"), "apart")
+    apart = stored(possible(met_by(met)), "apart")
     more = ends_of(apart).join(sets.select("class"), "class", "left_anti")
     if not apart.isEmpty():
         sets = sets.unionByName(sets_of(more))

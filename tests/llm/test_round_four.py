@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from tablewright.llm import bpe, token_files, toxicity
+from tablewright.llm import bpe, shingle_join, token_files, toxicity
 
 
 def test_latin_texts_are_split_at_white_space_and_marks_at_the_end_of_words():
@@ -18,6 +18,17 @@ def test_latin_texts_are_split_at_white_space_and_marks_at_the_end_of_words():
         assert got.tolist() == tok.encode(text, add_special_tokens=False).ids, text
 
 
+def test_pairs_are_bounded_and_one_a_class_before_larger_facts_join(spark):
+    """Sizes, parities and shared signatures rule pairs out at once; of a class's other pairs one goes on."""
+    facts = spark.createDataFrame([(c, n, p, 0, 0, 0) for c, n, p in [(1, 100, 0), (2, 100, 1), (3, 100, -1), (4, 200, 0), (5, 96, 0)]], "class long, n long, p0 long, p1 long, p2 long, p3 long")
+    pairs = [(1, 2, 9), (1, 3, 50), (1, 4, 50), (1, 5, 8), (2, 5, 8), (3, 5, 60), (2, 3, 1)]
+    shared = spark.createDataFrame(pairs, "a long, b long, shared long")
+    left = shingle_join.allowed(shared, facts)
+    # 64 differing bits are more than 200 / 7; 200 is more than 4 / 3 of 100; one shared signature of three.
+    assert sorted((r["a"], r["b"]) for r in left.collect()) == [(1, 2), (1, 5), (2, 5)]
+    assert sorted(map(tuple, shingle_join.most_often(left).collect())) == [(1, 2, 9, 100, 100), (1, 5, 8, 100, 96)]
+
+
 def test_scoring_sums_no_pairs_and_holds_few_rows():
     """The same scores from a batch of any size, a few rows and words at a time."""
     rng = np.random.default_rng(4)
