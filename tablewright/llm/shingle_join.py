@@ -10,8 +10,10 @@ contents of its first k + 1 + s partitions that are not empty, so s + 1 of them
 fewer such partitions also names its empty ones. No similar pair shares fewer than s + 1 signatures;
 s is a tenth of k, as texts with a line in common share one or two by chance.
 
-Equal sets are one class from the start. Each class is first compared with the one smallest class of
-its signatures that it meets most often, if sizes and parities allow a link, and classes found linked are joined. Only members
+Equal sets are one class from the start. A class takes no further part unless it shares enough signatures with
+others, and three in four of its shingles with such classes: a similar set would hold as many. In a few rounds,
+each class is then compared with the one head of its signatures that it meets most often, if sizes and parities allow a
+link, and classes found linked are joined; heads change from round to round. Only members
 of a signature that are still apart are then paired. Pairs are compared if they share enough signatures
 and two lower bounds on the difference allow it: one from counts per hash range, one from sketches that
 grow with the set, a thirtieth of its bytes or less. Both bounds are certain, so no similar pair goes.
@@ -56,10 +58,12 @@ PARITY = ["p0", "p1", "p2", "p3"]
 # Of so many elements that may differ, one more signature is given and must be shared.
 SPARE = 10
 # Signatures that a task gathers before it sends them on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 REMEMBERED = 500_000
 # Ids of 8 bytes sent to every task at most; beyond, both sides are shuffled.
 SENT_IDS = 1_000_000
+# For each round in which classes meet one head of each signature, before the ones still apart are paired: what turns their order.
+HEADS = (0, 0x5BD1E9955BD1E995)
 
 
 def bands(largest: int) -> np.ndarray:
@@ -153,23 +157,25 @@ def _narrow(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _signed(parts: int):
-    def flush(sigs: list, owners: list) -> pa.RecordBatch:
-        sig, owner = np.concatenate(sigs), np.concatenate(owners)
-        part = sig % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(parts + 1))
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        rows = [(p, order[edges[p] : edges[p + 1]]) for p in range(parts) if edges[p] < edges[p + 1]]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([p for p, _ in rows], pa.int32()),
-                pa.array([sig[o].tobytes() for _, o in rows], pa.binary()),
-                pa.array([squeeze(owner[o].tobytes()) for _, o in rows], pa.binary()),
-            ],
-            ["part", "signatures", "classes"],
-        )
+def _flush(parts: int, sigs: list, owners: list) -> pa.RecordBatch:
+    """Signatures and the classes that have them, one row for each part."""
+    sig, owner = np.concatenate(sigs), np.concatenate(owners)
+    part = sig % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    rows = [(p, order[edges[p] : edges[p + 1]]) for p in range(parts) if edges[p] < edges[p + 1]]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([p for p, _ in rows], pa.int32()),
+            pa.array([sig[o].tobytes() for _, o in rows], pa.binary()),
+            pa.array([squeeze(owner[o].tobytes()) for _, o in rows], pa.binary()),
+        ],
+        ["part", "signatures", "classes"],
+    )
+
 
+def _signed(parts: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, sigs, owners, waiting = set(), [], [], 0
         for batch in stream:
@@ -184,16 +190,35 @@ def _signed(parts: int):
                 owners.append(np.full(len(sigs[-1]), name, np.int64))
                 waiting += len(sigs[-1])
                 if waiting >= FLUSH:
-                    yield flush(sigs, owners)
+                    yield _flush(parts, sigs, owners)
                     sigs, owners, waiting = [], [], 0
         if waiting:
-            yield flush(sigs, owners)
+            yield _flush(parts, sigs, owners)
 
     return run
 
 
-def _shared(key: tuple, table: pa.Table) -> pa.Table:
-    """Of the signatures of a part those that several classes have: signature, class, smallest class."""
+def _spread(parts: int):
+    """Whole sets (class, set) by shingle."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, owners, waiting = [], [], 0
+        for batch in stream:
+            for name, shingles in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.append(np.frombuffer(shingles.as_buffer(), np.uint64))
+                owners.append(np.full(len(held[-1]), name, np.int64))
+                waiting += len(held[-1])
+                if waiting >= FLUSH:
+                    yield _flush(parts, held, owners)
+                    held, owners, waiting = [], [], 0
+        if waiting:
+            yield _flush(parts, held, owners)
+
+    return run
+
+
+def _several(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of the signatures of a part those that several classes have, with each of their classes."""
     sig = np.concatenate([np.frombuffer(x, np.uint64) for x in table["signatures"].to_pylist()])
     loose = zstandard.ZstdDecompressor().decompress
     owner = np.concatenate([np.frombuffer(loose(x), np.int64) for x in table["classes"].to_pylist()])
@@ -204,8 +229,18 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     length = np.diff(np.append(first, len(sig)))
     several = np.repeat(length > 1, length)
-    anchor = np.repeat(owner[first], length)
-    return pa.table([pa.array(x[several]) for x in (sig.view(np.int64), owner, anchor)], names=["signature", "class", "anchor"])
+    return sig[several], owner[several]
+
+
+def _shared(key: tuple, table: pa.Table) -> pa.Table:
+    sig, owner = _several(table)
+    return pa.table([pa.array(sig.view(np.int64)), pa.array(owner)], names=["signature", "class"])
+
+
+def _in_common(key: tuple, table: pa.Table) -> pa.Table:
+    """How many shingles of a part each class has in common with others."""
+    owner, met = np.unique(_several(table)[1], return_counts=True)
+    return pa.table([pa.array(owner, pa.int64()), pa.array(met, pa.int64())], names=["class", "met"])
 
 
 def _near(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,10 +328,25 @@ def link_classes(texts: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFr
     known = narrow.where("class is not null and doc_id is not null").groupBy("class")
     classes = stored(known.agg(F.first("n_shingles").alias("n"), F.first("counts").alias("counts"), F.min("doc_id").alias("doc"), *[F.first(p).alias(p) for p in (*PARITY, "sketch")]), "classes")
     parts = parts_for(texts)
-    sent = texts.select("text").mapInArrow(_signed(parts), "part int, signatures binary, classes binary")
-    groups = stored(
-        sent.repartition(parts, "part").groupBy("part").applyInArrow(_shared, "signature long, class long, anchor long"), "groups"
-    )
+    packed = "part int, signatures binary, classes binary"
+    sent = texts.select("text").mapInArrow(_signed(parts), packed)
+    groups = stored(sent.repartition(parts, "part").groupBy("part").applyInArrow(_shared, "signature long, class long"), "groups")
+
+    def sent_along(df: DataFrame, bound: int) -> DataFrame:
+        return F.broadcast(df) if df.count() <= bound else df
+
+    sizes = classes.select("class", "n")
+    # A similar set is three quarters of this one or larger: so many signatures the two share at least.
+    enough = groups.groupBy("class").agg(F.count(F.lit(1)).alias("shared")).join(sizes, "class")
+    enough = stored(enough.where(f"shared > floor(greatest(n * 0.1875 - 1, 0) / {SPARE})").select("class"), "enough")
+    # Their whole sets, each from the text with the smallest id.
+    ids = classes.join(enough, "class", "left_semi").select(F.col("doc").alias("_doc"))
+    chosen = texts.join(sent_along(ids, SENT_IDS), F.col("doc_id") == F.col("_doc"), "left_semi").select("text")
+    sets = stored(chosen.mapInArrow(_sets, "class long, set binary"), "sets")
+    spread = sets.mapInArrow(_spread(parts), packed).repartition(parts, "part")
+    met = spread.groupBy("part").applyInArrow(_in_common, "class long, met long").groupBy("class").agg(F.sum("met").alias("met"))
+    live = stored(met.join(sizes, "class").where("4 * met >= 3 * n").join(enough, "class", "left_semi").select("class"), "live")
+    groups = stored(groups.join(sent_along(live, SENT_IDS), "class", "left_semi"), "groups")
 
     counts, sketches = (classes.select("class", c) for c in ("counts", "sketch"))
 
@@ -311,52 +361,57 @@ def link_classes(texts: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFr
         both = near.join(_sided(sketches, "a", {"sketch": "sketch_a"}), "a").join(_sided(sketches, "b", {"sketch": "sketch_b"}), "b")
         return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_close, "a long, b long")
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """Whole sets of some classes, each from the text with the smallest id."""
-        ids = classes.join(wanted, "class", "left_semi").select(F.col("doc").alias("_doc"))
-        ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-        chosen = texts.join(ids, F.col("doc_id") == F.col("_doc"), "left_semi").select("text")
-        return stored(chosen.mapInArrow(_sets, "class long, set binary"), "sets")
-
-    def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        both = pairs.join(_sided(sets, "a", {"set": "set_a"}), "a").join(_sided(sets, "b", {"set": "set_b"}), "b")
+    def checked(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+        few = sets.join(sent_along(ends, SENT_IDS), "class", "left_semi")
+        both = pairs.join(_sided(few, "a", {"set": "set_a"}), "a").join(_sided(few, "b", {"set": "set_b"}), "b")
         return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long, linked boolean").distinct(), "checked")
 
-    def ends_of(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-
-    star = met_by(groups.where("class != anchor").select(F.col("anchor").alias("a"), F.col("class").alias("b")))
-    # One pair a class, chosen before anything larger than sizes and parities is joined to it.
-    first = stored(possible(most_often(star)), "star")
-    sets = sets_of(ends_of(first))
-    tried = checked(first, sets)
-    links = tried.where("linked").select("a", "b")
-    label = stored(components(links, "a", "b"), "components")
-    named = groups.join(label, F.col("class") == F.col("node"), "left").select(
-        "signature", "class", F.coalesce("component", "class").alias("component")
-    )
+    def either_way(pairs: DataFrame) -> DataFrame:
+        return pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    named, done, links, label = groups.withColumn("component", F.col("class")), None, None, None
+    for turn, mask in enumerate(HEADS):
+        # A signature's head is its first class in an order of all classes, which changes from round to round.
+        first = F.min(F.col("class").bitwiseXOR(F.lit(mask))).bitwiseXOR(F.lit(mask))
+        heads = named.groupBy("signature").agg(first.alias("a"), F.min("component").alias("_l"), F.max("component").alias("_u")).where("_l != _u")
+        heads = heads.select("signature", "a", F.col("a").alias("ca")) if label is None else heads.join(label, F.col("a") == F.col("node"), "left").select(
+            "signature", "a", F.coalesce(F.col("component"), "a").alias("ca")
+        )
+        star = named.join(heads, "signature").where("component != ca")
+        star = met_by(star.select("a", F.col("class").alias("b")))
+        star = star if done is None else star.join(done, ["a", "b"], "left_anti")
+        # One pair a class, chosen before anything larger than sizes and parities is joined to it.
+        tried = checked(stored(possible(most_often(star)), "star"))
+        done = either_way(tried) if done is None else done.unionByName(either_way(tried))
+        new = tried.where("linked").select("a", "b")
+        if turn and new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        label = stored(components(links, "a", "b"), "components")
+        label = sent_along(label, SENT_IDS // 4)
+        named = groups.join(label, F.col("class") == F.col("node"), "left").select(
+            "signature", "class", F.coalesce("component", "class").alias("component")
+        )
     split = named.groupBy("signature").agg(F.min("component").alias("_l"), F.max("component").alias("_m")).where("_l != _m")
     # Signatures whose classes are not all joined yet; any two classes still apart are compared.
     open_groups = stored(named.join(split.select("signature"), "signature"), "open")
     facts = classes.select(F.col("class").alias("_c"), "n", *PARITY)
     met = pairs_apart(open_groups.join(facts, F.col("class") == F.col("_c")).drop("_c"))
-    apart = stored(possible(met_by(met)), "apart")
-    more = ends_of(apart).join(sets.select("class"), "class", "left_anti")
-    if not apart.isEmpty():
-        sets = sets.unionByName(sets_of(more))
+    apart = stored(possible(met_by(met).join(done, ["a", "b"], "left_anti")), "apart")
     rounds = 0
     while True:
         for side in ("a", "b"):
             ends = label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
             apart = apart.drop(f"c{side}").join(ends, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-        done = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        done = either_way(tried)
         apart = stored(apart.where("ca != cb").join(done, ["a", "b"], "left_anti").select("a", "b", "ca", "cb"), "apart")
         if apart.isEmpty():
             return classes, label
         # One pair for each two components, then sixteen times as many in every round, as most pairs of joined ones need no look.
         two = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy("a", "b")
         some = apart.withColumn("_n", F.row_number().over(two)).where(F.col("_n") <= 16**rounds).select("a", "b")
-        tried = checked(some, sets)
+        tried = checked(some)
         links = links.unionByName(tried.where("linked").select("a", "b"))
         label = stored(components(links, "a", "b"), "components")
         rounds += 1
