@@ -363,6 +363,46 @@ def test_sketches_keep_shared_passages_and_rule_out_lines():
     assert not passages.sketches(np.tile(np.arange(20, dtype=np.uint64), 8), np.array([80]))[1][0]
 
 
+def test_sketches_rule_out_longer_lines_and_texts_that_repeat_others():
+    rng = np.random.default_rng(14)
+
+    def allowed(one, other, at, to):
+        (x, _), (y, _) = passages.sketches(one, np.array([at])), passages.sketches(other, np.array([to]))
+        return int(np.bitwise_count((x & y).view(np.uint64)).sum()) >= int(passages.bits_to_share(one, np.array([at]))[0])
+
+    def some(n):
+        return rng.integers(0, 1 << 63, n, np.uint64)
+
+    # A line of 15 shingles, which one pair in eleven passed with 512 bits.
+    passed = 0
+    for _ in range(300):
+        line = some(15)
+        passed += allowed(np.concatenate([some(100), line, some(100)]), np.concatenate([some(60), line, some(100)]), 107, 67)
+    assert passed < 9
+    # Shingles that come twice and are not in the other text, then one line that is: such texts met all others.
+    met = 0
+    for _ in range(100):
+        line, again = some(9), np.repeat(some(60), 2)
+        met += allowed(np.concatenate([again, line, some(90)]), np.concatenate([some(90), line, some(90)]), 124, 94)
+    assert met < 25
+    # A passage that repeats itself is found however often it does so there, and in any order of its repeats.
+    for times in (1, 3, 9):
+        few = some(12)
+        one, other = np.concatenate([some(60), np.tile(few, 6), some(60)]), np.concatenate([some(60), np.tile(np.repeat(few, times), 5), some(60)])
+        assert all(allowed(one, other, 60 + k, 60 + k * times) for k in range(12))
+
+
+def test_pairs_without_room_for_a_passage_are_not_looked_into(monkeypatch):
+    rng = np.random.default_rng(15)
+    some = lambda n: passages.shingles_of(rng.integers(0, 1 << 63, n + 4, np.uint64))
+    line, looked = some(30), []
+    b, a = (np.concatenate([some(200), line, some(200)]) for _ in range(2))
+    monkeypatch.setattr(passages, "candidates", lambda hit, width, of=passages.candidates: looked.append(1) or of(hit, width))
+    assert passages.shared_passages(b, a, [(0, len(b))]) == [] and not looked
+    whole = np.concatenate([some(20), b[150:300]])
+    assert passages.shared_passages(b, whole, [(0, len(b))]) == [(150, 299)] and looked
+
+
 def test_stretches_and_cut():
     hit = np.array([1] * 30 + [0] * 5 + [1] * 30 + [0] * 60 + [1] * 3, bool)
     assert passages.stretches(hit, 46) == [(0, 64)] and passages.stretches(hit, 80) == []
